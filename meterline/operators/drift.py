@@ -94,7 +94,8 @@ def drift_report(
     return add_reasons(report, thresholds)
 
 
-def add_reasons(report: DataFrame, t: DriftThresholds) -> DataFrame:
+def add_reasons(report: DataFrame, t: DriftThresholds, keep: list[str] = ()) -> DataFrame:
+    """Rates and rollback reasons of figures per route. Shadow routes are never judged."""
     errors = ratio(F.col("student_errors"), F.col("student_requests"), None)
     negative = ratio(F.col("feedback_negative"), F.col("feedback_total"), None)
     p95 = F.col("student_p95_latency_ms")
@@ -117,7 +118,7 @@ def add_reasons(report: DataFrame, t: DriftThresholds) -> DataFrame:
     reasons = F.array_compact(F.array(*checks))
     none = F.array().cast("array<string>")
     return report.select(
-        "task_id", "route_mode", "student_model", "student_requests", "student_errors",
+        *keep, "task_id", "route_mode", "student_model", "student_requests", "student_errors",
         ratio(F.col("student_errors"), F.col("student_requests")).alias("student_error_rate"),
         "student_p95_latency_ms", "feedback_total", "feedback_negative",
         ratio(F.col("feedback_negative"), F.col("feedback_total"))

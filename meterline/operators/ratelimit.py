@@ -19,7 +19,7 @@ from meterline.tables import small_table
 WINDOW_SLICES = 1024
 
 
-def _limit_table(spark, name: str, limits: dict[str, int]) -> DataFrame:
+def limit_table(spark, name: str, limits: dict[str, int]) -> DataFrame:
     schema = T.StructType().add(name, "string").add("_limit", "long")
     return small_table(spark, [(k, int(v)) for k, v in limits.items()], schema)
 
@@ -50,10 +50,10 @@ def apply_limits(requests: DataFrame, limits: Limits) -> DataFrame:
     spark = requests.sparkSession
     if limits.clients or limits.default_per_window is not None:
         default = F.lit(limits.default_per_window).cast("long")
-        named = out.join(_limit_table(spark, "client_id", limits.clients), "client_id", "left")
+        named = out.join(limit_table(spark, "client_id", limits.clients), "client_id", "left")
         out = _stage(named, "client_id", F.coalesce(F.col("_limit"), default), limits,
                      "rate_limited_client")
     if limits.tasks:
-        named = out.join(_limit_table(spark, "task_id", limits.tasks), "task_id", "left")
+        named = out.join(limit_table(spark, "task_id", limits.tasks), "task_id", "left")
         out = _stage(named, "task_id", F.col("_limit"), limits, "rate_limited_task")
     return out

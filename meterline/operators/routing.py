@@ -44,7 +44,8 @@ def decide_routes(
     spark = requests.sparkSession
     task = F.when(F.length(blank_to_null(F.col("task_id"))) > 0, F.col("task_id"))
     named = requests.withColumn("route_task_id", F.coalesce(task, F.lit(UNKNOWN_TASK))) \
-        .withColumn("_task_missing", task.isNull())
+        .withColumn("_task_missing", task.isNull()) \
+        .withColumn("_bucket", hash_bucket(F.col("request_id"), "route:"))
     table = routes.select(
         F.col("task_id").alias("route_task_id"), F.col("mode").alias("_mode"),
         F.col("student_model").alias("_student"),
@@ -56,7 +57,7 @@ def decide_routes(
     joined = named.join(table, "route_task_id", "left").join(students, "_student", "left")
 
     mode = F.coalesce(F.col("_mode"), F.lit(default_mode))
-    bucket = hash_bucket(F.col("request_id"), "route:")
+    bucket = F.col("_bucket")
     has_student = F.col("_student").isNotNull()
     served = F.coalesce(F.col("_served"), F.lit(False))
     # Without a route the percentages take their defaults as well.
@@ -87,21 +88,21 @@ def decide_routes(
         & ~F.coalesce(F.col("student_connect_error"), F.lit(False))
 
     return (
-        joined.withColumn("_reject", reject)
+        joined.withColumn("_reject", reject).withColumn("_to_student", to_student)
         .withColumn("routing_reason", F.coalesce(
             F.col("_reject"),
             F.when(strict, "quality_mode_strict"),
             F.when(wants_student.isNotNull(), student_reason),
             teacher_reason))
         .withColumn("routing_decision", F.when(F.col("_reject").isNotNull(), "reject")
-                    .when(to_student, "student").otherwise("teacher"))
+                    .when(F.col("_to_student"), "student").otherwise("teacher"))
         .withColumn("reject_status", F.when(F.col("_reject").isNotNull(), 400))
         .withColumn("selected_model", F.when(F.col("_reject").isNotNull(), "none")
-                    .when(to_student, F.col("_student")).otherwise(F.lit(gateway.teacher.name)))
+                    .when(F.col("_to_student"), F.col("_student")).otherwise(F.lit(gateway.teacher.name)))
         .withColumn("shadow_model", F.when(
             F.col("_reject").isNull() & ~strict & (mode == "shadow") & served, F.col("_student")))
         .drop("_reject", "_task_missing", "_mode", "_student", "_canary_pct", "_probe_pct",
-              "_served")
+              "_served", "_bucket", "_to_student")
     )
 
 

@@ -81,10 +81,14 @@ def request_log(spark: SparkSession, sf_dir: str, limits: Limits | None = None)
     return log_rows(routed(spark, sf_dir, limits), GATEWAY)
 
 
-def student_answers(events: DataFrame) -> DataFrame:
-    """What the student answered to a probe: no answer, a refusal, another or the same text."""
+def student_answers(events: DataFrame, with_time: bool = False) -> DataFrame:
+    """What the student answered to a probe (no answer, a refusal, another or the same text), and
+    when."""
     k = F.get_json_object("props", "$.k").cast("int")
+    answered = F.timestamp_micros(
+        F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 3) * 1000)
     return events.select(
+        *([answered.alias("ts")] if with_time else []),
         _label("req_", F.col("event_id")).alias("request_id"),
         F.when(k % 17 == 0, F.lit(None)).when(k % 5 == 0, 503).otherwise(200)
         .alias("student_http_status"),
@@ -113,6 +117,23 @@ def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("comment_redacted"))
 
 
+def feedback_posts(events: DataFrame) -> DataFrame:
+    """Feedback posts as they arrive: JSON bodies with blanks, numbers and secrets in them, some
+    cut off."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    body = F.concat(
+        F.lit('{"request_id":" req_'), F.col("event_id").cast("string"),
+        F.when(k % 9 == 0, F.lit(' ","rating":0')).otherwise(F.lit(' ","rating":" bad "')),
+        F.when(k % 7 == 0, F.lit(',"comment":"write to user@example.com"')).otherwise(
+            F.lit(',"comment":"  "')),
+        F.when(k % 23 == 0, F.lit("")).otherwise(F.lit("}")))
+    return events.select(
+        stamp(F.col("ts")).alias("timestamp"),
+        _label("client_", F.col("user_id") % 20).alias("client_id"),
+        F.when(k != 98, _label("task_", F.col("user_id") % 6)).alias("task_id"),
+        body.alias("body"))
+
+
 def _chat(role: str, content: str) -> Column:
     return F.to_json(F.struct(F.array(
         F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))).alias("messages")))
