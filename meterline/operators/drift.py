@@ -102,7 +102,7 @@ def add_reasons(report: DataFrame, t: DriftThresholds, keep: list[str] = ()) ->
     enough = F.col("student_requests") >= t.min_requests
 
     def reason(name: str, value: Column, limit: float) -> Column:
-        return F.format_string(f"{name} %.4f > {limit:.4f}", value)
+        return F.format_string(f"{name} %.4f > {limit:.4f}", F.bround(value, 4))
 
     max_error, max_negative = F.lit(float(t.max_error_rate)), \
         F.lit(float(t.max_negative_feedback_rate))

@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.lineage import cut
 from meterline.operators.evaluate import classification_metrics, majority_baseline
 
 TFIDF_KINDS = ("tfidf_logistic", "tfidf_mlp")
@@ -96,10 +97,18 @@ def _features(train: DataFrame, spec: StudentSpec) -> PipelineModel:
     return PipelineModel(stages=stages)
 
 
+def _prepared(features: PipelineModel, rows: DataFrame, *extra: str) -> DataFrame:
+    """Fitting input. One attribute entry per feature would travel with every task of every
+    iteration, so the metadata is left behind and the lineage cut."""
+    return cut(features.transform(rows).select(
+        F.col("_features").alias("_features", metadata={}), "_target", *extra))
+
+
 def fit_student(train: DataFrame, spec: StudentSpec = StudentSpec()) -> Student | None:
     """Fit on `label` and `text` and/or `embedding`. None where a majority baseline is due: fewer
     than two labels or three rows."""
-    train = _with_vector(train).withColumn("label", F.col("label").cast("string"))
+    used = [c for c in ("text", "embedding") if c in train.columns]
+    train = _with_vector(cut(train.select(*used, F.col("label").cast("string").alias("label"))))
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("labels")).first()
     n_rows, n_labels = totals["rows"] or 0, totals["labels"]
@@ -117,13 +126,12 @@ def fit_student(train: DataFrame, spec: StudentSpec = StudentSpec()) -> Student
         classifier = LogisticRegression(
             featuresCol="_features", labelCol="_target", weightCol="_weight",
             predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw",
-            family="multinomial", standardization=False, regParam=1.0 / n_rows,
+            family="multinomial", standardization=False, regParam=1.0 / n_rows, tol=1e-4,
             maxIter=spec.max_iter or (1000 if spec.kind == "tfidf_logistic" else 2000))
-        prepared = features.transform(indexer.transform(train)) \
-            .select("_features", "_target", "_weight")
+        prepared = _prepared(features, indexer.transform(train), "_weight")
     else:
-        prepared = features.transform(indexer.transform(train)).select("_features", "_target")
-        width = prepared.select(F.size(vector_to_array("_features"))).first()[0]
+        prepared = _prepared(features, indexer.transform(train))
+        width = prepared.first()["_features"].size
         hidden = spec.hidden or ((256, 128) if spec.kind == "tfidf_mlp" else (256,))
         classifier = MultilayerPerceptronClassifier(
             featuresCol="_features", labelCol="_target", predictionCol="_class",

@@ -8,16 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.lineage import work_folder
 from meterline.operators.enrich import routed_requests, shadow_probes
 from meterline.operators.shadow import shadow_log
 from meterline.plans import derive
 from meterline.streaming import jobs
 from meterline.streaming.limiter import limiter
-from meterline.streaming.runs import drain, ensure_checkpoints, read_files, work_folder
+from meterline.streaming.runs import drain, read_files
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/events.parquet"
+    path = f"{sf}/{{events}}.parquet"
     return read_files(spark, path, spark.read.parquet(path).schema)
 
 
@@ -70,7 +71,6 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of the request-anchored limiter per request."""
-    ensure_checkpoints(spark)
     root = work_folder(spark, "limits")
     raw = derive.raw_of_events(_events(spark, sf)) \
         .select("ts", "request_id", "client_id", "task_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterline.functions import labels as lab
 from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
+from meterline.lineage import cut
 from meterline.operators import (
     dataset, drift, evaluate, finops, governance, knn, labelling, ratelimit, retention, sampling,
     shadow, students, synthetic)
@@ -284,9 +285,9 @@ def knn_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _text_student(spec: students.StudentSpec) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _dataset(spark, sf).select(
+        rows = cut(_dataset(spark, sf).select(
             "split", tx.user_content(F.col("input")).alias("text"),
-            F.col("validated_output").alias("label"))
+            F.col("validated_output").alias("label")))
         train, evaluation = dataset.training_and_eval_rows(rows)
         return students.student_report(train, evaluation, spec)
     return run

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.config import Limits
+from meterline.lineage import cut
 from meterline.operators.ratelimit import limit_table
 from meterline.sources.logs import paths_matching
 
@@ -55,8 +56,8 @@ def _stage(
         F.count(F.lit(1)).alias("n"), F.max("_quota").alias("quota"))
     own = state.filter(F.col("kind") == kind)
     # Checkpointed: it feeds both the decisions and the next counters.
-    walked = slices.groupBy("key").cogroup(own.groupBy("key")) \
-        .applyInPandas(_walk(window_ms), _WALKED).checkpoint()
+    walked = cut(slices.groupBy("key").cogroup(own.groupBy("key"))
+                 .applyInPandas(_walk(window_ms), _WALKED))
     allowed = walked.filter("ms is not null").select(
         F.col("key").alias(key), F.col("ms").alias("_ms"), F.col("allowed").alias("_allowed"))
     joined = counted.join(allowed, [key, "_ms"], "left")

@@ -1,21 +1,11 @@
-"""Starting streams: state folder, bounded runs over a folder of files."""
+"""Starting streams, and bounded runs over a folder of files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared checkpoint folder the session names. Only where none is set, as
-    in local tests, a local temporary folder is used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="meterline-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+from meterline.lineage import work_folder
 
 
 def read_files(spark: SparkSession, pattern: str, schema: T.StructType,
@@ -53,10 +43,3 @@ def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     if not last:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(last)}")
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Point `checkpoint()` to the folder the session names, or to a local one where none is
-    set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "lineage"))
