@@ -76,15 +76,21 @@ def normalize_label_canonical(output: Column, labels: list[str]) -> Column:
     by_form = {canonical_text(label): label for label in ordered}
     cleaned = F.regexp_replace(strip(output), THINKING, " ")
     words = F.regexp_extract_all(cleaned, F.lit(r"[A-Za-z][A-Za-z0-9_/-]+"), F.lit(0))
-    listed = F.transform(F.concat(F.array(cleaned), words),
-                         lambda c: F.btrim(strip(c), F.lit(PUNCTUATION)))
-    forms = F.transform(listed, canonical)
+    whole = canonical(cleaned)
+
+    def plain(word: Column) -> Column:
+        return ~(word.contains("_") | word.contains("-") | word.contains("/"))
+
+    # A word of letters and digits only is canonical once in lower case.
+    forms = F.transform(words, lambda w: F.when(plain(w), F.lower(w)).otherwise(canonical(w)))
     hit = F.try_element_at(
         F.array_intersect(forms, F.array(*map(F.lit, by_form))), F.lit(1))
-    spelled = F.try_element_at(listed, F.array_position(forms, hit).cast("int"))
-    whole = canonical(cleaned)
+    spelled = F.btrim(F.try_element_at(words, F.array_position(forms, hit).cast("int")),
+                      F.lit(PUNCTUATION))
+    named = F.btrim(strip(cleaned), F.lit(PUNCTUATION))
     inside = [F.when(whole.contains(form), F.lit(label)) for form, label in by_form.items() if form]
     return F.coalesce(
+        F.when(named.isin(ordered), named), F.when(whole.isin(list(by_form)), _lookup(by_form, whole)),
         F.when(hit.isNotNull() & spelled.isin(ordered), spelled), _lookup(by_form, hit), *inside)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +45,22 @@ def squeeze(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    no_mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")) \
-        .otherwise(text)
-    no_fields = F.regexp_replace(no_mail, SECRET_FIELD, "$1[REDACTED]$3")
-    no_bearer = F.regexp_replace(no_fields, BEARER, "Bearer [REDACTED]")
-    return F.regexp_replace(no_bearer, API_KEY, "sk-[REDACTED]")
+    """Replace addresses, secret fields, bearer tokens and API keys.
+
+    Each pattern runs only on texts that hold a word without which it cannot match; a plain
+    substring search is many times faster than the pattern. The words are looked up in the original
+    text, since no replacement brings one in."""
+    low = F.lower(text)
+
+    def replaced(x: Column, words: tuple[str, ...], pattern: str, replacement: str) -> Column:
+        possible = reduce(or_, [(low if w != "sk-" else text).contains(w) for w in words])
+        return F.when(possible, F.regexp_replace(x, pattern, replacement)).otherwise(x)
+
+    x = replaced(text, ("@",), EMAIL, "[REDACTED_EMAIL]")
+    x = replaced(x, ("key", "password", "secret", "token", "authorization"), SECRET_FIELD,
+                 "$1[REDACTED]$3")
+    x = replaced(x, ("bearer",), BEARER, "Bearer [REDACTED]")
+    return replaced(x, ("sk-",), API_KEY, "sk-[REDACTED]")
 
 
 def body_text(body: Column, is_binary: bool = False) -> Column:

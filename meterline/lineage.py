@@ -24,3 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_folder(df.sparkSession, "lineage"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, written once as Parquet in the checkpoint folder. For a frame that several
+    passes read: each reads only its columns, and the optimizer knows the size."""
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, factor: int = 8) -> DataFrame:
+    """More partitions for a scan that has fewer than there are cores. A scan of many splits passes
+    through unchanged; one that comes as a few row groups would leave the cores idle under work
+    that is heavy per row."""
+    now = df.rdd.getNumPartitions()
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, factor * now)
+    return df.repartition(wanted) if now < wanted else df

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.config import Backend, DriftThresholds, Gateway, Limits, Route, Snapshot
+from meterline.lineage import spread
 from meterline.operators.enrich import enrich_requests, log_rows, routed_requests, shadow_probes
 from meterline.operators.evaluate import classification_metrics
 from meterline.operators.shadow import pair_probes, shadow_log
@@ -36,7 +37,8 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def stamp(ts: Column) -> Column:

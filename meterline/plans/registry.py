@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterline.functions import labels as lab
 from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
-from meterline.lineage import cut
+from meterline.lineage import stored
 from meterline.operators import (
     dataset, drift, evaluate, finops, governance, knn, labelling, ratelimit, retention, sampling,
     shadow, students, synthetic)
@@ -171,6 +171,11 @@ def _dataset(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.build_dataset(derive.trace_log(spark, sf))
 
 
+def _stored_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset as the later steps find it: written once, read by column."""
+    return stored(_dataset(spark, sf), "dataset")
+
+
 def dataset_split(spark: SparkSession, sf: str) -> DataFrame:
     return _dataset(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
 
@@ -191,22 +196,22 @@ def user_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def synthetic_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.synthetic_rows(_dataset(spark, sf), derive.CREATED_AT)
+    return synthetic.synthetic_rows(_stored_dataset(spark, sf), derive.CREATED_AT)
 
 
 def synthetic_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    augmented = synthetic.augment(_dataset(spark, sf), derive.CREATED_AT)
+    augmented = synthetic.augment(_stored_dataset(spark, sf), derive.CREATED_AT)
     return _rounded(synthetic.synthetic_manifest(augmented), 10, "synthetic_ratio")
 
 
 def sft_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _dataset(spark, sf)
+    rows = _stored_dataset(spark, sf)
     labels = labelling.vocabulary(rows, "validated_output")
     return dataset.sft_rows(rows, labels, TASK_DESCRIPTION, "prompt").drop("task_id")
 
 
 def sft_messages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _dataset(spark, sf)
+    rows = _stored_dataset(spark, sf)
     labels = labelling.vocabulary(rows, "validated_output")
     return dataset.sft_rows(rows, labels, TASK_DESCRIPTION, "messages").select(
         "request_id", "split", F.to_json(F.struct("messages")).alias("record"))
@@ -265,8 +270,8 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _dataset(spark, sf).select("request_id", "split", F.col("validated_output")
-                                      .alias("label"))
+    rows = _stored_dataset(spark, sf).select(
+        "request_id", "split", F.col("validated_output").alias("label"))
     train, evaluation = dataset.training_and_eval_rows(rows)
     return evaluate.majority_baseline(train, evaluation, "label").drop("split")
 
@@ -285,9 +290,9 @@ def knn_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _text_student(spec: students.StudentSpec) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = cut(_dataset(spark, sf).select(
+        rows = _stored_dataset(spark, sf).select(
             "split", tx.user_content(F.col("input")).alias("text"),
-            F.col("validated_output").alias("label")))
+            F.col("validated_output").alias("label"))
         train, evaluation = dataset.training_and_eval_rows(rows)
         return students.student_report(train, evaluation, spec)
     return run
@@ -313,7 +318,7 @@ def student_hybrid_eval(spark: SparkSession, sf: str) -> DataFrame:
         F.col("quality").cast("string").alias("label"))
     train, evaluation = dataset.training_and_eval_rows(rows)
     return students.student_report(train, evaluation,
-                                   students.StudentSpec("hybrid_logistic", max_iter=100))
+                                   students.StudentSpec("hybrid_logistic", max_iter=50))
 
 
 def queries() -> dict[str, Query]:
@@ -381,9 +386,9 @@ def queries() -> dict[str, Query]:
         "token_budget": token_budget,
         "majority_baseline": majority_baseline,
         "knn_labels": knn_labels,
-        "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic", max_iter=100)),
+        "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic", max_iter=50)),
         "student_embedding_eval": _vector_student(
-            students.StudentSpec("embedding_logistic", max_iter=100)),
+            students.StudentSpec("embedding_logistic", max_iter=50)),
         "student_mlp_eval": _vector_student(
             students.StudentSpec("embedding_mlp", hidden=(64,), max_iter=60)),
         "student_hybrid_eval": student_hybrid_eval,
