@@ -55,7 +55,9 @@ def attribute_feedback(
     reaches the join as a handful of rows."""
     pre = feedback.groupBy("request_id", F.col("task_id").alias("named_task")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_negative(F.col("rating"))).alias("bad"))
-    known = logs.join(active.select("task_id"), "task_id", "left_semi") \
+    # Only requests that got feedback are needed; few ids reach the log as a broadcast.
+    asked = pre.select("request_id").filter("request_id is not null").distinct()
+    known = logs.join(asked, "request_id", "left_semi").join(active.select("task_id"), "task_id", "left_semi") \
         .filter(F.length("request_id") > 0) \
         .select("request_id", "ts", F.col("task_id").alias("log_task"), "routing_decision")
     latest = latest_per_key(

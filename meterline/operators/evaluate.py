@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.cost import ratio, round_half_up
@@ -73,10 +73,8 @@ def majority_label(train: DataFrame, label: str, keys: list[str] = ()) -> DataFr
     """Most frequent label, the first in order on a tie."""
     keys = list(keys)
     counts = train.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("n"), F.asc(label)))
-    return counts.withColumn("_rn", first).filter("_rn = 1") \
-        .select(*keys, F.col(label).alias("prediction"))
+    order = F.struct((-F.col("n")).alias("n"), F.col(label).alias("label"))
+    return counts.groupBy(*keys).agg(F.min_by(label, order).alias("prediction"))
 
 
 def majority_baseline(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:

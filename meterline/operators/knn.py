@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.lineage import stored
+
 TILE_ROWS = 4096
 QUERY_PART_ROWS = 16384
 MAX_PIVOTS = 256
@@ -73,10 +75,10 @@ def _candidate_tiles(
                 enough = np.searchsorted(np.cumsum(size[by_upper]), k)
                 reach = upper[by_upper[min(enough, len(by_upper) - 1)]]
                 chosen.append(number[lower <= reach + SLACK])
-            yield batch.assign(tile=chosen)
+            yield pd.DataFrame({"query_id": batch["query_id"], "tile": chosen})
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInPandas(choose, f"{fields}, tile array<long>") \
+    id_type = dict(queries.dtypes)["query_id"]
+    return queries.mapInPandas(choose, f"query_id {id_type}, tile array<long>") \
         .withColumn("tile", F.explode("tile"))
 
 
@@ -108,8 +110,8 @@ def _best_of_tile(k: int):
 def nearest_references(queries: DataFrame, refs: DataFrame, k: int = 5) -> DataFrame:
     """The k best references of every query: query_id, ref_id, ref_label, score, rank.
 
-    `queries` has query_id and query_vector; `refs` has ref_id, ref_vector and ref_label; vectors
-    have length 1. Ties go to the smaller ref_id."""
+    `queries` has a unique query_id and query_vector; `refs` has ref_id, ref_vector and ref_label;
+    vectors have length 1. Ties go to the smaller ref_id."""
     n_refs = refs.count()
     id_type = dict(queries.dtypes)["query_id"]
     ref_type, label_type = dict(refs.dtypes)["ref_id"], dict(refs.dtypes)["ref_label"]
@@ -117,21 +119,21 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int = 5) -> DataF
     if n_refs == 0:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     pivots = _pivots(refs, n_refs)
-    celled = _with_cells(refs, pivots)
+    celled = stored(_with_cells(refs, pivots), "cells")
     # A cell larger than a tile is spread over several tiles.
     parts = celled.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)).alias("parts"))
     tiled = celled.join(parts, "cell").withColumn(
         "tile", F.col("cell").cast("long") * F.lit(1 << 32)
         + F.pmod(F.xxhash64("ref_id"), F.col("parts"))).drop("parts")
-    # One row of four numbers per tile.
+    # To the driver comes one row of five numbers per tile, never a vector.
     tiles = tiled.groupBy("tile", "cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("nearest"),
         F.max("reach").alias("farthest")).toPandas()
-    asked = _candidate_tiles(queries, pivots, tiles, k)
+    asked = stored(_candidate_tiles(queries, pivots, tiles, k), "asked")
     query_parts = asked.groupBy("tile").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(QUERY_PART_ROWS)).alias("parts"))
-    left = asked.join(query_parts, "tile").withColumn(
+    left = asked.join(query_parts, "tile").join(queries, "query_id").withColumn(
         "part", F.pmod(F.xxhash64("query_id"), F.col("parts"))) \
         .select("tile", "part", "query_id", "query_vector")
     right = tiled.join(query_parts, "tile").withColumn(

@@ -42,7 +42,8 @@ def cutoffs(
 ) -> DataFrame:
     """One row per key that exceeds its quota: the keys and `_cut`, the last order value inside.
 
-    `slice_no` must not decrease along `order`; `order` must be unique within a key."""
+    `slice_no` must not decrease along `order`; `order` must be unique within a key. Ranked
+    together are at most the rows of one key in one slice, as narrow as key and order."""
     narrow = df.filter(F.col(quota).isNotNull()).select(
         *keys, F.struct(*order).alias("_ord"), F.col(quota).alias("_quota"),
         slice_no.alias("_slice"),

@@ -74,19 +74,22 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
                        & (F.length(strip(F.col("expected_intent"))) > 0))
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    """Rows with their day, gathered by day; AQE splits a day too large for one writer."""
+    return rows.withColumn("date", day_of(F.col("timestamp"))).hint("rebalance", "date")
+
+
 def append_log(rows: DataFrame, path: str, log_mode: str = "redacted") -> None:
     """Append log rows as JSON lines in one folder per day. Each task writes its own file and the
     commit is per job, so a lost executor leaves no half-written line."""
     if log_mode == "disabled":
         return
-    dated = rows.withColumn("date", day_of(F.col("timestamp")))
-    dated.write.mode("append").partitionBy("date").json(path)
+    _dated(rows).write.mode("append").partitionBy("date").json(path)
 
 
 def append_columnar(rows: DataFrame, path: str) -> None:
     """The same as Parquet, for logs that are read often."""
-    rows.withColumn("date", day_of(F.col("timestamp"))) \
-        .write.mode("append").partitionBy("date").parquet(path)
+    _dated(rows).write.mode("append").partitionBy("date").parquet(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

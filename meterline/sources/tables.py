@@ -83,8 +83,9 @@ def read_labels(spark: SparkSession, path: str, of_mapping: str = "values") -> D
 def write_dataset(dataset: DataFrame, root: str) -> None:
     """One folder per task and split, each file ordered by time and id.
 
-    No shuffle to the partition columns: a task that dominates stays spread over the writers."""
-    dataset.sortWithinPartitions("task_id", "split", "timestamp", "request_id") \
+    The rebalance hint brings the rows of a folder together, so that there are not as many files
+    as tasks times folders, and lets AQE split a folder that dominates over several writers."""
+    dataset.hint("rebalance", "task_id", "split").sortWithinPartitions("task_id", "split", "timestamp", "request_id") \
         .write.mode("errorifexists").partitionBy("task_id", "split").parquet(root)
 
 
@@ -96,7 +97,7 @@ def read_dataset(spark: SparkSession, root: str, task_id: str | None = None) ->
     if not paths_matching(spark, root):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(root)
-    rows = rows.filter(F.col("split").isin(*SPLITS))
+    rows = rows.select(*schemas.DATASET_COLUMNS).filter(F.col("split").isin(*SPLITS))
     return rows if task_id is None else rows.filter(F.col("task_id") == task_id)
 
 
