@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.cost import hash_bucket
 from meterline.functions.text import completion_target, input_text, label_prompt
+from meterline.lineage import sized
 from meterline.operators.ranking import latest_per_key
 from meterline.schemas import DATASET_COLUMNS
 
@@ -51,8 +52,8 @@ def build_dataset(
         }).select(*DATASET_COLUMNS)
     if min_samples > 1:
         enough = rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")) \
-            .filter(F.col("n") >= min_samples)
-        rows = rows.join(enough.select("task_id"), "task_id", "left_semi").select(*DATASET_COLUMNS)
+            .filter(F.col("n") >= min_samples).select("task_id")
+        rows = rows.join(sized(enough, "tasks"), "task_id", "left_semi").select(*DATASET_COLUMNS)
     return rows
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from meterline.functions.labels import (
     ALIASES, best_label_by_words, candidates, normalize_label_canonical)
 from meterline.functions.text import blank_to_null, complaint_text, slugify, strip
+from meterline.lineage import sized
 from meterline.tables import small_table
 
 MAX_LITERAL_LABELS = 2_000
@@ -108,7 +109,7 @@ def prepare_complaints(complaints: DataFrame, allowed: DataFrame | None = None)
     """Labelled requests from complaints: allowed products, slug as label, text with the reported
     issue."""
     rows = complaints if allowed is None else allowed_rows(complaints, "product", allowed)
-    slugs = unique_slugs(rows)
+    slugs = sized(unique_slugs(rows), "slugs")
     return rows.join(slugs, "product").withColumn(
         "text", complaint_text(F.col("narrative"), F.col("issue"), F.col("sub_product"))
     ).withColumnRenamed("slug", "expected_intent")

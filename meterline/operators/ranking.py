@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.lineage import stored
+from meterline.lineage import sized
 
 SLICES = 64
 
@@ -70,9 +70,9 @@ def mark_first_n(
 ) -> DataFrame:
     """Add `flag`: the row is among the first `quota` of its key (NULL quota: no limit).
 
-    The cut-offs are written before use: they are few, their size then decides how they are joined,
-    and a second quota on top of the flag does not compute the first one again."""
-    cut = stored(cutoffs(df, keys, order, slice_no, quota), "cutoffs")
+    The cut-offs are computed before use: their size then decides how they are joined, and a second
+    quota on top of the flag does not compute the first one again."""
+    cut = sized(cutoffs(df, keys, order, slice_no, quota), "cutoffs")
     inside = (
         F.when(F.col(quota).isNull(), F.lit(True))
         .when(F.col(quota) <= 0, F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.cost import ratio
 from meterline.functions.text import squeeze
+from meterline.lineage import sized
 from meterline.operators.ranking import latest_per_key, mark_first_n, quantile_slices
 from meterline.schemas import DATASET_COLUMNS, SYNTHETIC_COLUMNS
 
@@ -75,8 +76,9 @@ def synthetic_rows(
 
     n = F.col("_n").cast("double")
     by_share = F.floor((n * F.lit(float(max_ratio))) / F.lit(1 - float(max_ratio)))
-    targets = real.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n")).select(
-        "task_id", F.least(F.col("_n") * multiplier, by_share).cast("long").alias("_target"))
+    targets = sized(real.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n")).select(
+        "task_id", F.least(F.col("_n") * multiplier, by_share).cast("long").alias("_target")),
+        "targets")
     when = F.unix_micros(F.try_to_timestamp("timestamp"))
     slice_no = F.col("_variant") * 1000 + F.coalesce(
         quantile_slices(real, when), F.lit(0))

@@ -38,7 +38,7 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name == "documents" else rows
+    return spread(rows) if name in ("documents", "events") else rows
 
 
 def stamp(ts: Column) -> Column:

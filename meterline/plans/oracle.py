@@ -147,6 +147,30 @@ limited AS (
     END AS limit_reason
   FROM task_ranked)"""
 
+ANCHORED = """
+timed AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM raw),
+client_starts AS (
+  SELECT client_id, min(ms) AS started FROM timed WHERE client_id IS NOT NULL GROUP BY client_id
+  UNION ALL
+  SELECT t.client_id, min(t.ms) FROM client_starts s JOIN timed t
+    ON t.client_id = s.client_id AND t.ms >= s.started + 86400000
+  GROUP BY t.client_id, s.started),
+client_ranked AS (
+  SELECT t.*, row_number() OVER (PARTITION BY t.client_id, s.started ORDER BY ts, request_id)
+    > CASE t.client_id WHEN 'client_3' THEN 30 ELSE 12 END AS over_client
+  FROM timed t ASOF JOIN client_starts s ON t.client_id = s.client_id AND t.ms >= s.started),
+task_asked AS (SELECT * FROM client_ranked WHERE NOT over_client AND task_id = 'task_2'),
+task_starts AS (
+  SELECT task_id, min(ms) AS started FROM task_asked GROUP BY task_id
+  UNION ALL
+  SELECT t.task_id, min(t.ms) FROM task_starts s JOIN task_asked t
+    ON t.task_id = s.task_id AND t.ms >= s.started + 86400000
+  GROUP BY t.task_id, s.started),
+task_ranked AS (
+  SELECT request_id, row_number() OVER (
+    PARTITION BY t.task_id, s.started ORDER BY ts, request_id) > 40 AS over_task
+  FROM task_asked t ASOF JOIN task_starts s ON t.task_id = s.task_id AND t.ms >= s.started)"""
+
 SHADOW = f"""
 probes AS (
   SELECT timestamp, request_id, log_task AS task_id, student_model,
@@ -696,6 +720,11 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
                  ELSE ',"comment":"  "' END AS body
             FROM raw WHERE k % 23 = 0""",
         "stream_dedupe": f"{REQUESTS} SELECT DISTINCT input_hash FROM request_log",
+        "stream_rate_limit": f"""WITH RECURSIVE {RAW},{ANCHORED}
+            SELECT r.request_id, CASE WHEN c.over_client THEN 'rate_limited_client'
+              WHEN t.over_task THEN 'rate_limited_task' ELSE 'allowed' END AS outcome
+            FROM raw r LEFT JOIN client_ranked c ON c.request_id = r.request_id
+              LEFT JOIN task_ranked t ON t.request_id = r.request_id""",
         "complaint_text": f"""SELECT doc_id, {q('Consumer complaint narrative:' + chr(10))} || text
               || chr(10) || chr(10) || 'Reported issue: ' || lang
               || CASE WHEN source <> 'src0' THEN chr(10) || 'Reported sub-product: ' || source

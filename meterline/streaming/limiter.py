@@ -3,8 +3,9 @@
 A key's window starts with its first request and the next one with the first request after it has
 run out. What has to be walked in order is only (key, millisecond, count), which is summed before
 the shuffle: a key with a third of all requests costs as many steps as the batch has milliseconds.
-The requests themselves meet the outcome of their millisecond in a join. The counters live in a
-table with one version per batch, so a batch that is run again starts from the same counters.
+The requests themselves meet the outcome in a join with the milliseconds in which something is
+refused. The counters live in a table with one version per batch, so a batch that is run again
+starts from the same counters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.config import Limits
-from meterline.lineage import cut
+from meterline.lineage import cut, sized
 from meterline.operators.ratelimit import limit_table
 from meterline.sources.logs import paths_matching
 
@@ -35,7 +36,8 @@ def _walk(window_ms: int):
                 started, used = int(ms), 0
             allowed = max(0, min(int(n), int(quota) - used))
             used += allowed
-            out.append((key[0], int(ms), allowed, None, None))
+            if allowed < n:
+                out.append((key[0], int(ms), allowed, None, None))
         out.append((key[0], None, None, started, used))
         return pd.DataFrame(out, columns=["key", "ms", "allowed", "started_ms", "used"]).astype(
             {"ms": "Int64", "allowed": "Int64", "started_ms": "Int64", "used": "Int64"})
@@ -55,18 +57,23 @@ def _stage(
     slices = counted.filter(asked).groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms")).agg(
         F.count(F.lit(1)).alias("n"), F.max("_quota").alias("quota"))
     own = state.filter(F.col("kind") == kind)
-    # Checkpointed: it feeds both the decisions and the next counters.
+    # Checkpointed: it feeds both the decisions and the next counters. Only milliseconds in which
+    # something is refused come back.
     walked = cut(slices.groupBy("key").cogroup(own.groupBy("key"))
                  .applyInPandas(_walk(window_ms), _WALKED))
-    allowed = walked.filter("ms is not null").select(
+    refusing = walked.filter("ms is not null").select(
         F.col("key").alias(key), F.col("ms").alias("_ms"), F.col("allowed").alias("_allowed"))
-    joined = counted.join(allowed, [key, "_ms"], "left")
-    rank = F.row_number().over(
-        Window.partitionBy(key, "_ms", asked).orderBy("ts", "request_id"))
-    refused = asked & (rank > F.col("_allowed"))
-    decided = joined.withColumn("_refused", refused).withColumn(
-        "limit_reason", F.when(F.col("_refused"), reason).otherwise(F.col("limit_reason"))
-    ).drop("_ms", "_quota", "_allowed", "_refused", "_limit")
+    # Where a millisecond is allowed in part, its requests are ranked to find the last one allowed.
+    rank = F.row_number().over(Window.partitionBy(key, "_ms").orderBy("_ord"))
+    last = counted.filter(asked).select(key, "_ms", F.struct("ts", "request_id").alias("_ord")) \
+        .join(refusing.filter("_allowed > 0"), [key, "_ms"]).withColumn("_rn", rank) \
+        .filter("_rn = _allowed").select(key, "_ms", F.col("_ord").alias("_cut"))
+    outcome = sized(refusing.join(last, [key, "_ms"], "left"), "outcome")
+    late = F.col("_cut").isNull() | (F.struct("ts", "request_id") > F.col("_cut"))
+    decided = counted.join(outcome, [key, "_ms"], "left").withColumn(
+        "limit_reason", F.when(asked & F.col("_allowed").isNotNull() & late, reason)
+        .otherwise(F.col("limit_reason"))
+    ).drop("_ms", "_quota", "_allowed", "_cut", "_limit")
     counters = walked.filter("ms is null and started_ms is not null").select(
         F.lit(kind).alias("kind"), "key", "started_ms", "used")
     return decided, counters
