@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.cost import ratio
 from meterline.functions.text import squeeze
-from meterline.lineage import sized
+from meterline.lineage import sized, stored
 from meterline.operators.ranking import latest_per_key, mark_first_n, quantile_slices
 from meterline.schemas import DATASET_COLUMNS, SYNTHETIC_COLUMNS
 
@@ -70,9 +70,9 @@ def synthetic_rows(
         .filter("_hash is not null").drop("_text")
     known = real.select("task_id", F.sha2("input", 256).alias("_hash")).distinct()
     order = ["_variant", "timestamp", "request_id", "_row"]
-    fresh = latest_per_key(pairs, [F.col("task_id"), F.col("_hash")],
-                           [F.asc(c) for c in order]) \
-        .join(known, ["task_id", "_hash"], "left_anti")
+    fresh = stored(latest_per_key(
+        pairs, [F.col("task_id"), F.col("_hash")], [F.asc(c) for c in order]
+    ).join(known, ["task_id", "_hash"], "left_anti"), "fresh")
 
     n = F.col("_n").cast("double")
     by_share = F.floor((n * F.lit(float(max_ratio))) / F.lit(1 - float(max_ratio)))
