@@ -7,14 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the shared checkpoint folder the session names. Only where none is set, as
-    in local tests, a local temporary folder is used."""
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: `spark.checkpoint.dir` as the session
+    names it. Where it is unset, a local session takes a temporary folder, once for the session;
+    any other session is refused, as each executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="meterline-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="meterline-")
+    return _LOCAL_ROOTS[key]
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below `shared_root`."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
