@@ -14,8 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects of the frame; for a scan, the size of its files."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shards_for(df: DataFrame, bytes_each: int, least: int = 4) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import quality, simhash
+from meterline.llm import kneserney, quality, simhash
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,17 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "row.doc_id", *quality.COUNTS, *quality.FEATURES, "base_failed", "kept")
 
 
+def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn(
+        "held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"))
+    model = kneserney.fit(docs.where("not held_out").select("text"))
+    scored = docs.select("doc_id", "held_out", kneserney.scorer(model)("text").alias("s"))
+    return scored.select(
+        "doc_id", "held_out", "s.n_tokens", "s.n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score",
+        kneserney.perplexity(F.col("s.score"), F.col("s.n_tokens")).alias("perplexity"))
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return simhash.classes(docs).select(
@@ -30,5 +41,6 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_kneser_ney": op2_kneser_ney,
         "op6_simhash": op6_simhash,
     }
