@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import kneserney, quality, simhash
+from meterline.llm import kneserney, quality, simhash, tokenbin
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,17 @@ def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
         kneserney.perplexity(F.col("s.score"), F.col("s.n_tokens")).alias("perplexity"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_token_binary(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return tokenbin.read_documents(tokenbin.write(docs, word_tokenizer()))
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return simhash.classes(docs).select(
@@ -42,5 +53,6 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_kneser_ney": op2_kneser_ney,
+        "op3_token_binary": op3_token_binary,
         "op6_simhash": op6_simhash,
     }
