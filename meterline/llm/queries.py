@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import kneserney, quality, simhash, tokenbin
+from meterline.llm import decontaminate, kneserney, quality, simhash, tokenbin
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +49,19 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
         "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    judged = decontaminate.judge(docs, table(spark, sf, "benchmark"))
+    return judged.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_kneser_ney": op2_kneser_ney,
         "op3_token_binary": op3_token_binary,
         "op6_simhash": op6_simhash,
+        "op8_decontamination": op8_decontamination,
     }
