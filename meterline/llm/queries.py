@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, kneserney, quality, simhash, tokenbin
+from meterline.llm import decontaminate, kneserney, quality, simhash, suffixes, tokenbin
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op3_token_binary(spark: SparkSession, sf: str) -> DataFrame:
     return tokenbin.read_documents(tokenbin.write(docs, word_tokenizer()))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return simhash.classes(docs).select(
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "op2_kneser_ney": op2_kneser_ney,
         "op3_token_binary": op3_token_binary,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_simhash": op6_simhash,
         "op8_decontamination": op8_decontamination,
     }
