@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, kneserney, quality, simhash, suffixes, tokenbin
+from meterline.llm import decontaminate, kneserney, mixing, quality, simhash, suffixes, tokenbin
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
         "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     judged = decontaminate.judge(docs, table(spark, sf, "benchmark"))
@@ -68,5 +72,6 @@ def queries() -> dict[str, Query]:
         "op3_token_binary": op3_token_binary,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op6_simhash": op6_simhash,
+        "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
     }
