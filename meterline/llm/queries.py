@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, kneserney, mixing, quality, simhash, suffixes, tokenbin
+from meterline.llm import decontaminate, kneserney, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,22 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", *[secrets.count_of(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(secrets.spelled(secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.spelled().alias("spans"))
+
+
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    host, _ = urls.host_and_path(F.col("url"))
+    labelled = pages.select("url", urls.known_bad(host).alias("label"))
+    judged = urls.judge(pages, labelled)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", F.round("p_bad", 6).alias("p_bad"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -74,4 +90,6 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
+        "op9_secrets": op9_secrets,
+        "op10_url_filter": op10_url_filter,
     }
