@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, kneserney, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
+from meterline.llm import decontaminate, kneserney, licences, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,12 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
+    found = licences.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_paragraphs", "n_cued", "n_licensed",
+                        F.array_join("families", ",").alias("families"))
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return simhash.classes(docs).select(
@@ -87,6 +93,7 @@ def queries() -> dict[str, Query]:
         "op2_kneser_ney": op2_kneser_ney,
         "op3_token_binary": op3_token_binary,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_licences": op5_licences,
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
