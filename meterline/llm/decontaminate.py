@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 from meterline.lineage import work_folder
 from meterline.llm import words as w
 from meterline.llm.files import mapped, put
+from meterline.llm.frames import small_batches
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
 SAMPLE = 16
+SHARD_BYTES = 4 << 20
 
 
 class Bits:
@@ -286,7 +288,7 @@ def _search(data: np.ndarray, offsets: np.ndarray, blocks: tuple[str, ...]) -> l
 def finder(blocks: tuple[str, ...]):
     """A column function: n_words, merged spans of hit words, and the items that hit."""
     def find(column: pa.Array) -> pa.Array:
-        rows = [r for lo, hi in w.blocks(column)
+        rows = [r for lo, hi in w.blocks(column, SHARD_BYTES)
                 for r in _search(*w.text_bytes(column.slice(lo, hi - lo)), blocks)]
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()),
@@ -299,6 +301,7 @@ def finder(blocks: tuple[str, ...]):
 def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` as struct `row`, with n_words, spans, items, n_hit and `contaminated`: at
     least one word in 20 is hit."""
+    small_batches(docs.sparkSession)
     found = finder(write_benchmark(benchmark))
     return (docs.select(F.struct("*").alias("row"), found(F.col(text)).alias("f"))
             .select("row", "f.*")

@@ -32,11 +32,11 @@ from pyspark.sql import types as T
 from meterline.lineage import stored, work_folder
 from meterline.llm import words as w
 from meterline.llm.files import mapped, put
-from meterline.llm.frames import shards_for
+from meterline.llm.frames import shards_for, small_batches
 
 END = np.uint64(0x5F3C9A1B7E24D680)
 PENDING = 2 << 20
-INPUT_PER_SHARD = 32 << 20
+INPUT_PER_SHARD = 8 << 20
 _MAPS: dict[str, np.ndarray] = {}
 
 
@@ -266,6 +266,7 @@ def _discounts(n: list[int]) -> tuple[float, ...]:
 def fit(texts: DataFrame) -> Model:
     """Count the first column of `texts` and write the model. The driver sees a row per shard."""
     spark = texts.sparkSession
+    small_batches(spark)
     folder = work_folder(spark, "kneser-ney")
     shards = shards_for(texts, INPUT_PER_SHARD)
     bits = shards.bit_length() - 1

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from meterline.lineage import stored, work_folder
 from meterline.llm import words as w
 from meterline.llm.files import mapped, put
+from meterline.llm.frames import small_batches
 
 WEIGHTS, TOTAL, CAP = (3, 1, 2), 1.5, 2
 BLOCK = 512
@@ -204,6 +205,7 @@ def shares(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _narrow(docs: DataFrame, id_column: str, source: str, text: str, *more) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(
         *more, F.col(id_column).alias("doc_id"), F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"), F.xxhash64(id_column, text).alias("hash"),

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from meterline.lineage import stored
 from meterline.llm import words as w
+from meterline.llm.frames import small_batches
 
 MIN_WORDS = 50
 MIN_GROUP = 100
@@ -168,6 +169,7 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
 
     The features are written once, as sketches and verdicts both need them; select narrow columns
     before where the text itself is not wanted afterwards."""
+    small_batches(df.sparkSession)
     features = stored(with_features(df, lang, source, text), "quality")
     fences = stored(thresholds(sketches(features)), "fences").alias("t")
     inside = [f"f.{n} <= t.{n}_high" for n in FEATURES]

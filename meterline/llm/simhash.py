@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.lineage import stored
-from meterline.llm.frames import components
+from meterline.llm.frames import components, small_batches
 from meterline.llm.words import LOWER, text_bytes
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -204,6 +204,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, parts: int | None = Non
 def classes(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of `documents` as struct `row`, with `fp`, `id`, and `component_id`, the smallest
     id that links lead to."""
+    small_batches(documents.sparkSession)
     fps = stored(documents.select(F.struct("*").alias("row"), F.col(id_column).alias("id"),
                                   fingerprint(F.col(text)).alias("fp"),
                                   F.monotonically_increasing_id().alias("uid")), "simhash")

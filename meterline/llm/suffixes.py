@@ -17,8 +17,8 @@ sampled suffixes:
    windows that occur in two contexts are repeated. That is exact as well and needs no group.
 5. The repeated stretches go back to the texts that hold them.
 
-Texts are UTF-8 bytes, null is empty, and a match never crosses texts. Texts are known by a 128-bit
-hash, so copies share their stretches, and repeated rows repeat each other. Texts shorter than LENGTH
+Texts are UTF-8 bytes, null is empty, and a match never crosses texts. A row is known by
+128 bits of its id and text, so rows that repeat both share their stretches, and repeat each other. Texts shorter than LENGTH
 lose nothing. Only id and text are read.
 """
 
@@ -36,12 +36,13 @@ from pyspark.sql import types as T
 
 from meterline.lineage import stored
 from meterline.llm import words as w
+from meterline.llm.frames import small_batches
 
 LENGTH, GRAM = 400, 64
 BEFORE = LENGTH - GRAM
 GROUP = 20_000
 SHALLOW = 32
-SEGMENT = 1 << 23
+SEGMENT = 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -75,18 +76,22 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def text_key(text) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(text)
+def text_key(text, doc_id: int | None) -> tuple[int, int]:
+    """128 bits that name a text of a document; rows that repeat both share it."""
+    h = xxhash.xxh3_128_intdigest(text, 1 if doc_id is None else mix_int(doc_id))
     return h >> 64, h & w._M64
 
 
-_ANCHORS = ("t1 long, t2 long, doc_id long, pos long, left int, right int, "
-            "gram long, c1 long, c2 long")
+def mix_int(x: int) -> int:
+    return int(w.mix(np.array([x & w._M64], np.uint64))[0])
+
+
+_ANCHORS = "t1 long, t2 long, pos int, gram long, c1 long, c2 long"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi in w.blocks(batch.column("text")):
+        for lo, hi in w.blocks(batch.column("text"), 1 << 20):
             part = batch.slice(lo, hi - lo)
             data, offsets = w.text_bytes(part.column("text"))
             yield from _block_anchors(data, offsets, part.column("doc_id"))
@@ -94,7 +99,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block_anchors(data: np.ndarray, offsets: np.ndarray, ids: pa.Array
                    ) -> Iterator[pa.RecordBatch]:
-    view = memoryview(data)
+    view, names = memoryview(data), ids.to_pylist()
     for at in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
         anchor, hashes = window_anchors(data[at:at + SEGMENT + LENGTH - 1])
         start = np.arange(len(anchor)) + at
@@ -108,16 +113,16 @@ def _block_anchors(data: np.ndarray, offsets: np.ndarray, ids: pa.Array
         gram, place = hashes[anchor], anchor + at
         lo, hi = offsets[doc], offsets[doc + 1]
         left, right = np.minimum(place - lo, BEFORE), np.minimum(hi - place, LENGTH)
-        keys = {d: text_key(view[offsets[d]:offsets[d + 1]]) for d in np.unique(doc).tolist()}
+        keys = {d: text_key(view[offsets[d]:offsets[d + 1]], names[d])
+                for d in np.unique(doc).tolist()}
         context = [xxhash.xxh3_128_intdigest(view[p - a:p + b], a) for p, a, b in
                    zip(place.tolist(), left.tolist(), right.tolist())]
         docs = doc.tolist()
         yield pa.RecordBatch.from_arrays(
             [_signed([keys[d][0] for d in docs]), _signed([keys[d][1] for d in docs]),
-             ids.take(pa.array(doc)), pa.array(place - lo), pa.array(left.astype(np.int32)),
-             pa.array(right.astype(np.int32)), pa.array(gram.view(np.int64)),
+             pa.array((place - lo).astype(np.int32)), pa.array(gram.view(np.int64)),
              _signed([c >> 64 for c in context]), _signed([c & w._M64 for c in context])],
-            ["t1", "t2", "doc_id", "pos", "left", "right", "gram", "c1", "c2"])
+            ["t1", "t2", "pos", "gram", "c1", "c2"])
 
 
 # --- deep-shallow sorting --------------------------------------------------------------------
@@ -248,7 +253,7 @@ def _between(lcp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(lcp, edges)[::2]
 
 
-_CONTEXT = "gram long, t1 long, t2 long, pos long, again boolean, before binary, after binary"
+_CONTEXT = "gram long, t1 long, t2 long, pos int, again boolean, before binary, after binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +279,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"again": pa.bool_(), "before": pa.binary(), "after": pa.binary()}
+    kinds = {"pos": pa.int32(), "again": pa.bool_(), "before": pa.binary(), "after": pa.binary()}
     return pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.int64()))
                                        for n, v in out.items()})
 
 
-_REACH = "t1 long, t2 long, pos long, to_left long, to_right long"
+_REACH = "t1 long, t2 long, pos int, to_left int, to_right int"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +306,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*out)) or [[]] * 5
         out.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns],
+            [pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)],
             ["t1", "t2", "pos", "to_left", "to_right"])
 
     for batch in batches:
@@ -329,8 +334,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [_signed([h >> 64 for h in hashes]), _signed([h & w._M64 for h in hashes]),
-                     pa.array([back - i for i in range(n)], pa.int64()),
-                     *[pa.array([r[c]] * n) for c in ("gram", "t1", "t2", "pos")]],
+                     pa.array([back - i for i in range(n)], pa.int32()),
+                     *[pa.array([r[c]] * n, pa.int64() if c != "pos" else pa.int32())
+                       for c in ("gram", "t1", "t2", "pos")]],
                     ["h1", "h2", "back", "gram", "t1", "t2", "pos"])
 
 
@@ -340,10 +346,11 @@ _KEY = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.Lo
 
 
 @F.arrow_udf(_KEY)
-def text_keys(column: pa.Array) -> pa.Array:
+def text_keys(column: pa.Array, ids: pa.Array) -> pa.Array:
     data, offsets = w.text_bytes(column)
     raw = memoryview(data)
-    keys = [text_key(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    keys = [text_key(raw[a:b], i)
+            for a, b, i in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ids.to_pylist())]
     return pa.StructArray.from_arrays([_signed([k[0] for k in keys]),
                                        _signed([k[1] for k in keys])], ["t1", "t2"])
 
@@ -351,23 +358,22 @@ def text_keys(column: pa.Array) -> pa.Array:
 def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans): by hash of the text, the repeated stretches around its anchors."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = stored(docs.mapInArrow(_anchors, _ANCHORS), "anchors")
     contexts = anchors.groupBy("gram", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos", "doc_id")).alias("first"))
+        F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("first"))
     grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("rows"))
     contexts = stored(contexts.join(grams.where("rows > 1"), "gram"), "contexts")
     whole = (anchors.join(contexts.where("n > 1").select("gram", "c1", "c2"),
                           ["gram", "c1", "c2"], "left_semi")
-             .selectExpr("t1", "t2", "pos", "cast(left as long) as to_left",
-                         "cast(right as long) as to_right"))
+             .selectExpr("t1", "t2", "pos", f"{BEFORE} as to_left", f"{LENGTH} as to_right"))
 
     open_ = contexts.where("contexts > 1")
-    wanted = open_.groupBy("first.t1", "first.t2", "first.doc_id").agg(F.collect_list(F.struct(
+    wanted = open_.groupBy("first.t1", "first.t2").agg(F.collect_list(F.struct(
         "gram", "first.pos", F.expr("n > 1").alias("again"), "contexts")).alias("wanted"))
-    keyed = docs.select("doc_id", "text", text_keys("text").alias("k"))
-    joined = keyed.alias("d").join(wanted.alias("k"), F.expr(
-        "d.k.t1 = k.t1 and d.k.t2 = k.t2 and d.doc_id <=> k.doc_id"))
+    keyed = docs.select("text", text_keys("text", "doc_id").alias("k"))
+    joined = keyed.alias("d").join(wanted.alias("k"), F.expr("d.k.t1 = k.t1 and d.k.t2 = k.t2"))
 
     def cut(condition: str) -> DataFrame:
         return (joined.select("k.t1", "k.t2", "d.text",
@@ -379,7 +385,7 @@ def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
     found = whole.union(sorted_)
     if not open_.where(F.col("contexts") > group).isEmpty():
         windows = cut(f"x.contexts > {group}").dropDuplicates(["gram", "t1", "t2", "pos"]).mapInArrow(
-            _windows, "h1 long, h2 long, back long, gram long, t1 long, t2 long, pos long")
+            _windows, "h1 long, h2 long, back int, gram long, t1 long, t2 long, pos int")
         again = windows.groupBy("gram", "h1", "h2", "back").count().where("count > 1").drop("count")
         found = found.union(
             windows.join(again, ["gram", "h1", "h2", "back"], "left_semi")
@@ -388,7 +394,8 @@ def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
     spans = found.groupBy("t1", "t2", "pos").agg(F.max("to_left").alias("a"),
                                                  F.max("to_right").alias("b"))
     return spans.groupBy("t1", "t2").agg(
-        F.collect_list(F.expr("struct(pos - a as start, pos + b as end)")).alias("spans"))
+        F.collect_list(F.expr(
+            "struct(greatest(pos - a, 0) as start, pos + b as end)")).alias("spans"))
 
 
 _DIGEST = T.StructType([
@@ -404,7 +411,7 @@ def _cut(with_text: bool):
         for a, b, found in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans.to_pylist()):
             kept, at, removed, count = [], a, 0, 0
             merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in found or ()):
+            for s in sorted((x["start"], min(x["end"], b - a)) for x in found or ()):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -427,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     character) and kept_sha256 of each row."""
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_stretches(narrow, group)
-    keyed = narrow.withColumn("k", text_keys("text"))
+    keyed = narrow.withColumn("k", text_keys("text", "doc_id"))
     return (keyed.alias("d").join(spans.alias("s"), F.expr("d.k.t1 = s.t1 and d.k.t2 = s.t2"), "left")
             .select("d.doc_id", _cut(with_text)("d.text", "s.spans").alias("x"))
             .select("doc_id", "x.*"))

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from meterline.lineage import stored, work_folder
 from meterline.llm import words as w
 from meterline.llm.files import mapped, put
-from meterline.llm.frames import shards_for
+from meterline.llm.frames import shards_for, small_batches
 
 MAGIC = 0x3146454D
 SAMPLE = 256
@@ -230,7 +230,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     docs: list[np.ndarray] = []
     nulls = 0
     for batch in batches:
-        for lo, hi in w.blocks(batch.column("text"), 2 << 20):
+        for lo, hi in w.blocks(batch.column("text")):
             piece = batch.slice(lo, hi - lo)
             ids, n = encoder.encode(*w.text_bytes(piece.column("text")))
             parts.append(np.insert(ids, np.cumsum(n), end_id))
@@ -257,6 +257,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column: str = "do
     """Write the shards of `docs`; returns the manifest: a row per shard, with `start`, the ids
     before it."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_folder(spark, "token-ids")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = (narrow.repartitionByRange(shards_for(narrow, INPUT_PER_SHARD, 8), "doc_id")

@@ -61,7 +61,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], offsets.astype(np.int64) - lo
 
 
-def blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes each (a longer text stands alone)."""
     _, offsets = text_bytes(column)
     row, n = 0, len(offsets) - 1
