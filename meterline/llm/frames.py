@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from meterline.lineage import stored
 
 
+UNKNOWN_SIZE = 1 << 48
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,10 +25,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def shards_for(df: DataFrame, bytes_each: int, least: int = 4) -> int:
-    """A power of two of shards, each for about `bytes_each` bytes of input files."""
+def shards_for(texts: DataFrame, column: str, bytes_each: int, least: int = 4) -> int:
+    """A power of two of shards, each for about `bytes_each` bytes of input. The size is the
+    optimizer's; where it has none (it then says a huge number), the texts are summed."""
+    size = plan_bytes(texts)
+    if size > UNKNOWN_SIZE:
+        size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
     n = least
-    while n * bytes_each < min(plan_bytes(df), 1 << 50):
+    while n * bytes_each < size:
         n *= 2
     return n
 

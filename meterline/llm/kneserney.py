@@ -268,7 +268,7 @@ def fit(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     small_batches(spark)
     folder = work_folder(spark, "kneser-ney")
-    shards = shards_for(texts, INPUT_PER_SHARD)
+    shards = shards_for(texts, texts.columns[0], INPUT_PER_SHARD)
     bits = shards.bit_length() - 1
     blocks = "shard int, keys binary, counts binary"
 

@@ -260,7 +260,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column: str = "do
     small_batches(spark)
     folder = work_folder(spark, "token-ids")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = (narrow.repartitionByRange(shards_for(narrow, INPUT_PER_SHARD, 8), "doc_id")
+    dealt = (narrow.repartitionByRange(shards_for(narrow, "text", INPUT_PER_SHARD, 8), "doc_id")
              .sortWithinPartitions(F.asc_nulls_first("doc_id"), "text"))
     manifest = stored(dealt.mapInArrow(
         lambda b: _write_shard(b, folder, tokenizer, end_id), _MANIFEST), "manifest")
