@@ -107,12 +107,13 @@ def _write_quotas(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array([int(slots.sum())])], ["total"])
 
 
-def _draw(batches: Iterator[pa.RecordBatch], path: str, total: int) -> Iterator[pa.RecordBatch]:
+def _draw(batches: Iterator[pa.RecordBatch], path: str, total: int, each: int
+          ) -> Iterator[pa.RecordBatch]:
     """Multinomial source counts of each shard; sources without a slot are left out."""
     quotas = np.asarray(mapped(path, "<i8")).astype(float)
     for batch in batches:
         for shard in batch.column("shard").to_pylist():
-            size = min(SHARD_SLOTS, total - shard * SHARD_SLOTS)
+            size = min(each, total - shard * each)
             counts = np.random.default_rng([SEED, shard]).multinomial(size, quotas / quotas.sum())
             rank = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -159,8 +160,9 @@ def slots(sources: DataFrame) -> DataFrame:
              .mapInArrow(lambda b: _write_quotas(b, path), "total long").agg(F.sum("total")).first()[0])
     total = total or 0
     shards = -(-total // SHARD_SLOTS)
+    each = SHARD_SLOTS
     draws = spark.range(shards).withColumnRenamed("id", "shard").mapInArrow(
-        lambda b: _draw(b, path, total), "shard long, rank long, count long")
+        lambda b: _draw(b, path, total, each), "shard long, rank long, count long")
     draws = stored(draws, "draws")
     drawn = draws.groupBy("rank").agg(F.sum("count").alias("drawn"))
     before = "over (order by rank rows between unbounded preceding and 1 preceding)"
@@ -169,16 +171,16 @@ def slots(sources: DataFrame) -> DataFrame:
         .selectExpr("rank", "slots", "coalesce(drawn, 0) as drawn")
         .selectExpr("*", f"coalesce(sum(greatest(drawn - slots, 0)) {before}, 0) as over_base",
                     f"coalesce(sum(greatest(slots - drawn, 0)) {before}, 0) as under_base"), "balance")
-    each = draws.selectExpr(
+    numbered = draws.selectExpr(
         "*", "coalesce(sum(count) over (partition by rank order by shard rows between unbounded "
         "preceding and 1 preceding), 0) as first").where("count > 0").selectExpr(
         "shard", "rank", "explode(sequence(first, first + count - 1)) as slot")
-    each = each.join(balance, "rank")
-    over = each.where("slot >= slots").selectExpr("shard", "over_base + slot - slots as number")
+    numbered = numbered.join(balance, "rank")
+    over = numbered.where("slot >= slots").selectExpr("shard", "over_base + slot - slots as number")
     under = balance.where("slots > drawn").selectExpr(
         "rank", "under_base", "drawn", "explode(sequence(drawn, slots - 1)) as slot").selectExpr(
         "rank", "slot", "under_base + slot - drawn as number")
-    filled = (each.where("slot < slots").select("shard", "rank", "slot")
+    filled = (numbered.where("slot < slots").select("shard", "rank", "slot")
               .union(over.join(under, "number").select("shard", "rank", "slot")))
     placed_ = filled.join(sources.select("rank", "source_size", "full", "blocks", "passes", "part"), "rank")
     placed_ = placed_.selectExpr("*", "slot div blocks as pass", "slot % blocks as k")
