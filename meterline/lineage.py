@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_FOLDERS: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,7 +28,22 @@ def shared_root(spark: SparkSession) -> str:
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below `shared_root`."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def folders() -> list[str]:
+    """The work folders that this process has named so far."""
+    return list(_FOLDERS)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete work folders whose rows nothing reads any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _FOLDERS.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
