@@ -13,8 +13,9 @@ sampled suffixes:
 3. The contexts of a gram meet in one task, which sorts their suffixes, and their reversed prefixes,
    by multikey quicksort to a shallow depth and by blind tries below it. Along the tree of common
    prefixes it finds for each context how far a string shared with another reaches to both sides.
-4. Grams with more than GROUP contexts are settled by counting: each window is hashed (128 bits), and
-   windows that occur in two contexts are repeated. That is exact as well and needs no group.
+4. Grams with more than GROUP contexts are settled by counting: each window through an anchor of
+   theirs is hashed (128 bits), and windows that start at two places are repeated. That is exact as
+   well and needs no group.
 5. The repeated stretches go back to the texts that hold them.
 
 Texts are UTF-8 bytes, null is empty, and a match never crosses texts. A row is known by
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,19 @@ SEGMENT = 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+@lru_cache(maxsize=1)
+def _codec() -> tuple:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(text) -> bytes:
+    return _codec()[0].compress(text)
+
+
+def unpack(packed: bytes) -> bytes:
+    return _codec()[1].decompress(packed)
+
+
 # --- anchors ---------------------------------------------------------------------------------
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -230,8 +246,7 @@ def shared_reach(lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, n
         members = prefix[i:j]
         members = members[np.argsort(rank[members])]
         at = rank[members]
-        between = np.minimum.reduceat(right_lcp, at[:-1] + 1) if len(at) == 2 else _between(
-            right_lcp, at)
+        between = _between(right_lcp, at)
         best = np.zeros(len(at), np.int64)
         best[1:] = between
         best[:-1] = np.maximum(best[:-1], between)
@@ -261,14 +276,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = ("gram", "t1", "t2", "pos", "again", "before", "after")
         out: dict[str, list] = {n: [] for n in names}
-        rows = zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "wanted")))
-        data, offsets = w.text_bytes(batch.column("text"))
-        raw = memoryview(data)
-        for (t1, t2, wanted), a, b in zip(rows, offsets[:-1].tolist(), offsets[1:].tolist()):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "wanted", "packed")))
+        for t1, t2, wanted, packed in rows:
+            text = unpack(packed)
             for x in wanted:
-                p = a + x["pos"]
-                row = (x["gram"], t1, t2, x["pos"], x["again"],
-                       bytes(raw[max(p - BEFORE, a):p])[::-1], bytes(raw[p:min(p + LENGTH, b)]))
+                p = x["pos"]
+                row = (x["gram"], t1, t2, p, x["again"],
+                       text[max(p - BEFORE, 0):p][::-1], text[p:p + LENGTH])
                 for n, v in zip(names, row):
                     out[n].append(v)
             if len(out["gram"]) > 4096:
@@ -323,36 +337,40 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all windows through an anchor, with their distance to it."""
+    """128-bit hashes of all windows through the wanted anchors of a text, each place once."""
     for batch in batches:
-        for r in batch.to_pylist():
-            text = r["before"][::-1] + r["after"]
-            back = len(r["before"])
-            hashes = [xxhash.xxh3_128_intdigest(text[i:i + LENGTH])
-                      for i in range(len(text) - LENGTH + 1)]
-            n = len(hashes)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed([h >> 64 for h in hashes]), _signed([h & w._M64 for h in hashes]),
-                     pa.array([back - i for i in range(n)], pa.int32()),
-                     *[pa.array([r[c]] * n, pa.int64() if c != "pos" else pa.int32())
-                       for c in ("gram", "t1", "t2", "pos")]],
-                    ["h1", "h2", "back", "gram", "t1", "t2", "pos"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "wanted", "packed")))
+        for t1, t2, wanted, packed in rows:
+            text = memoryview(unpack(packed))
+            most, done = len(text) - LENGTH + 1, 0
+            for a in sorted(x["pos"] for x in wanted):
+                places = range(max(a - BEFORE, done), min(a + 1, most))
+                done = max(done, places.stop)
+                hashes = [xxhash.xxh3_128_intdigest(text[p:p + LENGTH]) for p in places]
+                if hashes:
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed([h >> 64 for h in hashes]), _signed([h & w._M64 for h in hashes]),
+                         pa.array([t1] * len(hashes), pa.int64()),
+                         pa.array([t2] * len(hashes), pa.int64()),
+                         pa.array(places, pa.int32())], ["h1", "h2", "t1", "t2", "pos"])
 
 
 # --- the whole -------------------------------------------------------------------------------
 
-_KEY = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())])
+_PACKED = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()),
+                        T.StructField("packed", T.BinaryType())])
 
 
-@F.arrow_udf(_KEY)
-def text_keys(column: pa.Array, ids: pa.Array) -> pa.Array:
+@F.arrow_udf(_PACKED)
+def packed_text(column: pa.Array, ids: pa.Array) -> pa.Array:
+    """Key and compressed bytes of each text: what the joins deal out."""
     data, offsets = w.text_bytes(column)
     raw = memoryview(data)
-    keys = [text_key(raw[a:b], i)
-            for a, b, i in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ids.to_pylist())]
-    return pa.StructArray.from_arrays([_signed([k[0] for k in keys]),
-                                       _signed([k[1] for k in keys])], ["t1", "t2"])
+    texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    keys = [text_key(t, i) for t, i in zip(texts, ids.to_pylist())]
+    return pa.StructArray.from_arrays(
+        [_signed([k[0] for k in keys]), _signed([k[1] for k in keys]),
+         pa.array([pack(t) for t in texts], pa.binary())], _PACKED.names)
 
 
 def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -372,25 +390,22 @@ def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
     open_ = contexts.where("contexts > 1")
     wanted = open_.groupBy("first.t1", "first.t2").agg(F.collect_list(F.struct(
         "gram", "first.pos", F.expr("n > 1").alias("again"), "contexts")).alias("wanted"))
-    keyed = docs.select("text", text_keys("text", "doc_id").alias("k"))
-    joined = keyed.alias("d").join(wanted.alias("k"), F.expr("d.k.t1 = k.t1 and d.k.t2 = k.t2"))
+    joined = docs.select(packed_text("text", "doc_id").alias("k")).select("k.*").join(
+        wanted, ["t1", "t2"])
 
-    def cut(condition: str) -> DataFrame:
-        return (joined.select("k.t1", "k.t2", "d.text",
-                              F.expr(f"filter(wanted, x -> {condition})").alias("wanted"))
-                .where("size(wanted) > 0").mapInArrow(_contexts, _CONTEXT))
+    def of(condition: str) -> DataFrame:
+        return joined.withColumn("wanted", F.expr(f"filter(wanted, x -> {condition})")).where(
+            "size(wanted) > 0").select("t1", "t2", "wanted", "packed")
 
-    sorted_ = (cut(f"x.contexts <= {group}").repartition(n, "gram").sortWithinPartitions("gram")
-               .mapInArrow(_compare, _REACH))
+    sorted_ = (of(f"x.contexts <= {group}").mapInArrow(_contexts, _CONTEXT)
+               .repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_compare, _REACH))
     found = whole.union(sorted_)
     if not open_.where(F.col("contexts") > group).isEmpty():
-        windows = cut(f"x.contexts > {group}").dropDuplicates(["gram", "t1", "t2", "pos"]).mapInArrow(
-            _windows, "h1 long, h2 long, back int, gram long, t1 long, t2 long, pos int")
-        again = windows.groupBy("gram", "h1", "h2", "back").count().where("count > 1").drop("count")
-        found = found.union(
-            windows.join(again, ["gram", "h1", "h2", "back"], "left_semi")
-            .groupBy("t1", "t2", "pos").agg(F.max("back").alias("to_left"),
-                                            (LENGTH - F.min("back")).alias("to_right")))
+        windows = of(f"x.contexts > {group}").mapInArrow(
+            _windows, "h1 long, h2 long, t1 long, t2 long, pos int")
+        again = windows.groupBy("h1", "h2").count().where("count > 1").drop("count")
+        found = found.union(windows.join(again, ["h1", "h2"], "left_semi").selectExpr(
+            "t1", "t2", "pos", "0 as to_left", f"{LENGTH} as to_right"))
     spans = found.groupBy("t1", "t2", "pos").agg(F.max("to_left").alias("a"),
                                                  F.max("to_right").alias("b"))
     return spans.groupBy("t1", "t2").agg(
@@ -406,21 +421,21 @@ _DIGEST = T.StructType([
 
 def _cut(with_text: bool):
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        data, offsets = w.text_bytes(texts)
-        raw, rows = memoryview(data), []
-        for a, b, found in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans.to_pylist()):
-            kept, at, removed, count = [], a, 0, 0
+        rows = []
+        for packed, found in zip(texts.to_pylist(), spans.to_pylist()):
+            raw = memoryview(unpack(packed))
+            size, kept, at, removed, count = len(raw), [], 0, 0, 0
             merged: list[list[int]] = []
-            for s in sorted((x["start"], min(x["end"], b - a)) for x in found or ()):
+            for s in sorted((x["start"], min(x["end"], size)) for x in found or ()):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
                     merged.append(list(s))
             for s, e in merged:
-                kept.append(raw[at:a + s])
-                at, removed, count = a + e, removed + e - s, count + 1
-            text = b"".join([*kept, raw[at:b]])
-            rows.append((b - a, removed, count, text if with_text else None,
+                kept.append(raw[at:s])
+                at, removed, count = e, removed + e - s, count + 1
+            text = b"".join([*kept, raw[at:]])
+            rows.append((size, removed, count, text if with_text else None,
                          hashlib.sha256(text).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         return pa.StructArray.from_arrays(
@@ -434,7 +449,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     character) and kept_sha256 of each row."""
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_stretches(narrow, group)
-    keyed = narrow.withColumn("k", text_keys("text", "doc_id"))
-    return (keyed.alias("d").join(spans.alias("s"), F.expr("d.k.t1 = s.t1 and d.k.t2 = s.t2"), "left")
-            .select("d.doc_id", _cut(with_text)("d.text", "s.spans").alias("x"))
+    keyed = narrow.select("doc_id", packed_text("text", "doc_id").alias("k")).select("doc_id", "k.*")
+    return (keyed.join(spans, ["t1", "t2"], "left")
+            .select("doc_id", _cut(with_text)("packed", "spans").alias("x"))
             .select("doc_id", "x.*"))
