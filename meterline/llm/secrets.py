@@ -29,6 +29,7 @@ from meterline.lineage import stored
 from meterline.tables import small_table
 
 MOST_STRINGS = 64
+KEY = ["h1", "h2"]
 
 
 @dataclass(frozen=True)
@@ -134,17 +135,18 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 # --- the scan --------------------------------------------------------------------------------
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(uid, kinds): the texts that the index gives for rules with mandatory trigrams."""
-    sets = [(r.kind, f"{r.kind}-{i}", t, len(s)) for r in rules
+    """(h1, h2, kinds): the texts that the index gives for rules with mandatory trigrams; `kinds` has
+    a bit for each rule."""
+    sets = [(1 << n, f"{n}-{i}", t, len(s)) for n, r in enumerate(rules)
             for i, s in enumerate(trigram_query(r.pattern)) if s for t in sorted(s)]
     wanted = sorted({t for _, _, t, _ in sets})
     queries = small_table(texts.sparkSession, sets, T.StructType.fromDDL(
-        "kind string, clause string, trigram string, size long"))
-    postings = texts.select("uid", F.lower("text").alias("low")).select("uid", F.explode(F.filter(
+        "kinds long, clause string, trigram string, size long"))
+    postings = texts.select(*KEY, F.lower("text").alias("low")).select(*KEY, F.explode(F.filter(
         F.array(*[F.lit(t) for t in wanted]), lambda t: F.col("low").contains(t))).alias("trigram"))
-    full = (postings.join(F.broadcast(queries), "trigram")  # a row per trigram of the rule list
-            .groupBy("uid", "kind", "clause", "size").count().where("count = size"))
-    return full.groupBy("uid").agg(F.collect_set("kind").alias("kinds"))
+    full = (postings.distinct().join(F.broadcast(queries), "trigram")  # a row per trigram of a rule
+            .groupBy(*KEY, "kinds", "clause", "size").count().where("count = size"))
+    return full.groupBy(*KEY).agg(F.bit_or("kinds").alias("kinds"))
 
 
 def _matches(rule: Rule):
@@ -167,39 +169,43 @@ def _simplified(rule: Rule) -> Rule:
 
 
 def spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(uid, kind, start, end) of every match in stored rows (uid, text)."""
+    """(h1, h2, kind, start, end) of every match in rows (h1, h2, text)."""
     rules = tuple(_simplified(r) for r in rules)
     whole = [r for r in rules if not all(trigram_query(r.pattern))]
-    by_index = [r for r in rules if r not in whole]
-    parts = []
-    for r in whole:
-        parts.append(texts.where(F.col("text").rlike(r.pattern)).select("uid", _matches(r).alias("m")))
+    by_index = tuple(r for r in rules if r not in whole)
+    parts = [texts.where(F.col("text").rlike(r.pattern)).select(*KEY, _matches(r).alias("m"))
+             for r in whole]
     if by_index:
-        found = stored(candidates(texts, tuple(by_index)), "candidates")
-        each = F.array(*[F.when(F.array_contains("kinds", r.kind), _matches(r)) for r in by_index])
-        parts.append(texts.join(found, "uid").select("uid", F.explode(F.filter(
+        found = stored(candidates(texts, by_index), "candidates")
+        each = F.array(*[F.when(F.col("kinds").bitwiseAND(1 << n) > 0, _matches(r))
+                         for n, r in enumerate(by_index)])
+        parts.append(texts.join(found, KEY).select(*KEY, F.explode(F.filter(
             each, lambda m: m.isNotNull() & (F.size(m["sizes"]) > 0))).alias("m")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    rows = rows.select("uid", "m.kind", F.posexplode(F.expr(
-        "arrays_zip(slice(m.gaps, 1, size(m.sizes)), m.sizes, m.ok)")).alias("i", "x"))
-    rows = rows.selectExpr("uid", "kind", "i", "x.`0` as gap", "x.sizes as size", "x.ok as ok")
+    rows = rows.select(*KEY, "m.*").dropDuplicates([*KEY, "kind"])  # repeated rows share a key
+    rows = rows.select(*KEY, "kind", F.posexplode(F.expr(
+        "arrays_zip(slice(gaps, 1, size(sizes)), sizes, ok)")).alias("i", "x"))
+    rows = rows.selectExpr(*KEY, "kind", "i", "x.`0` as gap", "x.sizes as size", "x.ok as ok")
     return rows.selectExpr(
-        "uid", "kind", "ok", "size", "sum(gap + size) over (partition by uid, kind order by i) as end"
-    ).where("ok").selectExpr("uid", "kind", "end - size as start", "end")
+        *KEY, "kind", "ok", "size",
+        "sum(gap + size) over (partition by h1, h2, kind order by i) as end"
+    ).where("ok").selectExpr(*KEY, "kind", "end - size as start", "end")
 
 
-def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
+         rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` as struct `row`, with `spans`: structs (start, place, kind, end) by start,
-    then by the rule's place in the list."""
-    texts = stored(docs.select(F.struct("*").alias("row"), F.coalesce(text, F.lit("")).alias("text"),
-                               F.monotonically_increasing_id().alias("uid")), "texts")
+    then by the rule's place in the list. Rows are known by 96 bits of hashes of id and text."""
+    value = F.coalesce(text, F.lit(""))
+    texts = docs.select(F.struct("*").alias("row"), value.alias("text"),
+                        F.xxhash64(id_column, value).alias("h1"), F.hash(value, id_column).alias("h2"))
     place = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
-    lists = spans(texts.select("uid", "text"), rules).groupBy("uid").agg(F.sort_array(F.collect_list(
+    lists = spans(texts.select(*KEY, "text"), rules).groupBy(*KEY).agg(F.sort_array(F.collect_list(
         F.struct("start", place.alias("place"), "kind", "end"))).alias("spans"))
-    return (texts.select("uid", "row").join(lists, "uid", "left")
-            .withColumn("spans", F.expr("coalesce(spans, array())")).drop("uid"))
+    return (texts.select(*KEY, "row").join(lists, KEY, "left")
+            .withColumn("spans", F.expr("coalesce(spans, array())")).drop(*KEY))
 
 
 def spelled(kinds: tuple[str, ...] | None = None):
