@@ -6,29 +6,53 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.lineage import stored
+from meterline.lineage import folders, remove, stored
 from meterline.llm import decontaminate, mixing, quality, simhash, tokenbin
 from meterline.llm.frames import table
 from meterline.llm.queries import word_tokenizer
 
+_OLD: list[str] = []
+
+
+def _stage(run):
+    """A stage whose docs have been written no longer needs what the stage before it put into work
+    folders, so that goes when it starts; its own folders stay for its result to be read. Docs that
+    are no written table, but a plan that may read from there, leave everything as it is."""
+    @wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+            remove(spark, _OLD)
+        before = set(folders())
+        result = run(spark, docs, sf_dir)
+        _OLD[:] = [f for f in folders() if f not in before]
+        return result
+
+    return stage
+
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the adaptive fences reject go."""
     return quality.keep(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, that with the smallest id."""
     return simhash.keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a benchmark's windows hit one word in 20 go."""
     return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: a row per pass over a document."""
     mixed = mixing.mixed_documents(docs)
@@ -39,6 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards with Elias-Fano boundaries; a row per document, read back from them."""
     return tokenbin.read_documents(tokenbin.write(docs, word_tokenizer()))
