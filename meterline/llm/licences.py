@@ -184,23 +184,29 @@ def fit(spark: SparkSession, corpus: DataFrame) -> Classifier:
     return Classifier(families, model, (float(platt.coefficients[0]), float(platt.intercept)))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` as struct `row`, with n_paragraphs, n_cued, n_licensed, families (sorted)
-    and found: structs (line, family, p, overlap) of the confirmed paragraphs."""
+    and found: structs (line, family, p, overlap) of the confirmed paragraphs. What is kept between
+    the steps are the cued paragraphs, by 96 bits of hashes of id and text, which repeated rows
+    share; no text is stored a second time."""
     spark = docs.sparkSession
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    lines = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("line"), p.alias("paragraph"))),
-                     lambda x: F.length(F.trim(x["paragraph"])) > 0)
-    rows = stored(
-        docs.select(F.struct("*").alias("row"), lines.alias("lines"),
-                    F.monotonically_increasing_id().alias("uid"))
-        .select("row", "uid", F.size("lines").cast("long").alias("n_paragraphs"),
-                F.filter("lines", lambda x: x["paragraph"].rlike(CUE)).alias("cued")), "licence-lines")
+    value = F.coalesce(text, F.lit(""))
+    key = [F.xxhash64(id_column, value).alias("h1"), F.hash(value, id_column).alias("h2")]
+    lines = F.transform(F.split(value, "\n", -1), lambda p, i: F.struct(
+        i.alias("line"), p.alias("paragraph")))
+    filled = F.filter(lines, lambda x: F.length(F.trim(x["paragraph"])) > 0)
+    kept = stored(
+        docs.select(*key, filled.alias("lines"))
+        .select("h1", "h2", F.size("lines").cast("long").alias("n_paragraphs"),
+                F.filter("lines", lambda x: x["paragraph"].rlike(CUE)).alias("cued"))
+        .dropDuplicates(["h1", "h2"]), "licence-lines")
     model = fit(spark, docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")))
-    cued = rows.select("uid", F.inline("cued"))
-    found = (model.classify(cued).where("confirmed").groupBy("uid")
+    found = (model.classify(kept.select("h1", "h2", F.inline("cued"))).where("confirmed")
+             .groupBy("h1", "h2")
              .agg(F.sort_array(F.collect_list(F.struct("line", "family", "p", "overlap"))).alias("found")))
-    return rows.join(found, "uid", "left").select(
-        "row", "n_paragraphs", F.size("cued").cast("long").alias("n_cued"),
+    counts = kept.select("h1", "h2", "n_paragraphs", F.size("cued").cast("long").alias("n_cued"))
+    return (docs.select(F.struct("*").alias("row"), *key)
+            .join(counts.join(found, ["h1", "h2"], "left"), ["h1", "h2"]).select(
+        "row", "n_paragraphs", "n_cued",
         F.expr("cast(coalesce(size(found), 0) as long)").alias("n_licensed"),
-        F.expr("array_sort(array_distinct(coalesce(found.family, array())))").alias("families"), "found")
+        F.expr("array_sort(array_distinct(coalesce(found.family, array())))").alias("families"), "found"))
