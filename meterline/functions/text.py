@@ -25,7 +25,7 @@ EMAIL = (
     r"(?i)(?:(?<![A-Z0-9._%+-])|\G)[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}"
 )
 SECRET_FIELD = (
-    r'(?i)("?(?:api[_-]?key|password|secret|token|authorization)"?\s*:\s*")([^"]*)(")'
+    r'(?i)(?U)("?(?:api[_-]?key|password|secret|token|authorization)"?\s*:\s*")([^"]*)(")'
 )
 BEARER = r"(?i)(?U)\bBearer\s+[A-Za-z0-9._~+/=-]+"
 API_KEY = r"(?U)\bsk-[A-Za-z0-9_-]{12,}\b"
@@ -108,7 +108,7 @@ def parse_timestamp(timestamp: Column) -> Column:
 # --- JSON bodies -----------------------------------------------------------------------------
 
 _CHOICES = "choices array<struct<message:struct<content:string>,text:string>>"
-_MESSAGES = "messages array<struct<role:string,content:string>>"
+_MESSAGES = "messages array<string>"
 
 
 def completion_target(response: Column) -> Column:
@@ -122,17 +122,22 @@ def completion_target(response: Column) -> Column:
 
 def completion_label(response: Column) -> Column:
     """Answer text only where it is a JSON string, trimmed; NULL otherwise."""
-    def string_at(path: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-        return F.when(kind == "STRING", F.try_variant_get(parsed, path, "string"))
-
     parsed = F.try_parse_json(response)
-    return strip(F.coalesce(string_at("$.choices[0].message.content"),
-                            string_at("$.choices[0].text")))
+    return strip(F.coalesce(_string_at(parsed, "$.choices[0].message.content"),
+                            _string_at(parsed, "$.choices[0].text")))
+
+
+def _string_at(parsed: Column, path: str) -> Column:
+    """The value at a path of a parsed document where it is a JSON string; NULL otherwise."""
+    kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(parsed, path, "string"))
 
 
 def messages_of(body: Column) -> Column:
-    return F.from_json(body, _MESSAGES)["messages"]
+    """Role and content of each message; an element that is no object has neither, and the others
+    are still read."""
+    return F.transform(F.from_json(body, _MESSAGES)["messages"],
+                       lambda m: F.from_json(m, "role string, content string"))
 
 
 def user_content(body: Column) -> Column:
@@ -146,12 +151,14 @@ def user_content(body: Column) -> Column:
 
 
 def last_user_content(body: Column) -> Column:
-    """`prompt` if there is one, else the last user turn, trimmed."""
-    turns = F.filter(
-        messages_of(body), lambda m: (m["role"] == "user") & m["content"].isNotNull()
-    )
-    return strip(F.coalesce(F.get_json_object(body, "$.prompt"),
-                            F.try_element_at(turns, F.lit(-1))["content"]))
+    """`prompt` if it is a string, else the last user turn whose content is one, trimmed."""
+    turns = F.transform(F.from_json(body, _MESSAGES)["messages"], F.try_parse_json)
+    said = F.filter(
+        F.transform(turns, lambda m: F.when(_string_at(m, "$.role") == "user",
+                                            _string_at(m, "$.content"))),
+        lambda content: content.isNotNull())
+    return strip(F.coalesce(_string_at(F.try_parse_json(body), "$.prompt"),
+                            F.try_element_at(said, F.lit(-1))))
 
 
 def infer_input(body: Column) -> Column:
@@ -184,14 +191,14 @@ def input_text(body: Column, input_format: str, max_chars: int = 0) -> Column:
 
 # --- prompts ---------------------------------------------------------------------------------
 
-def label_prompt(task_description: str, labels: list[str], text: Column) -> Column:
-    head = (
-        task_description.strip()
-        + "\nReturn exactly one label from the allowed list. Do not explain.\n\nAllowed labels:\n"
-        + "\n".join(f"- {label}" for label in labels)
-        + "\n\nText:\n"
-    )
-    return F.concat(F.lit(head), text, F.lit("\n\nLabel:"))
+def label_prompt(task_description: str, labels: list[str] | Column, text: Column) -> Column:
+    """`labels` is a list, or an array column. The lines around them are fixed values."""
+    if not isinstance(labels, Column):
+        labels = F.array(*[F.lit(label) for label in labels])
+    lines = F.array_join(F.transform(labels, lambda x: F.concat(F.lit("- "), x)), "\n")
+    head = "\nReturn exactly one label from the allowed list. Do not explain.\n\nAllowed labels:\n"
+    return F.concat(F.lit(task_description.strip() + head), lines, F.lit("\n\nText:\n"), text,
+                    F.lit("\n\nLabel:"))
 
 
 def complaint_text(narrative: Column, issue: Column, sub_product: Column) -> Column:

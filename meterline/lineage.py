@@ -61,21 +61,3 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized(df: DataFrame, purpose: str, bound: int = 10_000) -> DataFrame:
-    """The same rows in a form whose size the optimizer knows, so that it broadcasts them only if
-    they are small: up to `bound` rows as a local relation, more than that as a stored table."""
-    head = df.limit(bound + 1).toArrow()
-    if head.num_rows <= bound:
-        return df.sparkSession.createDataFrame(head, df.schema)
-    return stored(df, purpose)
-
-
-def spread(df: DataFrame, factor: int = 8) -> DataFrame:
-    """More partitions for a scan that has fewer than there are cores. A scan of many splits passes
-    through unchanged; one that comes as a few row groups would leave the cores idle under work
-    that is heavy per row."""
-    now = df.rdd.getNumPartitions()
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, factor * now)
-    return df.repartition(wanted) if now < wanted else df

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.cost import hash_bucket
-from meterline.functions.text import completion_target, input_text, label_prompt
-from meterline.lineage import sized
+from meterline.functions.text import blank_to_null, completion_target, input_text, label_prompt, parse_timestamp
+from meterline.lineage import stored
 from meterline.operators.ranking import latest_per_key
 from meterline.schemas import DATASET_COLUMNS
 
@@ -40,7 +40,7 @@ def build_dataset(
     newest = latest_per_key(
         eligible_rows(logs, task_id),
         [F.col("task_id"), F.coalesce("input_hash", "request_id")],
-        [F.desc("timestamp"), F.desc("request_id")])
+        [F.desc(parse_timestamp(F.col("timestamp"))), F.desc("timestamp"), F.desc("request_id")])
     answer = F.col("response_redacted")
     target = completion_target(answer) if target_field == "openai_content" else answer
     rows = newest.withColumn("teacher_output", target) \
@@ -53,7 +53,7 @@ def build_dataset(
     if min_samples > 1:
         enough = rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")) \
             .filter(F.col("n") >= min_samples).select("task_id")
-        rows = rows.join(sized(enough, "tasks"), "task_id", "left_semi").select(*DATASET_COLUMNS)
+        rows = rows.join(stored(enough, "tasks"), "task_id", "left_semi").select(*DATASET_COLUMNS)
     return rows
 
 
@@ -61,11 +61,19 @@ def split_counts() -> list[Column]:
     return [F.count_if(F.col("split") == s).alias(f"{s}_samples") for s in SPLITS]
 
 
+def time_range(timestamp: Column) -> list[Column]:
+    """First and last timestamp as they are spelled, by instant; unreadable ones count only where
+    there is no other."""
+    instant = parse_timestamp(timestamp)
+    return [F.min_by(timestamp, F.struct(instant.isNull(), instant, timestamp)).alias("min_timestamp"),
+            F.max_by(timestamp, F.struct(instant, timestamp)).alias("max_timestamp")]
+
+
 def dataset_manifest(dataset: DataFrame) -> DataFrame:
     """Per task: sizes, time range and sums."""
     return dataset.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("samples"), *split_counts(),
-        F.min("timestamp").alias("min_timestamp"), F.max("timestamp").alias("max_timestamp"),
+        *time_range(F.col("timestamp")),
         F.sum(F.coalesce("estimated_teacher_cost_usd", F.lit(0.0))).alias("teacher_cost_usd"),
         F.sum(F.coalesce("estimated_savings_usd", F.lit(0.0))).alias("estimated_savings_usd"))
 
@@ -103,10 +111,16 @@ def training_and_eval_rows(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sft_rows(
-    dataset: DataFrame, labels: list[str], task_description: str, record: str = "messages",
-    input_format: str = "openai_user_content", max_input_chars: int = 0,
+    dataset: DataFrame, labels: list[str] | None, task_description: str,
+    record: str = "messages", input_format: str = "openai_user_content", max_input_chars: int = 0,
 ) -> DataFrame:
-    """Fine-tuning records: `messages`, or `prompt` and `completion`."""
+    """Fine-tuning records: `messages`, or `prompt` and `completion`. Without `labels` each task's
+    prompts list the labels of its own rows, which meet the rows as one value per task."""
+    if labels is None:
+        lists = dataset.select("task_id", blank_to_null(F.col("validated_output")).alias("l")) \
+            .groupBy("task_id").agg(F.array_sort(F.collect_set("l")).alias("_labels"))
+        dataset = dataset.join(stored(lists, "labels"), "task_id")
+        labels = F.col("_labels")
     text = input_text(F.col("input"), input_format, max_input_chars)
     prompt = label_prompt(task_description, labels, text)
     split = F.when(F.col("split") == "validation", "valid").otherwise(F.col("split"))

@@ -53,16 +53,18 @@ def classification_metrics(
         (F.sum("tp") / F.sum(tp + F.col("fn"))).alias("accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def token_budget(requests: DataFrame, labels: list[str], token_budget: int) -> DataFrame:
-    """Four characters a token, over the texts and the label list sent with each of them."""
-    list_chars = len("\n".join(f"- {label}" for label in labels))
+def token_budget(requests: DataFrame, labels: DataFrame, token_budget: int) -> DataFrame:
+    """Four characters a token, over the texts and the label list (rows `label`) sent with each of
+    them, a line per label."""
+    sizes = labels.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("label") + 3)).first()
+    n_labels, list_chars = sizes[0], (sizes[1] or 1) - 1
     out = requests.agg(F.count(F.lit(1)).alias("requests"),
                        F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("_chars"))
     tokens = F.floor((F.col("_chars") + F.lit(list_chars) * F.col("requests")) / F.lit(4))
     out = out.withColumn("estimated_prompt_tokens", tokens.cast("long"))
     each = ratio(F.col("estimated_prompt_tokens"), F.col("requests"), None)
     return out.select(
-        "requests", F.lit(len(labels)).cast("long").alias("labels"), "estimated_prompt_tokens",
+        "requests", F.lit(n_labels).cast("long").alias("labels"), "estimated_prompt_tokens",
         round_half_up(each, 2).alias("estimated_prompt_tokens_per_request"),
         F.lit(token_budget).cast("long").alias("token_budget"),
         F.when(each > 0, F.floor(F.lit(float(token_budget)) / each)).otherwise(0).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.cost import round_half_up
-from meterline.functions.text import day_of
+from meterline.functions.text import day_of, parse_timestamp
 from meterline.operators.aggregate import COUNTS, measure, ms, rate, top, usd
 
 COST, TEACHER_COST, SAVINGS = (
@@ -144,7 +144,8 @@ def task_log_summary(logs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("status") == "error", 1).otherwise(0)).alias("errors"),
         F.sum(F.coalesce(F.col(TEACHER_COST), F.lit(0.0))).alias("teacher_cost_usd"),
         F.sum(F.coalesce(F.col(SAVINGS), F.lit(0.0))).alias(SAVINGS),
-        F.max("timestamp").alias("last_seen"),
+        F.max_by("timestamp", F.struct(parse_timestamp(F.col("timestamp")), "timestamp"))
+        .alias("last_seen"),
     )
 
 

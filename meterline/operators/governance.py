@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline.operators.ranking import latest_per_key
+
 PROMOTABLE = ("offline_eval", "shadow", "canary", "production")
 ROUTE_COLUMNS = ["task_id", "mode", "student_model", "student_traffic_percentage",
                  "teacher_probe_percentage"]
@@ -39,14 +41,18 @@ def promotion_gate(
 def promotion_routes(
     models: DataFrame, mode: str, canary_percentage: int = 0, probe_percentage: int = 2
 ) -> DataFrame:
-    """New routes for models that passed the gate."""
+    """New routes for models that passed the gate: of each task the most accurate, then by macro-F1,
+    age and id."""
     for name, value in (("canary", canary_percentage), ("bandit", probe_percentage)):
         if mode == name and not 0 <= value <= 100:
             raise ValueError("percentages must be between 0 and 100")
     canary = F.lit(canary_percentage if mode == "canary" else None).cast("int")
     probe = F.lit(probe_percentage if mode == "bandit" else None).cast("int")
     student = F.lit(None).cast("string") if mode == "teacher_only" else F.col("model_id")
-    return models.filter("promotable").select(
+    best = latest_per_key(models.filter("promotable"), [F.col("task_id")], [
+        *[F.desc(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in ("accuracy", "macro_f1")],
+        F.desc("created_at"), F.desc("model_id")])
+    return best.select(
         "task_id", F.lit(mode).alias("mode"), student.alias("student_model"),
         canary.alias("student_traffic_percentage"), probe.alias("teacher_probe_percentage"))
 

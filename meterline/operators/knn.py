@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.lineage import sized, stored
+from meterline.lineage import stored
 
 TILE_ROWS = 4096
 QUERY_PART_ROWS = 16384
@@ -121,7 +121,7 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int = 5) -> DataF
     pivots = _pivots(refs, n_refs)
     celled = stored(_with_cells(refs, pivots), "cells")
     # A cell larger than a tile is spread over several tiles.
-    parts = sized(celled.groupBy("cell").agg(
+    parts = stored(celled.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)).alias("parts")), "parts")
     tiled = celled.join(parts, "cell").withColumn(
         "tile", F.col("cell").cast("long") * F.lit(1 << 32)
@@ -131,7 +131,7 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int = 5) -> DataF
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("nearest"),
         F.max("reach").alias("farthest")).toPandas()
     asked = stored(_candidate_tiles(queries, pivots, tiles, k), "asked")
-    query_parts = sized(asked.groupBy("tile").agg(
+    query_parts = stored(asked.groupBy("tile").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(QUERY_PART_ROWS)).alias("parts")), "parts")
     left = asked.join(query_parts, "tile").join(queries, "query_id").withColumn(
         "part", F.pmod(F.xxhash64("query_id"), F.col("parts"))) \

@@ -10,24 +10,19 @@ from pyspark.sql import types as T
 from meterline.functions.labels import (
     ALIASES, best_label_by_words, candidates, normalize_label_canonical)
 from meterline.functions.text import blank_to_null, complaint_text, slugify, strip
-from meterline.lineage import sized
+from meterline.lineage import stored
 from meterline.tables import small_table
 
-MAX_LITERAL_LABELS = 2_000
-
 
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:
     return df.select(blank_to_null(F.col(label).cast("string")).alias("label")) \
         .filter("label is not null").distinct()
 
 
-def vocabulary(df: DataFrame, label: str, bound: int = MAX_LITERAL_LABELS) -> list[str]:
-    """Sorted distinct labels on the driver. Refuses more than `bound`, since they become literals
-    of an expression; the operators over label tables have no such bound."""
-    rows = distinct_labels(df, label).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} labels in {label!r}: use the label-table form")
-    return sorted(r["label"] for r in rows)
+def vocabulary(df: DataFrame, label: str) -> list[str]:
+    """Sorted distinct labels on the driver, for the forms that take a label list; the forms over
+    label tables bring none there."""
+    return sorted(r["label"] for r in distinct_labels(df, label).collect())
 
 
 def normalize_by_join(
@@ -109,7 +104,7 @@ def prepare_complaints(complaints: DataFrame, allowed: DataFrame | None = None)
     """Labelled requests from complaints: allowed products, slug as label, text with the reported
     issue."""
     rows = complaints if allowed is None else allowed_rows(complaints, "product", allowed)
-    slugs = sized(unique_slugs(rows), "slugs")
+    slugs = stored(unique_slugs(rows), "slugs")
     return rows.join(slugs, "product").withColumn(
         "text", complaint_text(F.col("narrative"), F.col("issue"), F.col("sub_product"))
     ).withColumnRenamed("slug", "expected_intent")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.lineage import sized
+from meterline.lineage import stored
 from meterline.operators.ranking import mark_first_n, quantile_slices
 
 
@@ -43,7 +43,7 @@ def balanced_sample(
     (a number) within a label. A limit of 0, or one not below the row count, keeps all rows."""
     if limit <= 0 or rows.count() <= limit:
         return rows
-    quotas = sized(round_robin_quotas(rows, label, limit), "quotas")
+    quotas = stored(round_robin_quotas(rows, label, limit), "quotas")
     slice_no = quantile_slices(rows, F.col(position))
     return mark_first_n(
         rows.join(quotas, label), [label], [position, *tie], slice_no, "quota", "_in"

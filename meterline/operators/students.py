@@ -18,7 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.lineage import cut, sized
+from meterline.lineage import cut, stored
 from meterline.operators.evaluate import classification_metrics, majority_baseline
 
 TFIDF_KINDS = ("tfidf_logistic", "tfidf_mlp")
@@ -120,7 +120,7 @@ def fit_student(train: DataFrame, spec: StudentSpec = StudentSpec()) -> Student
     features = _features(train, spec)
     if spec.kind.endswith("logistic"):
         # Balanced class weights sum to the row count; C = 1 is a penalty of 1 / rows per row.
-        balanced = sized(counts.select("label", (
+        balanced = stored(counts.select("label", (
             F.lit(float(n_rows)) / (F.lit(float(n_labels)) * F.col("_n"))).alias("_weight")),
             "weights")
         train = train.join(balanced, "label")

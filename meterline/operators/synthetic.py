@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.cost import ratio
-from meterline.functions.text import squeeze
-from meterline.lineage import sized, stored
+from meterline.functions.text import squeeze, parse_timestamp
+from meterline.lineage import stored
 from meterline.operators.ranking import latest_per_key, mark_first_n, quantile_slices
 from meterline.schemas import DATASET_COLUMNS, SYNTHETIC_COLUMNS
 
@@ -63,25 +63,27 @@ def synthetic_rows(
         F.struct("task_id", "request_id", "input_hash", "timestamp")), 256))
 
     pairs = keyed.select(
-        "task_id", "_row", "timestamp", F.coalesce("request_id", F.lit("")).alias("request_id"),
+        "task_id", "_row", "timestamp",
+        F.unix_micros(parse_timestamp(F.col("timestamp"))).alias("_when"),
+        F.coalesce("request_id", F.lit("")).alias("request_id"),
         squeeze(F.col("input")).alias("_text"),
         F.explode(F.array(*[F.lit(v) for v in range(max(variants, 1))])).alias("_variant"),
     ).withColumn("_hash", F.sha2(_templated(F.col("_text"), F.col("_variant")), 256)) \
         .filter("_hash is not null").drop("_text")
     known = real.select("task_id", F.sha2("input", 256).alias("_hash")).distinct()
-    order = ["_variant", "timestamp", "request_id", "_row"]
+    order = ["_variant", "_when", "timestamp", "request_id", "_row"]
     fresh = stored(latest_per_key(
         pairs, [F.col("task_id"), F.col("_hash")], [F.asc(c) for c in order]
     ).join(known, ["task_id", "_hash"], "left_anti"), "fresh")
 
     n = F.col("_n").cast("double")
     by_share = F.floor((n * F.lit(float(max_ratio))) / F.lit(1 - float(max_ratio)))
-    targets = sized(real.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n")).select(
+    targets = stored(real.groupBy("task_id").agg(F.count(F.lit(1)).alias("_n")).select(
         "task_id", F.least(F.col("_n") * multiplier, by_share).cast("long").alias("_target")),
         "targets")
-    when = F.unix_micros(F.try_to_timestamp("timestamp"))
-    slice_no = F.col("_variant") * 1000 + F.coalesce(
-        quantile_slices(real, when), F.lit(0))
+    when = F.col("_when")
+    slice_no = F.col("_variant") * 1000 + F.when(when.isNull(), 0).otherwise(
+        quantile_slices(fresh, when))
     chosen = mark_first_n(fresh.join(targets, "task_id"), ["task_id"], order, slice_no, "_target",
                           "_in").filter("_in").select("task_id", "_row", "_variant")
 

@@ -666,7 +666,7 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
         "knn_labels": """WITH pairs AS (
               SELECT a.vec_id AS query_id, b.label, b.vec_id AS ref_id,
                 list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
-              FROM embeddings a, embeddings b),
+              FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
             top AS (SELECT * FROM pairs QUALIFY row_number() OVER (
               PARTITION BY query_id ORDER BY round(score, 12) DESC, ref_id) <= 5),
             votes AS (SELECT query_id, label, count(*) AS votes,

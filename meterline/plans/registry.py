@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.functions import labels as lab
@@ -208,14 +208,12 @@ def synthetic_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def sft_prompt(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stored_dataset(spark, sf)
-    labels = labelling.vocabulary(rows, "validated_output")
-    return dataset.sft_rows(rows, labels, TASK_DESCRIPTION, "prompt").drop("task_id")
+    return dataset.sft_rows(rows, None, TASK_DESCRIPTION, "prompt").drop("task_id")
 
 
 def sft_messages(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stored_dataset(spark, sf)
-    labels = labelling.vocabulary(rows, "validated_output")
-    return dataset.sft_rows(rows, labels, TASK_DESCRIPTION, "messages").select(
+    return dataset.sft_rows(rows, None, TASK_DESCRIPTION, "messages").select(
         "request_id", "split", F.to_json(F.struct("messages")).alias("record"))
 
 
@@ -223,7 +221,7 @@ def sft_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_normalize(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    codes = labelling.vocabulary(docs, "lang")
+    codes = labelling.vocabulary(table(spark, sf, "documents"), "lang")
     return docs.select("doc_id", lab.normalize_label(F.col("text"), codes).alias("label"))
 
 
@@ -268,7 +266,7 @@ def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return evaluate.token_budget(docs, labelling.vocabulary(docs, "lang"), BUDGET)
+    return evaluate.token_budget(docs, labelling.distinct_labels(docs, "lang"), BUDGET)
 
 
 def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +283,9 @@ def knn_labels(spark: SparkSession, sf: str) -> DataFrame:
     refs = vectors.select(F.col("vec_id").alias("ref_id"),
                           F.col("embedding").alias("ref_vector"),
                           F.col("label").alias("ref_label"))
-    return _rounded(knn.label_by_neighbours(queries, refs), 8, "confidence")
+    near = knn.nearest_references(queries, refs, 6).filter("query_id <> ref_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return _rounded(knn.vote(near.withColumn("rank", rank).filter("rank <= 5")), 8, "confidence")
 
 
 # --- students --------------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def student_hybrid_eval(spark: SparkSession, sf: str) -> DataFrame:
         F.col("quality").cast("string").alias("label"))
     train, evaluation = dataset.training_and_eval_rows(rows)
     return students.student_report(train, evaluation,
-                                   students.StudentSpec("hybrid_logistic", max_iter=50))
+                                   students.StudentSpec("hybrid_logistic"))
 
 
 def queries() -> dict[str, Query]:
@@ -388,11 +388,9 @@ def queries() -> dict[str, Query]:
         "token_budget": token_budget,
         "majority_baseline": majority_baseline,
         "knn_labels": knn_labels,
-        "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic", max_iter=50)),
-        "student_embedding_eval": _vector_student(
-            students.StudentSpec("embedding_logistic", max_iter=50)),
-        "student_mlp_eval": _vector_student(
-            students.StudentSpec("embedding_mlp", hidden=(64,), max_iter=60)),
+        "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic")),
+        "student_embedding_eval": _vector_student(students.StudentSpec("embedding_logistic")),
+        "student_mlp_eval": _vector_student(students.StudentSpec("embedding_mlp")),
         "student_hybrid_eval": student_hybrid_eval,
         **live.queries(),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from meterline import schemas
 from meterline.config import Snapshot
-from meterline.functions.text import blank_to_null, strip
+from meterline.functions.text import blank_to_null, strip, parse_timestamp
 from meterline.operators.dataset import SPLITS
 from meterline.sources.logs import paths_matching
 from meterline.tables import small_table
@@ -85,7 +85,8 @@ def write_dataset(dataset: DataFrame, root: str) -> None:
 
     The rebalance hint brings the rows of a folder together, so that there are not as many files
     as tasks times folders, and lets AQE split a folder that dominates over several writers."""
-    dataset.hint("rebalance", "task_id", "split").sortWithinPartitions("task_id", "split", "timestamp", "request_id") \
+    dataset.hint("rebalance", "task_id", "split").sortWithinPartitions(
+        "task_id", "split", parse_timestamp(F.col("timestamp")), "timestamp", "request_id") \
         .write.mode("errorifexists").partitionBy("task_id", "split").parquet(root)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.config import Limits
-from meterline.lineage import cut, sized
+from meterline.lineage import cut, stored
 from meterline.operators.ratelimit import limit_table
 from meterline.sources.logs import paths_matching
 
@@ -68,7 +68,7 @@ def _stage(
     last = counted.filter(asked).select(key, "_ms", F.struct("ts", "request_id").alias("_ord")) \
         .join(refusing.filter("_allowed > 0"), [key, "_ms"]).withColumn("_rn", rank) \
         .filter("_rn = _allowed").select(key, "_ms", F.col("_ord").alias("_cut"))
-    outcome = sized(refusing.join(last, [key, "_ms"], "left"), "outcome")
+    outcome = stored(refusing.join(last, [key, "_ms"], "left"), "outcome")
     late = F.col("_cut").isNull() | (F.struct("ts", "request_id") > F.col("_cut"))
     decided = counted.join(outcome, [key, "_ms"], "left").withColumn(
         "limit_reason", F.when(asked & F.col("_allowed").isNotNull() & late, reason)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from meterline import schemas
 from meterline.operators import (
     dataset, evaluate, knn, labelling, ranking, sampling, students, synthetic)
+from meterline.operators import governance
 from meterline.operators.synthetic import TEMPLATES
+from meterline.schemas import DATASET_COLUMNS
 
 LOG_DEFAULTS = dict(
     timestamp="2024-01-01T00:00:00Z", request_id="r", client_id="c", task_id="t",
@@ -181,8 +183,55 @@ def test_label_table_form_equals_list_form(spark):
     joined = labelling.normalize_by_join(outputs, "id", "out", table).select("id", "label")
     listed = outputs.select("id", normalize_label(F.col("out"), names).alias("label"))
     assert sorted(joined.collect()) == sorted(listed.collect())
-    with pytest.raises(ValueError):
-        labelling.vocabulary(table, "label", bound=1)
+
+
+def test_three_thousand_labels(spark):
+    """No operator over labels stops at a number of labels."""
+    rows = spark.range(3000).selectExpr(
+        "'t' as task_id", "concat('r', id) as request_id", "'train' as split", "concat('in ', id) as input",
+        "concat('label_', id) as validated_output")
+    prompts = dataset.sft_rows(rows, None, "Pick", "prompt", "raw")
+    assert prompts.count() == 3000 and prompts.first()["prompt"].count("\n- label_") == 3000
+    labels = labelling.distinct_labels(rows, "validated_output")
+    budget = evaluate.token_budget(rows.selectExpr("input as text"), labels, 100).first()
+    assert budget["labels"] == 3000
+    outputs = rows.selectExpr("request_id", "validated_output as out")
+    named = labelling.normalize_by_join(outputs, "request_id", "out", labels)
+    assert named.filter("label = out").count() == 3000
+
+
+def test_prompts_list_the_labels_of_their_task(spark):
+    rows = spark.createDataFrame(
+        [("a", "1", "x"), ("a", "2", "y"), ("b", "3", "z")], "task_id string, request_id string, validated_output string"
+    ).selectExpr("*", "'train' as split", "'text' as input")
+    got = {r["request_id"]: r["prompt"] for r in dataset.sft_rows(rows, None, "Pick", "prompt").collect()}
+    assert "- x\n- y\n" in got["1"] and "- z" not in got["1"] and "- z\n" in got["3"]
+
+
+def test_newest_copy_is_by_instant(spark):
+    """Digits of a second and offsets do not decide which copy is newer."""
+    log = [("2024-01-01T00:00:00Z", "old"), ("2024-01-01T00:00:00.500Z", "new"),
+           ("2024-01-02T00:30:00Z", "late"), ("2024-01-02T01:00:00+02:00", "early")]
+    rows = [(t, n, "t", "success", True, f"h{i // 2}", "in", n, 0.0, 0.0) for i, (t, n) in enumerate(log)]
+    frame = spark.createDataFrame(rows, "timestamp string, request_id string, task_id string, status string, "
+        "training_eligible boolean, input_hash string, prompt_redacted string, response_redacted string, "
+        "estimated_teacher_cost_usd double, estimated_savings_usd double")
+    for c in DATASET_COLUMNS:
+        if c not in frame.columns and c not in ("input", "teacher_output", "validated_output", "split"):
+            frame = frame.withColumn(c, F.lit(None).cast("string"))
+    got = dataset.build_dataset(frame)
+    assert sorted(r["teacher_output"] for r in got.collect()) == ["late", "new"]
+    span = dataset.dataset_manifest(got).first()
+    assert (span["min_timestamp"], span["max_timestamp"]) == ("2024-01-01T00:00:00.500Z", "2024-01-02T00:30:00Z")
+
+
+def test_one_route_per_task(spark):
+    models = spark.createDataFrame(
+        [("t", "m1", 0.9, 0.5, "2024-01-01", True), ("t", "m2", 0.9, 0.6, "2024-01-01", True),
+         ("t", "m3", 0.99, 0.6, "2024-01-01", False), ("u", "m4", None, None, None, True)],
+        "task_id string, model_id string, accuracy double, macro_f1 double, created_at string, promotable boolean")
+    routes = governance.promotion_routes(models, "canary", 10).collect()
+    assert sorted((r["task_id"], r["student_model"]) for r in routes) == [("t", "m2"), ("u", "m4")]
 
 
 def test_request_selection(spark):
@@ -224,7 +273,7 @@ def test_scores(spark):
     # a: 2/(2+1+2), b: 2/(2+1), c: 0, d: 0
     assert m["macro_f1"] == pytest.approx((2 / 5 + 2 / 3) / 4)
     b = evaluate.token_budget(
-        spark.createDataFrame([("abcd",), ("é" * 7,)], "text string"), ["x", "yy"], 100).first()
+        spark.createDataFrame([("abcd",), ("é" * 7,)], "text string"), spark.createDataFrame([("x",), ("yy",)], "label string"), 100).first()
     assert b["estimated_prompt_tokens"] == (11 + 2 * 8) // 4
     assert b["estimated_requests_for_budget"] == int(100 / (6 / 2))
 

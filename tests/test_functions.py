@@ -171,3 +171,17 @@ def test_best_label_by_words(column):
     texts = ["they call about a debt", "my mortg payment", "collections and students", "nothing"]
     got = column(lambda c: labels.best_label_by_words(F.lit("?"), c, names), texts)
     assert got == ["debt collection", "mortgage", "debt collection", "credit_card"]
+
+
+def test_secret_after_any_space(column):
+    got = column(text.redact, ['{"password"\u00a0: "hunter2"}', '{"password" : "hunter2"}'])
+    assert all("hunter2" not in x for x in got)
+
+
+def test_odd_chat_elements(column):
+    bodies = ['{"messages":["x",{"role":"user","content":"hi"}]}',
+              '{"messages":[1,null,{"role":"user","content":"a"},{"role":"system","content":"s"},{"role":"user","content":"b"}]}']
+    assert column(text.user_content, bodies) == ["hi", "a\nb"]
+    last = ['{"prompt":5,"messages":[{"role":"user","content":"hi"}]}', '{"prompt":" p "}',
+            '{"messages":[{"role":"user","content":"hi"},{"role":"user","content":{"a":1}}]}', '{"messages":["x"]}', "x"]
+    assert column(text.last_user_content, last) == ["hi", "p", "hi", None, None]
