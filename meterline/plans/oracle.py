@@ -679,6 +679,74 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
               ORDER BY count(*) DESC, 1 LIMIT 1)
             SELECT request_id, validated_output AS label, prediction, 1::DOUBLE AS confidence
             FROM dataset, best WHERE split = 'validation'""",
+        "training_triggers": f"""{REQUESTS}, s AS (SELECT task_id, count(*) AS samples,
+              count(DISTINCT client_id) AS clients,
+              coalesce(sum(estimated_teacher_cost_usd), 0) AS cost,
+              date_diff('day', min(substr(timestamp, 1, 10)::DATE), max(substr(timestamp, 1, 10)::DATE))
+                AS age_days,
+              count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*) AS rate
+              FROM request_log GROUP BY task_id)
+            SELECT task_id, samples, clients, round(cost, 6) AS teacher_cost_usd, age_days,
+              round(rate, 6) AS error_rate, samples >= 100 AND clients >= 5 AND cost >= 0
+              AND age_days >= 7 AND rate <= 0.5 AS triggered FROM s""",
+        "latency_by_model": f"""{REQUESTS} SELECT selected_model, count(*) AS requests,
+              round(quantile_cont(latency_ms, 0.5), 2) AS p50_latency_ms,
+              round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
+              round(quantile_cont(latency_ms, 0.99), 2) AS p99_latency_ms,
+              round(count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*), 6) AS error_rate,
+              round(count(*) FILTER (WHERE routing_reason LIKE '%fallback%')::DOUBLE / count(*), 6)
+                AS fallback_rate FROM request_log GROUP BY selected_model""",
+        "savings_trend": f"""{REQUESTS}, d AS (SELECT task_id, substr(timestamp, 1, 10) AS day,
+              sum(coalesce(estimated_savings_usd, 0)) AS s FROM request_log GROUP BY ALL),
+            c AS (SELECT *, sum(s) OVER (PARTITION BY task_id ORDER BY day) AS upto FROM d)
+            SELECT task_id, day, round(s, 6) AS savings_usd, round(upto, 6) AS cumulative_savings_usd,
+              round(greatest(0.25 - upto, 0), 6) AS unrecovered_usd,
+              round((upto - 0.25) / 0.25, 6) AS roi FROM c""",
+        "confusion_matrix": f"""WITH {CALLS} SELECT expected_intent AS expected, answer AS predicted,
+              count(*) AS n FROM calls GROUP BY ALL""",
+        "label_scores": f"""WITH {CALLS}, l AS (SELECT expected_intent AS label FROM calls
+              UNION SELECT answer FROM calls),
+            s AS (SELECT label, (SELECT count(*) FROM calls WHERE expected_intent = label) AS support,
+              (SELECT count(*) FROM calls WHERE answer = label) AS predicted,
+              (SELECT count(*) FROM calls WHERE answer = label AND expected_intent = label) AS hits
+              FROM l)
+            SELECT label, support, predicted, coalesce(round(hits::DOUBLE / nullif(predicted, 0), 10), 0) AS precision,
+              coalesce(round(hits::DOUBLE / nullif(support, 0), 10), 0) AS recall,
+              coalesce(round(2 * hits::DOUBLE / nullif(predicted + support, 0), 10), 0) AS f1 FROM s""",
+        "group_split": f"""{REQUESTS}, b AS (SELECT client_id, {bucket('client_id', 'group:')} AS b
+              FROM request_log)
+            SELECT CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split,
+              count(*) AS samples, count(DISTINCT client_id) AS clients FROM b GROUP BY 1""",
+        "label_conflicts": """SELECT doc_id, source FROM documents WHERE text IN (SELECT text
+              FROM documents GROUP BY text HAVING count(DISTINCT source) = 1)""",
+        "distribution_drift": f"""{REQUESTS}, c AS (SELECT task_id, selected_model,
+              count(*) FILTER (WHERE timestamp < '2024-01-15') AS a,
+              count(*) FILTER (WHERE timestamp >= '2024-01-15') AS b FROM request_log GROUP BY ALL),
+            p AS (SELECT task_id, coalesce(a::DOUBLE / nullif(sum(a) OVER w, 0), 0) AS p,
+              coalesce(b::DOUBLE / nullif(sum(b) OVER w, 0), 0) AS q FROM c
+              WINDOW w AS (PARTITION BY task_id))
+            SELECT task_id, count(*) AS labels, round(sum(abs(p - q)), 8) AS l1,
+              round(sum((greatest(q, 1e-6) - greatest(p, 1e-6))
+                * ln(greatest(q, 1e-6) / greatest(p, 1e-6))), 8) AS psi FROM p GROUP BY task_id""",
+        "repetitive_tasks": f"""{REQUESTS}, s AS (SELECT task_id, count(input_hash) AS requests,
+              count(DISTINCT input_hash) AS inputs FROM request_log GROUP BY task_id)
+            SELECT *, round((requests - inputs)::DOUBLE / nullif(requests, 0), 6) AS repeated_share,
+              coalesce(round((requests - inputs)::DOUBLE / nullif(requests, 0), 6) >= 0.05, false)
+                AS repetitive FROM s""",
+        "dataset_version": f"""{DATASET}, d AS (SELECT task_id, md5(concat_ws('|',
+              coalesce(request_id, ''), coalesce(input, ''), coalesce(validated_output, ''), split)) AS m
+              FROM dataset)
+            SELECT task_id, count(*) AS rows, concat_ws('-', {", ".join(
+                f"sum(('0x' || substr(m, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(4))})
+              AS content_hash FROM d GROUP BY task_id""",
+        "evaluation_gate": f"""{REQUESTS}, s AS (SELECT selected_model, count(*) AS samples,
+              round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
+              round(sum(estimated_cost_usd) / nullif(sum(estimated_teacher_cost_usd), 0), 8) AS cost_ratio
+              FROM request_log WHERE routing_decision = 'student' GROUP BY selected_model),
+            g AS (SELECT *, CASE WHEN samples < 10 THEN 'too few samples'
+              WHEN NOT coalesce(cost_ratio <= 0.5, false) THEN 'too expensive'
+              WHEN NOT coalesce(p95_latency_ms <= 900, false) THEN 'too slow' END AS gate_reason FROM s)
+            SELECT *, gate_reason IS NULL AS passed FROM g""",
         "label_normalize_join": None,
         "stream_enrichment": f"{REQUESTS} SELECT * FROM request_log",
         "stream_counters": f"""{REQUESTS},

@@ -12,7 +12,7 @@ from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
 from meterline.lineage import stored
 from meterline.operators import (
-    dataset, drift, evaluate, finops, governance, knn, labelling, ratelimit, retention, sampling,
+    dataset, drift, evaluate, finops, governance, insights, knn, labelling, ratelimit, retention, sampling,
     shadow, students, synthetic)
 from meterline.plans import derive, live
 from meterline.plans.derive import table
@@ -26,6 +26,8 @@ INTENT_LABELS = (
     "personal loan")
 SAMPLE_LIMIT = 150
 BUDGET = 1_000_000
+TRAINING_COST = 0.25
+DRIFT_SPLIT = "2024-01-15"
 GATE_ACCURACY, GATE_MACRO_F1 = 0.74, 0.55
 
 
@@ -288,6 +290,44 @@ def knn_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(knn.vote(near.withColumn("rank", rank).filter("rank <= 5")), 8, "confidence")
 
 
+# --- decisions -------------------------------------------------------------------------------
+
+def savings_trend(spark: SparkSession, sf: str) -> DataFrame:
+    out = insights.savings_trend(derive.request_log(spark, sf), TRAINING_COST)
+    return _rounded(out, 6, "savings_usd", "cumulative_savings_usd", "unrecovered_usd", "roi")
+
+
+def training_triggers(spark: SparkSession, sf: str) -> DataFrame:
+    out = insights.training_triggers(derive.request_log(spark, sf)).drop("errors")
+    return _rounded(out, 6, "teacher_cost_usd", "error_rate")
+
+
+def label_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.label_scores(insights.confusion(
+        derive.calls(spark, sf), "expected_intent", "answer"))
+
+
+def group_split(spark: SparkSession, sf: str) -> DataFrame:
+    return derive.request_log(spark, sf).groupBy(
+        insights.group_split(F.col("client_id")).alias("split")).agg(
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("client_id").alias("clients"))
+
+
+def label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return insights.without_conflicts(docs, F.col("text"), "source").select("doc_id", "source")
+
+
+def distribution_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.distribution_drift(
+        derive.request_log(spark, sf), ["task_id"], "selected_model", F.col("timestamp") >= DRIFT_SPLIT)
+
+
+def dataset_version(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.dataset_version(
+        _dataset(spark, sf), ["request_id", "input", "validated_output", "split"])
+
+
 # --- students --------------------------------------------------------------------------------
 
 def _text_student(spec: students.StudentSpec) -> Query:
@@ -388,6 +428,18 @@ def queries() -> dict[str, Query]:
         "token_budget": token_budget,
         "majority_baseline": majority_baseline,
         "knn_labels": knn_labels,
+        "training_triggers": training_triggers,
+        "latency_by_model": _log(insights.latency_by_model),
+        "savings_trend": savings_trend,
+        "confusion_matrix": lambda spark, sf: insights.confusion(
+            derive.calls(spark, sf), "expected_intent", "answer"),
+        "label_scores": label_scores,
+        "group_split": group_split,
+        "label_conflicts": label_conflicts,
+        "distribution_drift": distribution_drift,
+        "repetitive_tasks": _log(insights.repetitive_tasks),
+        "dataset_version": dataset_version,
+        "evaluation_gate": _log(lambda log: insights.evaluation_gate(log, 0.5, 900.0, 10)),
         "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic")),
         "student_embedding_eval": _vector_student(students.StudentSpec("embedding_logistic")),
         "student_mlp_eval": _vector_student(students.StudentSpec("embedding_mlp")),
