@@ -201,26 +201,35 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, parts: int | None = Non
     return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
 
 
-def classes(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of `documents` as struct `row`, with `fp`, `id`, and `component_id`, the smallest
-    id that links lead to."""
+def _stored_fingerprints(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     small_batches(documents.sparkSession)
-    fps = stored(documents.select(F.struct("*").alias("row"), F.col(id_column).alias("id"),
-                                  fingerprint(F.col(text)).alias("fp"),
-                                  F.monotonically_increasing_id().alias("uid")), "simhash")
+    return stored(documents.select(F.struct("*").alias("row"), F.col(id_column).alias("id"),
+                                   fingerprint(F.col(text)).alias("fp"),
+                                   F.monotonically_increasing_id().alias("uid")), "simhash")
+
+
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint."""
     least = fps.groupBy("fp").agg(F.min("id").alias("id"))
     tree = stored(components(links(fps)), "classes")
     named = (least.join(tree, least.fp == tree.node, "left")
              .select("fp", "id", F.coalesce("component", "fp").alias("component")))
     named = stored(named, "named")
     roots = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of = named.join(roots, "component").select("fp", "component", "component_id")
-    return fps.join(of, "fp")
+    return named.join(roots, "component").select("fp", "component", "component_id")
+
+
+def classes(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of `documents` as struct `row`, with `fp`, `id`, and `component_id`, the smallest
+    id that links lead to."""
+    fps = _stored_fingerprints(documents, id_column, text)
+    return fps.join(_components(fps), "fp")
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest id."""
-    rows = classes(documents, id_column, text)
+    """One row of each component: that with the smallest id. Only the last join moves texts."""
+    fps = _stored_fingerprints(documents, id_column, text)
+    rows = fps.select("uid", "id", "fp").join(_components(fps), "fp")
     first = (rows.groupBy("component")
              .agg(F.min_by("uid", F.struct(F.col("id").isNull(), "id", "uid")).alias("uid")))
-    return rows.join(first.select("uid"), "uid", "left_semi").select("row.*")
+    return fps.join(first.select("uid"), "uid", "left_semi").select("row.*")
