@@ -6,12 +6,32 @@ Each text starts from the given tables; the shared parts state the derived log t
 
 from __future__ import annotations
 
-from meterline.functions.labels import STOP_TOKENS, canonical_text
-from meterline.operators.drift import NEGATIVE_RATINGS
-from meterline.operators.synthetic import TEMPLATES
-from meterline.plans import derive
-from meterline.plans.registry import (
-    BUDGET, CODES, GATE_ACCURACY, GATE_MACRO_F1, SAMPLE_LIMIT, TASK_DESCRIPTION)
+import re
+
+# Values that the SQL states on its own, so that a wrong one in the code under test shows.
+STOP_TOKENS = {
+    "and", "consumer", "credit", "loan", "other", "personal", "product", "reported", "reporting",
+    "reports", "service", "services",
+}
+NEGATIVE_RATINGS = ("bad", "incorrect", "wrong", "negative", "thumbs_down", "0", "1")
+TEMPLATES = (
+    ("Message utilisateur:\n", ""),
+    ("Demande reformulee sans changer l'intention:\n", ""),
+    ("", "\n\nRepondre pour la meme intention."),
+    ("Contexte: requete client.\n", ""),
+)
+TASK_DESCRIPTION = "Name the language of the text."
+CODES = ("de", "en", "es", "fr")
+SAMPLE_LIMIT = 150
+BUDGET = 1_000_000
+GATE_ACCURACY, GATE_MACRO_F1 = 0.74, 0.55
+MAX_ERROR_RATE, MAX_NEGATIVE_RATE = 0.21, 0.306
+CREATED_AT = "2024-02-01T00:00:00Z"
+
+
+def canonical_text(value: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", value.lower()).strip("_")
+
 
 STAMP = "'%Y-%m-%dT%H:%M:%S.%fZ'"
 
@@ -353,12 +373,12 @@ drift AS (
   SELECT * EXCLUDE (er, nr), round(er, 6) AS student_error_rate,
     CASE WHEN route_mode = 'shadow' THEN 0 ELSE round(nr, 6) END AS negative_feedback_rate,
     CASE WHEN route_mode = 'shadow' THEN '' ELSE concat_ws('; ',
-      CASE WHEN student_requests >= 20 AND er > {derive.DRIFT.max_error_rate}::DOUBLE
+      CASE WHEN student_requests >= 20 AND er > {MAX_ERROR_RATE}::DOUBLE
         THEN 'student_error_rate ' || printf('%.4f', er)
-          || ' > {derive.DRIFT.max_error_rate:.4f}' END,
-      CASE WHEN feedback_total >= 5 AND nr > {derive.DRIFT.max_negative_feedback_rate}::DOUBLE
+          || ' > {MAX_ERROR_RATE:.4f}' END,
+      CASE WHEN feedback_total >= 5 AND nr > {MAX_NEGATIVE_RATE}::DOUBLE
         THEN 'negative_feedback_rate ' || printf('%.4f', nr)
-          || ' > {derive.DRIFT.max_negative_feedback_rate:.4f}' END) END AS rollback_reasons
+          || ' > {MAX_NEGATIVE_RATE:.4f}' END) END AS rollback_reasons
   FROM figures)"""
 
 SUMS = """round(sum(estimated_cost_usd), 8) AS estimated_cost_usd,
@@ -420,7 +440,7 @@ def oracle_sql() -> dict[str, str]:
     synthetic_columns = f"""
   task_id, {templated('squeezed', 'v')} AS input, validated_output AS teacher_output,
   validated_output, split, request_id || ':synthetic:' || v AS request_id, client_id, cost_center,
-  '{derive.CREATED_AT}' AS timestamp, teacher_model, selected_model,
+  '{CREATED_AT}' AS timestamp, teacher_model, selected_model,
   'synthetic' AS routing_decision, 'local_template_augmentation' AS routing_reason,
   sha256(made) AS input_hash, input_tokens, output_tokens, 0::DOUBLE AS estimated_cost_usd,
   0::DOUBLE AS estimated_teacher_cost_usd, 0::DOUBLE AS estimated_savings_usd,
@@ -769,9 +789,9 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
               GROUP BY window_start, task_id)
             SELECT strftime(window_start, {STAMP}) AS window_start, task_id, student_requests,
               student_errors, round(er, 6) AS student_error_rate,
-              CASE WHEN student_requests >= 20 AND er > {derive.DRIFT.max_error_rate}::DOUBLE
+              CASE WHEN student_requests >= 20 AND er > {MAX_ERROR_RATE}::DOUBLE
                 THEN 'student_error_rate ' || printf('%.4f', er)
-                  || ' > {derive.DRIFT.max_error_rate:.4f}' ELSE '' END AS rollback_reasons
+                  || ' > {MAX_ERROR_RATE:.4f}' ELSE '' END AS rollback_reasons
             FROM windows""",
         "stream_shadow_join": f"{SHADOWS} SELECT * FROM shadow_log",
         "stream_feedback": f"""WITH {RAW} SELECT timestamp, request_id,
