@@ -154,3 +154,33 @@ def evaluation_gate(logs: DataFrame, max_cost_ratio: float, max_p95_ms: float, m
               .when(~F.coalesce(F.col("cost_ratio") <= max_cost_ratio, F.lit(False)), "too expensive")
               .when(~F.coalesce(F.col("p95_latency_ms") <= max_p95_ms, F.lit(False)), "too slow"))
     return out.withColumn("gate_reason", reason).withColumn("passed", F.col("gate_reason").isNull())
+
+
+def route_policy(logs: DataFrame, limits: DataFrame) -> DataFrame:
+    """What each student may serve per task: `limits` has selected_model, max_p95_ms,
+    max_error_rate and min_requests; the first limit that fails sends the task to the teacher."""
+    served = logs.filter(F.col("routing_decision") == "student")
+    by_latency = served.groupBy("task_id", "selected_model", "latency_ms").agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("status") == "error").alias("errors"))
+    stats = by_latency.groupBy("task_id", "selected_model").agg(
+        F.sum("n").alias("requests"), F.round(F.percentile("latency_ms", 0.95, F.col("n")), 2).alias("p95_latency_ms"),
+        F.round(F.sum("errors") / F.sum("n"), 6).alias("error_rate"))
+    reason = (F.when(F.col("max_p95_ms").isNull(), "no limits set")
+              .when(F.col("requests") < F.col("min_requests"), "too few requests")
+              .when(F.col("p95_latency_ms") > F.col("max_p95_ms"), "too slow")
+              .when(F.col("error_rate") > F.col("max_error_rate"), "too many errors"))
+    return stats.join(limits, "selected_model", "left").select(
+        "task_id", *stats.columns[1:], reason.alias("reason"),
+        F.when(reason.isNull(), "student").otherwise("teacher_only").alias("decision"))
+
+
+def teacher_sampling(logs: DataFrame, share: float, floor: int, ceiling: int) -> DataFrame:
+    """Per task and day, how many requests the teacher answers as samples: a share of them, at least
+    `floor`, at most `ceiling`, and never more than there are."""
+    daily = logs.groupBy("task_id", day_of(F.col("timestamp")).alias("day")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        count_if(F.col("routing_decision") == "teacher").alias("teacher_requests"))
+    wanted = F.greatest(F.ceil(F.col("requests") * F.lit(float(share))), F.lit(floor))
+    target = F.least(wanted, F.lit(ceiling), F.col("requests")).cast("long")
+    return daily.withColumn("teacher_samples", target).withColumn(
+        "missing", F.greatest(target - F.col("teacher_requests"), F.lit(0)).cast("long"))

@@ -759,6 +759,23 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
             SELECT task_id, count(*) AS rows, concat_ws('-', {", ".join(
                 f"sum(('0x' || substr(m, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(4))})
               AS content_hash FROM d GROUP BY task_id""",
+        "dated_log": f"""{REQUESTS} SELECT substr(timestamp, 1, 10) AS date, count(*) AS requests,
+              sum(input_tokens) AS input_tokens, count(DISTINCT request_id) AS ids
+              FROM request_log GROUP BY 1""",
+        "route_policy": f"""{REQUESTS}, s AS (SELECT task_id, selected_model, count(*) AS requests,
+              round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
+              round(count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*), 6) AS error_rate
+              FROM request_log WHERE routing_decision = 'student' GROUP BY ALL),
+            r AS (SELECT *, CASE WHEN requests < 5 THEN 'too few requests'
+              WHEN p95_latency_ms > 900 THEN 'too slow' WHEN error_rate > 0.2 THEN 'too many errors' END
+              AS reason FROM s)
+            SELECT *, CASE WHEN reason IS NULL THEN 'student' ELSE 'teacher_only' END AS decision FROM r""",
+        "teacher_sampling": f"""{REQUESTS}, d AS (SELECT task_id, substr(timestamp, 1, 10) AS day,
+              count(*) AS requests, count(*) FILTER (WHERE routing_decision = 'teacher')
+              AS teacher_requests FROM request_log GROUP BY ALL),
+            t AS (SELECT *, least(greatest(ceil(requests * 0.1::DOUBLE), 3), 40, requests)::BIGINT
+              AS teacher_samples FROM d)
+            SELECT *, greatest(teacher_samples - teacher_requests, 0) AS missing FROM t""",
         "evaluation_gate": f"""{REQUESTS}, s AS (SELECT selected_model, count(*) AS samples,
               round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
               round(sum(estimated_cost_usd) / nullif(sum(estimated_teacher_cost_usd), 0), 8) AS cost_ratio

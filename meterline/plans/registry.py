@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from meterline.functions import labels as lab
 from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
-from meterline.lineage import stored
+from meterline.lineage import stored, work_folder
 from meterline.operators import (
     dataset, drift, evaluate, finops, governance, insights, knn, labelling, ratelimit, retention, sampling,
     shadow, students, synthetic)
 from meterline.plans import derive, live
 from meterline.plans.derive import table
+from meterline.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -323,6 +324,22 @@ def distribution_drift(spark: SparkSession, sf: str) -> DataFrame:
         derive.request_log(spark, sf), ["task_id"], "selected_model", F.col("timestamp") >= DRIFT_SPLIT)
 
 
+def route_policy(spark: SparkSession, sf: str) -> DataFrame:
+    log = derive.request_log(spark, sf)
+    models = log.select("selected_model").distinct().selectExpr(
+        "selected_model", "900.0D as max_p95_ms", "0.2D as max_error_rate", "5L as min_requests")
+    return insights.route_policy(log, models)
+
+
+def dated_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as dated Parquet, written and read back by day."""
+    path = work_folder(spark, "dated-log")
+    logs.append_columnar(derive.request_log(spark, sf), path)
+    return spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"),
+        F.count_distinct("request_id").alias("ids"))
+
+
 def dataset_version(spark: SparkSession, sf: str) -> DataFrame:
     return insights.dataset_version(
         _dataset(spark, sf), ["request_id", "input", "validated_output", "split"])
@@ -439,6 +456,9 @@ def queries() -> dict[str, Query]:
         "distribution_drift": distribution_drift,
         "repetitive_tasks": _log(insights.repetitive_tasks),
         "dataset_version": dataset_version,
+        "route_policy": route_policy,
+        "dated_log": dated_log,
+        "teacher_sampling": _log(lambda log: insights.teacher_sampling(log, 0.1, 3, 40)),
         "evaluation_gate": _log(lambda log: insights.evaluation_gate(log, 0.5, 900.0, 10)),
         "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic")),
         "student_embedding_eval": _vector_student(students.StudentSpec("embedding_logistic")),
