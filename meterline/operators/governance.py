@@ -51,7 +51,7 @@ def promotion_routes(
     student = F.lit(None).cast("string") if mode == "teacher_only" else F.col("model_id")
     best = latest_per_key(models.filter("promotable"), [F.col("task_id")], [
         *[F.desc(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in ("accuracy", "macro_f1")],
-        F.desc("created_at"), F.desc("model_id")])
+        *[F.desc(c) for c in ("created_at", "model_id") if c in models.columns]])
     return best.select(
         "task_id", F.lit(mode).alias("mode"), student.alias("student_model"),
         canary.alias("student_traffic_percentage"), probe.alias("teacher_probe_percentage"))
