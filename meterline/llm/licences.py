@@ -124,16 +124,19 @@ def _variants(df: DataFrame) -> DataFrame:
     return df.select("label", F.posexplode(F.array(*forms)).alias("variant", "paragraph"))
 
 
-def training_rows(spark: SparkSession, corpus: DataFrame) -> DataFrame:
-    """(label, variant, paragraph, held_out): variants of templates and near misses, and paragraphs
-    of the corpus, those with the least hash."""
+def training_rows(spark: SparkSession, corpus: DataFrame, n_paragraphs: int) -> DataFrame:
+    """(label, variant, paragraph, held_out): variants of templates and near misses, and different
+    paragraphs of the corpus: one in so many by hash that about four times MAX_UNKNOWN of its
+    `n_paragraphs` are left, of these the ones with the least hash."""
+    one_in = max(1, n_paragraphs // (4 * MAX_UNKNOWN))
     rows = [(family, t) for family, texts in TEMPLATES.items() for t in texts]
     rows += [(UNKNOWN, t) for t in NEAR_MISSES]
     made = _variants(small_table(spark, rows, T.StructType.fromDDL("label string, paragraph string")))
     drawn = (corpus.where(f"length(trim(paragraph)) > 0 and not paragraph rlike '{CUE}'")
-             .select("paragraph").orderBy(F.xxhash64("paragraph"), "paragraph").limit(MAX_UNKNOWN)
+             .where(F.pmod(F.xxhash64("paragraph"), F.lit(one_in)) == 0)
+             .select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MAX_UNKNOWN)
              .select(F.lit(UNKNOWN).alias("label"),
-                     F.pmod(F.xxhash64("paragraph"), F.lit(10)).cast("int").alias("variant"), "paragraph"))
+                     F.pmod(F.xxhash64(F.reverse("paragraph")), F.lit(10)).cast("int").alias("variant"), "paragraph"))
     # variants 3, 6 and 9 are for calibration
     return made.union(drawn).withColumn("held_out", F.col("variant").isin(3, 6, 9))
 
@@ -169,10 +172,10 @@ class Classifier:
                 .withColumn("confirmed", (F.col("p") >= 0.5) & (F.col("overlap") >= CONFIRM)))
 
 
-def fit(spark: SparkSession, corpus: DataFrame) -> Classifier:
+def fit(spark: SparkSession, corpus: DataFrame, n_paragraphs: int) -> Classifier:
     families = sorted(TEMPLATES)
     classes = F.array(*[F.lit(f) for f in [*families, UNKNOWN]])
-    rows = stored(training_rows(spark, corpus).withColumn(
+    rows = stored(training_rows(spark, corpus, n_paragraphs).withColumn(
         "y", (F.array_position(classes, F.col("label")) - 1).cast("double")), "licence-training")
     model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
                                regParam=1e-3, maxIter=60).fit(
@@ -200,7 +203,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
         .select("h1", "h2", F.size("lines").cast("long").alias("n_paragraphs"),
                 F.filter("lines", lambda x: x["paragraph"].rlike(CUE)).alias("cued"))
         .dropDuplicates(["h1", "h2"]), "licence-lines")
-    model = fit(spark, docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")))
+    total = kept.agg(F.sum("n_paragraphs")).first()[0] or 0
+    model = fit(spark, docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")), total)
     found = (model.classify(kept.select("h1", "h2", F.inline("cued"))).where("confirmed")
              .groupBy("h1", "h2")
              .agg(F.sort_array(F.collect_list(F.struct("line", "family", "p", "overlap"))).alias("found")))
