@@ -40,7 +40,7 @@ from meterline.llm.frames import shards_for, small_batches
 MAGIC = 0x3146454D
 SAMPLE = 256
 HEADER = 5
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 INPUT_PER_SHARD = 16 << 20
 
 

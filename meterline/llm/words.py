@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: ASCII white space; everything else belongs to words `[^\x20\x09-\x0D]+`.
 SPACE_BYTES = b"\t\n\x0b\x0c\r "
-HASH_BLOCK = 1 << 21
+HASH_BLOCK = 1 << 20
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
