@@ -105,28 +105,34 @@ def mix_int(x: int) -> int:
 _ANCHORS = "t1 long, t2 long, pos int, gram long, c1 long, c2 long"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT
+             ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in w.blocks(batch.column("text"), 1 << 20):
             part = batch.slice(lo, hi - lo)
             data, offsets = w.text_bytes(part.column("text"))
-            yield from _block_anchors(data, offsets, part.column("doc_id"))
+            yield from _block_anchors(data, offsets, part.column("doc_id"), segment)
 
 
-def _block_anchors(data: np.ndarray, offsets: np.ndarray, ids: pa.Array
+def _block_anchors(data: np.ndarray, offsets: np.ndarray, ids: pa.Array, segment: int = SEGMENT
                    ) -> Iterator[pa.RecordBatch]:
-    view, names = memoryview(data), ids.to_pylist()
-    for at in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
-        anchor, hashes = window_anchors(data[at:at + SEGMENT + LENGTH - 1])
+    """Each anchor once: windows of two segments may share one, so the last place is carried over."""
+    view, names, last = memoryview(data), ids.to_pylist(), -1
+    for at in range(0, max(len(data) - LENGTH + 1, 0), segment):
+        anchor, hashes = window_anchors(data[at:at + segment + LENGTH - 1])
         start = np.arange(len(anchor)) + at
         doc = np.searchsorted(offsets, start, "right") - 1
         inside = start + LENGTH <= offsets[doc + 1]
         anchor, doc = anchor[inside], doc[inside]
         if len(anchor) == 0:
             continue
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-        anchor, doc = anchor[new], doc[new]
-        gram, place = hashes[anchor], anchor + at
+        place = anchor + at
+        new = place != np.concatenate([[last], place[:-1]])  # no place is in two texts
+        last = int(place[-1])
+        anchor, doc, place = anchor[new], doc[new], place[new]
+        if len(anchor) == 0:
+            continue
+        gram = hashes[anchor]
         lo, hi = offsets[doc], offsets[doc + 1]
         left, right = np.minimum(place - lo, BEFORE), np.minimum(hi - place, LENGTH)
         keys = {d: text_key(view[offsets[d]:offsets[d + 1]], names[d])
@@ -373,12 +379,12 @@ def packed_text(column: pa.Array, ids: pa.Array) -> pa.Array:
          pa.array([pack(t) for t in texts], pa.binary())], _PACKED.names)
 
 
-def repeated_stretches(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def repeated_stretches(docs: DataFrame, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
     """(t1, t2, spans): by hash of the text, the repeated stretches around its anchors."""
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = stored(docs.mapInArrow(_anchors, _ANCHORS), "anchors")
+    anchors = stored(docs.mapInArrow(lambda b: _anchors(b, segment), _ANCHORS), "anchors")
     contexts = anchors.groupBy("gram", "c1", "c2").agg(
         F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("first"))
     grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("rows"))
@@ -444,11 +450,12 @@ def _cut(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                   with_text: bool = True, group: int = GROUP) -> DataFrame:
+                   with_text: bool = True, group: int = GROUP, segment: int = SEGMENT
+                   ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text (the remaining bytes; they may break inside a
     character) and kept_sha256 of each row."""
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_stretches(narrow, group)
+    spans = repeated_stretches(narrow, group, segment)
     keyed = narrow.select("doc_id", packed_text("text", "doc_id").alias("k")).select("doc_id", "k.*")
     return (keyed.join(spans, ["t1", "t2"], "left")
             .select("doc_id", _cut(with_text)("packed", "spans").alias("x"))

@@ -196,6 +196,34 @@ def test_repeats(spark, odd_rows, group):
         sorted(((i, *x) for (i, _), x in zip(rows, want)), key=key)
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_repeats_over_segments(spark, group):
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    shared = line(700)
+    texts = [line(9000), line(1500) + shared + line(1100) + shared + line(800), "y" * 5000,
+             line(300) + shared, line(399)]
+    texts += [texts[1]] * 2
+    want = without_repeats([t.encode() for t in texts])
+    assert want[0][1] == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for segment in (1000, 137):
+        got = suffixes.remove_repeats(df, group=group, segment=segment).collect()
+        assert [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+                for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
+def test_anchors_once_over_segments():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdef") for _ in range(n)) for n in (5000, 100, 3000, 0, 700)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    rows = lambda size: [tuple(r.values()) for b in suffixes._block_anchors(
+        data, offsets, pa.array(range(5)), size) for r in b.to_pylist()]
+    assert len(set(rows(1 << 21))) == len(rows(1 << 21))
+    assert rows(1 << 21) == rows(500) == rows(61) == rows(1)
+
+
 def test_repeats_edges(clashing, none, odd_rows):
     assert suffixes.remove_repeats(none).count() == 0
     got = suffixes.remove_repeats(clashing).collect()
