@@ -6,7 +6,10 @@ is trained on variants of TEMPLATES (whole, cut short, with words left out, embe
 NEAR_MISSES and at most MAX_UNKNOWN paragraphs of the corpus. On variants that training did not see, a
 second regression turns the margin over `unknown` into a probability. A paragraph counts if that
 is at least one half and it holds half of the word pairs of a template of the predicted family.
-A paragraph without a cue word is unknown by definition: every template holds one.
+Every line is judged; what no template could confirm is left out before it is scored. That filter is
+lossless: a line that holds half of a template's pairs holds a word of NEEDED, and only lines whose
+overlap reaches CONFIRM go on. CUE is for the count `n_cued` alone. The corpus rows of `unknown` are
+lines of any kind outside the paragraphs that are scored, as these hold half of a licence.
 
 Everything is DataFrame functions and JVM estimators. Null and empty texts have no paragraphs.
 Repeated rows are judged alike; extra columns are left alone (the input stays as struct `row`). An
@@ -15,6 +18,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -84,6 +89,32 @@ NEAR_MISSES = (
     "The search warrant was issued in the morning.",
     "They licensed the song to a film studio.",
 )
+#: Words of templates that plain texts are full of.
+COMMON = frozenset(
+    "a an and any are as be been by can following for from has have in into is it its may not of on or "
+    "that the these this to under use used was were which with you your".split())
+
+
+def _template_pairs(template: str) -> list[str]:
+    words = re.findall(WORD, template.lower())
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+def _needed() -> list[str]:
+    """Words of which any text that holds CONFIRM of a template's pairs has one: the pairs without
+    such a word are fewer than that."""
+    chosen: set[str] = set()
+    for pairs in PAIRS:
+        left = [p.split(" ") for p in pairs if chosen.isdisjoint(p.split(" "))]
+        while len(left) >= CONFIRM * len(pairs):
+            chosen.add(max({x for p in left for x in p}, key=lambda x: (
+                x not in COMMON, sum(x in p for p in left), len(x), x)))
+            left = [p for p in left if chosen.isdisjoint(p)]
+    return sorted(chosen)
+
+
+PAIRS = [_template_pairs(t) for texts in TEMPLATES.values() for t in texts]
+NEEDED = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, _needed())) + r")(?![a-z0-9])"
 
 
 def _words(column):
@@ -126,13 +157,13 @@ def _variants(df: DataFrame) -> DataFrame:
 
 def training_rows(spark: SparkSession, corpus: DataFrame, n_paragraphs: int) -> DataFrame:
     """(label, variant, paragraph, held_out): variants of templates and near misses, and different
-    paragraphs of the corpus: one in so many by hash that about four times MAX_UNKNOWN of its
+    paragraphs of `corpus`: one in so many by hash that about four times MAX_UNKNOWN of its
     `n_paragraphs` are left, of these the ones with the least hash."""
     one_in = max(1, n_paragraphs // (4 * MAX_UNKNOWN))
     rows = [(family, t) for family, texts in TEMPLATES.items() for t in texts]
     rows += [(UNKNOWN, t) for t in NEAR_MISSES]
     made = _variants(small_table(spark, rows, T.StructType.fromDDL("label string, paragraph string")))
-    drawn = (corpus.where(f"length(trim(paragraph)) > 0 and not paragraph rlike '{CUE}'")
+    drawn = (corpus.where("length(trim(paragraph)) > 0")
              .where(F.pmod(F.xxhash64("paragraph"), F.lit(one_in)) == 0)
              .select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MAX_UNKNOWN)
              .select(F.lit(UNKNOWN).alias("label"),
@@ -187,30 +218,92 @@ def fit(spark: SparkSession, corpus: DataFrame, n_paragraphs: int) -> Classifier
     return Classifier(families, model, (float(platt.coefficients[0]), float(platt.intercept)))
 
 
+def candidates(text) -> tuple:
+    """From a column of texts: structs (line, last, paragraph) of the lines that hold CONFIRM of the
+    pairs of a template. The steps are columns for `_steps`."""
+    lowered = F.lower(text)
+    every = sorted({p for pairs in PAIRS for p in pairs})
+    known = lambda pairs: F.filter(pairs, lambda p: p.isin(every))
+    nothing = F.array().cast("array<string>")
+    words = F.transform(F.split(lowered, "\n", -1), lambda p: F.struct(
+        p.alias("text"), _words(p).alias("words")))
+    following = lambda i: F.try_element_at("worded", i + 2)["words"]  # i is from 0
+    lines = F.transform("worded", lambda x, i: F.struct(
+        x["text"].alias("text"), F.size(x["words"]).alias("size"), known(_pairs(x["words"])).alias("inner"),
+        F.when((F.size(x["words"]) > 0) & (F.size(following(i)) > 0), known(F.array(F.concat_ws(
+            " ", F.element_at(x["words"], -1), F.element_at(following(i), 1))))).otherwise(nothing).alias("link")))
+    part = lambda name, a, b: F.flatten(F.transform(
+        F.slice("lines", a + 1, F.greatest(b - a + 1, F.lit(0))), lambda x: x[name]))
+    pairs = lambda a, b: F.array_distinct(F.concat(part("inner", a, b), part("link", a, b - 1)))
+    windows = F.flatten(F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.size(
+            F.element_at("lines", i + 1)["inner"]) + F.size(F.element_at("lines", i + 1)["link"]) > 0),
+        lambda i: F.transform(_ends(i), lambda j: F.struct(
+            i.alias("line"), j.alias("last"), pairs(i, j).alias("all"),
+            pairs(i + 1, j).alias("later"), pairs(i, j - 1).alias("sooner")))))
+    templates = F.array(*[F.array(*map(F.lit, p)) for p in PAIRS])
+    held = lambda t, m: F.size(F.array_intersect(t, m))
+    least = min(len(p) for p in PAIRS) * CONFIRM
+    near = F.filter(
+        F.filter("windows", lambda x: F.size(x["all"]) >= least), lambda x: F.exists(templates, lambda t: (
+            held(t, x["all"]) >= CONFIRM * F.size(t)) & (held(t, x["later"]) < held(t, x["all"]))
+            & (held(t, x["sooner"]) < held(t, x["all"]))))
+    whole = F.transform("near", lambda x: F.struct(x["line"], x["last"], F.array_join(F.transform(F.slice(
+        "lines", x["line"] + 1, x["last"] - x["line"] + 1), lambda y: y["text"]), " ").alias("paragraph")))
+    return (F.when(lowered.rlike(NEEDED), words), lines, windows, near, whole)
+
+
+def _ends(i):
+    """Last lines of the paragraphs that start at line i."""
+    return F.array(i)
+
+
+def _with_candidates(df: DataFrame, text) -> DataFrame:
+    """Adds `candidates` to `df`."""
+    names = ("worded", "lines", "windows", "near", "candidates")
+    for name, step in zip(names, candidates(text)):
+        df = df.withColumn(name, step)
+    return df.drop(*names[:-1])
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` as struct `row`, with n_paragraphs, n_cued, n_licensed, families (sorted)
-    and found: structs (line, family, p, overlap) of the confirmed paragraphs. What is kept between
-    the steps are the cued paragraphs, by 96 bits of hashes of id and text, which repeated rows
-    share; no text is stored a second time."""
+    """The rows of `docs` as struct `row`, with n_paragraphs, n_cued (lines, and those with a cue
+    word), n_licensed, families (sorted) and found: structs (line, last, family, p, overlap) of the
+    confirmed paragraphs. What is kept between the steps are the paragraphs to score, by 96 bits of
+    hashes of id and text, which repeated rows share; no text is stored a second time."""
     spark = docs.sparkSession
     value = F.coalesce(text, F.lit(""))
     key = [F.xxhash64(id_column, value).alias("h1"), F.hash(value, id_column).alias("h2")]
-    lines = F.transform(F.split(value, "\n", -1), lambda p, i: F.struct(
-        i.alias("line"), p.alias("paragraph")))
-    filled = F.filter(lines, lambda x: F.length(F.trim(x["paragraph"])) > 0)
-    kept = stored(
-        docs.select(*key, filled.alias("lines"))
-        .select("h1", "h2", F.size("lines").cast("long").alias("n_paragraphs"),
-                F.filter("lines", lambda x: x["paragraph"].rlike(CUE)).alias("cued"))
-        .dropDuplicates(["h1", "h2"]), "licence-lines")
+    filled = F.filter(F.split(value, "\n", -1), lambda p: F.length(F.trim(p)) > 0)
+    kept = docs.select(*key, value.alias("value"), filled.alias("filled"))
+    kept = kept.select(
+        "h1", "h2", "value", F.size("filled").cast("long").alias("n_paragraphs"),
+        F.size(F.filter("filled", lambda p: p.rlike(CUE))).cast("long").alias("n_cued"))
+    kept = stored(_with_candidates(kept, F.col("value")).drop("value")
+                  .dropDuplicates(["h1", "h2"]), "licence-paragraphs")
     total = kept.agg(F.sum("n_paragraphs")).first()[0] or 0
-    model = fit(spark, docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")), total)
-    found = (model.classify(kept.select("h1", "h2", F.inline("cued"))).where("confirmed")
-             .groupBy("h1", "h2")
-             .agg(F.sort_array(F.collect_list(F.struct("line", "family", "p", "overlap"))).alias("found")))
-    counts = kept.select("h1", "h2", "n_paragraphs", F.size("cued").cast("long").alias("n_cued"))
+    scored = kept.select("h1", "h2", F.inline("candidates"))
+    lines = docs.select(*key, F.posexplode(F.split(text, "\n", -1)).alias("at", "paragraph"))
+    model = fit(spark, lines.join(scored.drop("paragraph"), F.expr("at between line and last") & (
+        lines.h1 == scored.h1) & (lines.h2 == scored.h2), "left_anti"), total)
+    found = (model.classify(scored).where("confirmed").groupBy("h1", "h2", "family")
+             .agg(F.sort_array(F.collect_list(F.struct(
+                 (-F.col("overlap")).alias("order"), (F.col("last") - F.col("line")).alias("more"),
+                 "line", "last", "family", "p", "overlap"))).alias("all"))
+             .select("h1", "h2", F.inline(_apart("all"))).groupBy("h1", "h2")
+             .agg(F.sort_array(F.collect_list(F.struct("line", "last", "family", "p", "overlap"))).alias("found")))
+    counts = kept.select("h1", "h2", "n_paragraphs", "n_cued")
     return (docs.select(F.struct("*").alias("row"), *key)
             .join(counts.join(found, ["h1", "h2"], "left"), ["h1", "h2"]).select(
         "row", "n_paragraphs", "n_cued",
         F.expr("cast(coalesce(size(found), 0) as long)").alias("n_licensed"),
         F.expr("array_sort(array_distinct(coalesce(found.family, array())))").alias("families"), "found"))
+
+
+def _apart(found: str):
+    """Of paragraphs that share a line the first in the order of `found`."""
+    kind = ("array<struct<order: double, more: int, line: int, last: int, family: string, p: double, "
+            "overlap: double>>")
+    return F.aggregate(found, F.array().cast(kind), lambda kept, x: F.when(F.exists(
+        kept, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), kept).otherwise(
+        F.concat(kept, F.array(x))))

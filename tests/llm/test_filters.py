@@ -265,3 +265,26 @@ def test_licences(spark):
     assert [(r.doc_id, r.f) for r in got if r.f != r.found] == []
     assert all(r.n_paragraphs == 0 for r in got if r.doc_id in (7,))
     assert licences.scan(df.where("false")).count() == 0
+
+
+def licensed(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return {r.doc_id: [(x.line, x["last"], x.family) for x in r.found or ()]
+            for r in licences.scan(df).select("row.doc_id", "found").collect()}
+
+
+def test_licences_without_cue_words(spark):
+    rng = random.Random(8)
+    plain = lambda: words(rng, 30, 500)
+    cases = [("This Source Code Form is subject to the terms of the Mozilla Public", "mpl"),
+             ("Released under CC BY-NC 4.0.", "cc-by-nc"),
+             ("Distributed under GPL version 2 or later.", "gpl")]
+    texts = [f"{plain()}\n{t}\n{plain()}" for t, _ in cases] + [plain() for _ in range(40)]
+    got = licensed(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [[(1, 1, f)] for _, f in cases] + [[]] * 40
+
+
+def test_licence_filter_is_lossless():
+    for pairs in licences.PAIRS:
+        missed = [p for p in pairs if not re.search(licences.NEEDED, p)]
+        assert len(missed) < licences.CONFIRM * len(pairs)
