@@ -1,14 +1,17 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Its features are the words and pairs of words in it, hashed into a sparse
-vector. Multinomial logistic regression tells the licence families and the class `unknown` apart; it
+A paragraph is a line or several neighbouring lines with words in each, as notices are often wrapped:
+all runs of lines are taken whose inner lines hold at most REACH words, twice the longest template, and
+that would hold less of some template without their first or their last line. Its features are the
+words and pairs of words in it, also across line ends, hashed into a sparse vector. Multinomial logistic regression tells the licence families and the class `unknown` apart; it
 is trained on variants of TEMPLATES (whole, cut short, with words left out, embedded) against
 NEAR_MISSES and at most MAX_UNKNOWN paragraphs of the corpus. On variants that training did not see, a
 second regression turns the margin over `unknown` into a probability. A paragraph counts if that
 is at least one half and it holds half of the word pairs of a template of the predicted family.
-Every line is judged; what no template could confirm is left out before it is scored. That filter is
-lossless: a line that holds half of a template's pairs holds a word of NEEDED, and only lines whose
-overlap reaches CONFIRM go on. CUE is for the count `n_cued` alone. The corpus rows of `unknown` are
+Of confirmed paragraphs of a family that share a line the one with the largest overlap counts, of
+equal ones the shortest. Every paragraph is judged; what no template could confirm is left out before it is scored. That filter is
+lossless: a paragraph that holds half of a template's pairs holds a word of NEEDED, and only those
+whose overlap reaches CONFIRM go on. CUE is for the count `n_cued` alone. The corpus rows of `unknown` are
 lines of any kind outside the paragraphs that are scored, as these hold half of a licence.
 
 Everything is DataFrame functions and JVM estimators. Null and empty texts have no paragraphs.
@@ -114,6 +117,7 @@ def _needed() -> list[str]:
 
 
 PAIRS = [_template_pairs(t) for texts in TEMPLATES.values() for t in texts]
+REACH = 2 * max(len(re.findall(WORD, t.lower())) for texts in TEMPLATES.values() for t in texts)
 NEEDED = r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, _needed())) + r")(?![a-z0-9])"
 
 
@@ -219,8 +223,8 @@ def fit(spark: SparkSession, corpus: DataFrame, n_paragraphs: int) -> Classifier
 
 
 def candidates(text) -> tuple:
-    """From a column of texts: structs (line, last, paragraph) of the lines that hold CONFIRM of the
-    pairs of a template. The steps are columns for `_steps`."""
+    """From a column of texts: structs (line, last, paragraph) of the paragraphs that hold CONFIRM
+    of the pairs of a template. The steps are columns for `_steps`."""
     lowered = F.lower(text)
     every = sorted({p for pairs in PAIRS for p in pairs})
     known = lambda pairs: F.filter(pairs, lambda p: p.isin(every))
@@ -254,8 +258,20 @@ def candidates(text) -> tuple:
 
 
 def _ends(i):
-    """Last lines of the paragraphs that start at line i."""
-    return F.array(i)
+    """Last lines of the paragraphs that start at line i. Each inner line holds a word."""
+    state = lambda words, open_, ends: F.struct(
+        words.alias("words"), open_.alias("open"), ends.alias("ends"))
+
+    def further(a, j):
+        size = F.element_at("lines", j + 1)["size"]
+        open_ = a["open"] & (size > 0) & (a["words"] <= REACH)
+        inner = F.when(j == i, F.lit(0)).otherwise(size)
+        return F.when(open_, state(a["words"] + inner, open_, F.concat(a["ends"], F.array(j)))).otherwise(
+            state(a["words"], F.lit(False), a["ends"]))
+
+    none = F.array().cast("array<int>")
+    upto = F.least(i + REACH + 1, F.size("lines") - 1)
+    return F.aggregate(F.sequence(i, upto), state(F.lit(0), F.lit(True), none), further, lambda a: a["ends"])
 
 
 def _with_candidates(df: DataFrame, text) -> DataFrame:

@@ -288,3 +288,25 @@ def test_licence_filter_is_lossless():
     for pairs in licences.PAIRS:
         missed = [p for p in pairs if not re.search(licences.NEEDED, p)]
         assert len(missed) < licences.CONFIRM * len(pairs)
+
+
+def test_licences_over_lines(spark):
+    rng = random.Random(7)
+    plain = lambda: words(rng, 30, 500)
+    gpl = ("This program is free software: you can redistribute it and/or modify",
+           "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.")
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining",
+           "a copy of this software and associated documentation files (the", "\"Software\"), to deal")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.".split()
+    texts = [
+        "\n".join([plain(), *gpl, plain()]), "\n".join(["/*", *(f" * {x}" for x in gpl), " */", plain()]),
+        "\n".join([plain(), "", *mit, "", plain()]), "\n".join(mpl), "\n\n".join(mpl),
+        "\r\n".join(["# " + x for x in gpl]),
+        "\n".join([*gpl, "", plain(), *mit, plain(), "", *gpl])]
+    texts += [plain() for _ in range(40)]
+    got = licensed(spark, texts)
+    assert got[0] == [(1, 3, "gpl")] and got[1] == [(1, 3, "gpl")] and got[5] == [(0, 2, "gpl")]
+    assert got[2] == [(2, 3, "mit")] and got[3] == [(0, 15, "mpl")] and got[4] == []
+    assert got[6] == [(0, 2, "gpl"), (6, 7, "mit"), (11, 13, "gpl")]
+    assert all(got[i] == [] for i in range(7, len(texts)))
