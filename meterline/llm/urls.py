@@ -2,7 +2,9 @@
 
 Features: length of url, host and path, depth, digit ratio, entropy of the host's characters, number
 of parameters, hyphens and labels of the host, and how often labelled URLs with its last label were
-bad. The trees learn from labelled URLs, at most MAX_LABELLED of them (those with the least hash).
+bad; that share is over all labelled rows. The trees learn from different labelled URLs, at most
+MAX_LABELLED of them: of each class those with the least hash, at least half of the places if it has as
+many. A URL weighs as many rows as it has, and the drawn URLs of a class as much as all of its rows.
 
 A url that is null or has no `://` has empty host and path; no rule fits it, and its features judge
 it like any other. Repeated rows are judged alike. Without any label of both classes, what no rule
@@ -11,6 +13,7 @@ blocks is allowed. Extra columns are left alone: the input stays together as str
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.classification import GBTClassifier
@@ -58,6 +61,11 @@ def longest_rule(rules: tuple[tuple[str, str], ...]):
     return F.array_max(F.filter(fits, lambda r: F.col("path").startswith(r["path"])))
 
 
+def suffix():
+    """Last label of `host`."""
+    return F.substring_index("host", ".", -1)
+
+
 def lexical(df: DataFrame) -> DataFrame:
     """Adds the features of `url`, `host` and `path` but for the suffix statistics, and `suffix`."""
     chars = F.split("host", "")
@@ -72,7 +80,7 @@ def lexical(df: DataFrame) -> DataFrame:
         "params": F.length(F.regexp_replace(F.regexp_extract(url, r"\?([^#]*)", 1), "[^=]", "")),
         "hyphens": F.length(F.regexp_replace("host", "[^-]", "")),
         "labels": F.size(F.split("host", r"\.", -1)),
-        "suffix": F.substring_index("host", ".", -1)})
+        "suffix": suffix()})
 
 
 def _vectors(df: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -85,16 +93,26 @@ def _vectors(df: DataFrame, suffixes: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, most: int = MAX_LABELLED):
     """(trees, suffix statistics) from rows (url, label); None where only one class is there."""
     host, path = host_and_path(F.col("url"))
-    rows = (labelled.select("url", F.col("label").cast("double").alias("label"))
-            .where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(most)
-            .withColumns({"host": host, "path": path}))
-    sample = stored(lexical(rows), "labelled")
-    if sample.select("label").distinct().count() < 2:
+    different = stored(
+        labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
+        .groupBy("url", "label").agg(F.count("*").alias("rows"))
+        .withColumns({"host": host, "path": path}), "labelled")
+    totals = {r["label"]: r for r in different.groupBy("label").agg(
+        F.count("*").alias("urls"), F.sum("rows").alias("rows")).collect()}  # a row per class
+    if len(totals) < 2:
         return None
-    suffixes = stored(sample.groupBy("suffix").agg(
-        ((F.sum("label") + 0.5) / (F.count("*") + 1)).alias("bad_suffix")), "suffixes")
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
-                          seed=7).fit(_vectors(sample, suffixes))
+    suffixes = stored(different.groupBy(suffix().alias("suffix")).agg(
+        ((F.sum(F.col("label") * F.col("rows")) + 0.5) / (F.sum("rows") + 1)).alias("bad_suffix")), "suffixes")
+    every = sum(r["urls"] for r in totals.values())
+    drawn = [different.where(F.col("label") == c).orderBy(F.xxhash64("url"), "url").limit(
+        max(most // 2, most - (every - r["urls"]))) for c, r in sorted(totals.items())]
+    sample = stored(lexical(reduce(DataFrame.union, drawn)), "labelled-sample")
+    shares = {r["label"]: totals[r["label"]]["rows"] / r["rows"] for r in sample.groupBy("label").agg(
+        F.sum("rows").alias("rows")).collect()}
+    scale = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
+    sample = sample.withColumn("weight", F.col("rows") * scale[F.col("label")])
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES,
+                          maxDepth=DEPTH, seed=7).fit(_vectors(sample, suffixes))
     return trees, suffixes
 
 

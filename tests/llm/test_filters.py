@@ -244,6 +244,23 @@ def test_url_edges(spark):
     assert r.row.host == 2 and r.host == "" and r.verdict == "allow"
 
 
+def test_url_statistics_cover_all_labels(spark):
+    rng = random.Random(3)
+    rows = [(f"http://a{i}.s{i % 7}/", i % 2) for i in range(70)]
+    hot = min((f"http://hot{i}.zz/" for i in range(40)), key=lambda u: spark.range(1).select(
+        F.xxhash64(F.lit(u))).first()[0])
+    rows += [(hot, 1)] * 200 + [("http://b.s1/", 0)] * 5
+    rng.shuffle(rows)
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    trees, suffixes = urls.fit(labelled, most=20)
+    count = Counter(u.rsplit(".", 1)[1].strip("/") for u, _ in rows)
+    bad = Counter(u.rsplit(".", 1)[1].strip("/") for u, b in rows if b)
+    assert {r.suffix: round(r.bad_suffix, 9) for r in suffixes.collect()} == {
+        x: round((bad[x] + 0.5) / (n + 1), 9) for x, n in count.items()}
+    # before, the hot url could take every place, and one class was left
+    assert urls.fit(labelled, most=2) is not None
+
+
 # --- licences --------------------------------------------------------------------------------
 
 def test_licences(spark):
