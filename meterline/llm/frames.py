@@ -37,6 +37,25 @@ def shards_for(texts: DataFrame, column: str, bytes_each: int, least: int = 4) -
     return n
 
 
+def lookup(rows: DataFrame, values: DataFrame, key: str, chunk: int = 8192) -> DataFrame:
+    """`rows` left-joined with `values` (one row per key; no null keys) on `key`. Keys that more than
+    `chunk` rows share are dealt out: their rows go to several tasks, their value to each of these.
+    What is counted first is a key and a number; few keys come back from it."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = stored(counts.where(F.col("count") > chunk).selectExpr(
+        f"`{key}` as _hot", f"cast(ceil(count / {chunk}) as int) as _copies"), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(values, key, "left")
+    dealt = (rows.withColumn("_uid", F.monotonically_increasing_id())
+             .join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+                 "_copy", F.expr("if(_copies is null, 0, cast(pmod(xxhash64(_uid), _copies) as int))"))
+             .drop("_hot", "_copies", "_uid"))
+    copies = (values.join(hot, F.col(key) == F.col("_hot"), "left")
+              .withColumn("_copy", F.explode(F.expr("sequence(0, coalesce(_copies, 1) - 1)")))
+              .drop("_hot", "_copies"))
+    return dealt.join(copies, [key, "_copy"], "left").drop("_copy")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in `edges`; the component is the smallest node of it.
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import decontaminate, kneserney, licences, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
+from meterline.llm import (
+    alignment, covertree, decontaminate, kneserney, licences, mixing, prefixes, quality, secrets, simhash,
+    suffixes, tokenbin, urls)
 from meterline.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +33,14 @@ def op2_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
         kneserney.perplexity(F.col("s.score"), F.col("s.n_tokens")).alias("perplexity"))
 
 
-def word_tokenizer() -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_tokenizer() -> str:
+    return tokenizer_file("word_bpe_49k.json")
 
 
 def op3_token_binary(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +93,22 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict", F.round("p_bad", 6).alias("p_bad"))
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.align(
+        table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"),
+        tokenizer_file("piece_bpe_32k.model"), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        "groups_sha256", "n_overlaps")
+
+
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf, "conversations"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -99,4 +121,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }

@@ -1,7 +1,8 @@
 """The same queries in DuckDB SQL, where SQL can say them.
 
-Not said in SQL: op2 (crc32 and a model over it), op3 (a tokenizer), op4 and op6 (searches that SQL
-has no hash for), op5 and op10 (trained models), op7 (pseudorandom permutations), and the pipeline.
+Not said in SQL: op2 (crc32 and a model over it), op3 and op11 (tokenizers), op4 and op6 (searches
+that SQL has no hash for), op5 and op10 (trained models), op7 (pseudorandom permutations), and the
+pipeline.
 These are compared with brute-force versions in tests/llm.
 """
 
@@ -131,6 +132,50 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN s USING (rid)"""
 
 
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda state, b: list_reduce([xor(state, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit:
+    xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS s
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(s ORDER BY turn NULLS FIRST, md5(length(s.r) || ':' || s.r || s.t)) AS own
+      FROM t GROUP BY conv_id),
+h AS (SELECT *, {_CRC32} % 6 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS s
+      FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+n AS (SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth) AS ends
+      FROM p GROUP BY ALL),
+up AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0
+        ELSE (n_convs - 1) * length(k[depth].t) END AS saved FROM n LEFT JOIN up USING (k)),
+above AS (SELECT k[1:d] AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN above USING (k) LEFT JOIN n q ON q.k = f.k[1:f.depth - 1] AND f.depth > 0"""
+
+_NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e
+                     FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.rid, b.rid AS other FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid
+        AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(rid, seen) AS (SELECT rid, rid FROM v
+                     UNION SELECT r.rid, l.other FROM reach r JOIN l ON l.rid = r.seen),
+c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = r.seen GROUP BY 1),
+n AS (SELECT rid, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": _quality(), "op8_decontamination": _DECONTAMINATION,
-            "op9_secrets": _secrets()}
+            "op9_secrets": _secrets(), "op12_conversation_trie": _TRIE,
+            "op13_embedding_dedup": _NEAR_VECTORS}
