@@ -22,10 +22,12 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +43,7 @@ from meterline.llm.frames import small_batches
 BLOCK = 8 << 20
 PIECE = 1 << 20
 PRODUCTS = 1 << 21
+KNOWN = 1 << 18
 FIGURES = ("n_a", "n_b", "n_groups", "n_overlaps", "n_links")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -63,13 +66,17 @@ class Csr(NamedTuple):
 def from_sorted(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int,
                 width: int) -> Csr:
     """A matrix of entries that ascend by row."""
-    return Csr(np.searchsorted(rows, np.arange(height + 1)), columns, values, width)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=height))])
+    return Csr(starts, columns, values, width)
 
 
 def transposed(m: Csr) -> Csr:
     rows = np.repeat(np.arange(m.height), np.diff(m.starts))
-    order = np.argsort(m.columns, kind="stable")
-    return from_sorted(m.columns[order], rows[order], m.values[order], m.width, m.height)
+    columns, values = m.columns, m.values
+    if not (columns[1:] >= columns[:-1]).all():
+        order = np.argsort(columns, kind="stable")
+        columns, rows, values = columns[order], rows[order], values[order]
+    return from_sorted(columns, rows, values, m.width, m.height)
 
 
 def row_products(a: Csr, b: Csr, limit: int = PRODUCTS
@@ -134,14 +141,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# How byte-level BPE cuts a text before it merges bytes, and characters whose classes
+# all Unicode versions agree on.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7E\u00C0-\u017F]*")
+
+
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library; encodes a space and the text."""
+    """A byte-level BPE file of the tokenizers library; encodes a space and the text.
+
+    Merges stay within the pieces that _CUTS finds, so a text of settled characters is the ids of its
+    pieces one after the other, and each distinct piece is encoded once; KNOWN of them are kept. Other
+    texts, and files with another way of cutting, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        cuts = parts["pre_tokenizer"] or {}
+        self.by_piece = (
+            parts["normalizer"] is None and cuts.get("type") == "ByteLevel"
+            and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
+            and not parts["model"].get("dropout"))
+        self.cut = regex.compile(_CUTS).findall
+        self.known: dict[str, list[int]] = {}
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
         pieces = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
@@ -150,9 +176,23 @@ class ByteLevel:
                 else token.encode()
         self.vocabulary = _vocabulary(pieces)
 
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        out: list[list[int]] = [[]] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not (self.by_piece and _SETTLED.fullmatch(t))]
+        for i, ids in zip(whole, self._whole([f" {texts[i]}" for i in whole])):
+            out[i] = ids
+        left = set(whole)
+        cut = {i: self.cut(f" {t}") for i, t in enumerate(texts) if i not in left}
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = list({p for pieces in cut.values() for p in pieces}.difference(self.known))
+        self.known.update(zip(new, self._whole(new)))
+        for i, pieces in cut.items():
+            out[i] = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return out
 
 
 class Pieces:
@@ -198,20 +238,19 @@ def align_ids(ids: tuple[list[list[int]], list[list[int]]],
     """Groups of texts whose two token lists spell the same bytes. `sizes` are the byte sizes of the
     two vocabularies."""
     n = len(ids[0])
-    flat = [np.fromiter((i for t in side for i in t), np.int64, sum(map(len, side)))
-            for side in ids]
+    flat = [np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side))) for side in ids]
     text = [np.repeat(np.arange(n), [len(t) for t in side]) for side in ids]
     size = [s[f] for s, f in zip(sizes, flat)]
     ends = [np.cumsum(s) for s in size]
     overlaps = np.zeros(n, np.int64)
-    cuts: list[np.ndarray] = []
+    last = [np.zeros(len(f), np.int64) for f in flat]
     for a, b, _ in row_products(byte_incidence(size[0]), transposed(byte_incidence(size[1])),
                                 limit):
         overlaps += np.bincount(text[0][a], minlength=n)
-        cuts.append(a[ends[0][a] == ends[1][b]])
-    last = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-    groups = [np.searchsorted(ends[0][last], e) for e in ends]
-    return Aligned(n, tuple(flat), tuple(text), tuple(groups), text[0][last], overlaps)
+        cut = ends[0][a] == ends[1][b]
+        last[0][a[cut]] = last[1][b[cut]] = 1
+    groups = [np.cumsum(side) - side for side in last]
+    return Aligned(n, tuple(flat), tuple(text), tuple(groups), text[0][last[0] == 1], overlaps)
 
 
 def linked_pairs(found: Aligned, n_ids: tuple[int, int], limit: int = PRODUCTS
@@ -238,6 +277,20 @@ def linked_pairs(found: Aligned, n_ids: tuple[int, int], limit: int = PRODUCTS
     return text[first], pair[first], np.add.reduceat(times, first)
 
 
+@lru_cache(maxsize=4)
+def _digits_below(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below `limit`, padded in front, and which of them are shown."""
+    places = 10 ** np.arange(len(str(limit - 1)) - 1, -1, -1)
+    numbers = np.arange(limit)[:, None]
+    shown = numbers >= places
+    shown[:, -1] = True
+    return (numbers // places % 10 + 48).astype(np.uint8), shown
+
+
+def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
+    return _digits_below(1 << max(most, 1).bit_length())
+
+
 def spelled_groups(found: Aligned) -> list[bytes]:
     """The groups of each text as `a1,a2|b1;a3|b2,b3`."""
     n = len(found.group_text)
@@ -250,18 +303,17 @@ def spelled_groups(found: Aligned) -> list[bytes]:
     stops = np.full(len(ids), ord(","), np.uint8)
     stops[(in_a[1:] + in_b[:-1] - 1)] = ord("|")
     stops[(in_a[1:] + in_b[1:] - 1)] = ord(";")
-    width = len(str(int(ids.max()))) if len(ids) else 1
-    places = 10 ** np.arange(width - 1, -1, -1)
+    digits, shown_digits = _digits(int(ids.max()) if len(ids) else 0)
+    width = digits.shape[1]
     cells = np.empty((len(ids), width + 1), np.uint8)
-    cells[:, :-1] = ids[:, None] // places % 10 + 48
+    cells[:, :-1] = digits[ids]
     cells[:, -1] = stops
     shown = np.ones(cells.shape, bool)
-    shown[:, :-1] = ids[:, None] >= places
-    shown[:, -2] = True
+    shown[:, :-1] = shown_digits[ids]
     raw = cells[shown].tobytes()
     per_text = np.bincount(found.texts[0], minlength=found.n_texts) \
         + np.bincount(found.texts[1], minlength=found.n_texts)
-    chars = np.concatenate([[0], np.cumsum(shown.sum(axis=1))])
+    chars = np.concatenate([[0], np.cumsum(shown_digits.sum(axis=1)[ids] + 1)])
     cuts = chars[np.concatenate([[0], np.cumsum(per_text)])].tolist()
     return [raw[a:max(b - 1, a)] for a, b in zip(cuts[:-1], cuts[1:])]
 
