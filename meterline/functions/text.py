@@ -169,7 +169,10 @@ def infer_input(body: Column) -> Column:
 
 
 def chat_input(body: Column, user_only: bool = False) -> Column:
-    turns = messages_of(body)
+    """Contents of the messages that are objects, one per line; the body itself if it is no chat."""
+    raw = F.try_variant_get(F.try_parse_json(body), "$.messages", "array<variant>")
+    objects = F.transform(raw, lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    turns = F.filter(messages_of(body), lambda m, i: F.get(objects, i))
     if user_only:
         turns = F.filter(turns, lambda m: m["role"] == "user")
     joined = F.array_join(F.transform(turns, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")

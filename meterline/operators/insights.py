@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from meterline.functions.cost import hash_bucket, ratio
 from meterline.functions.text import day_of
+from meterline.lineage import stored
 from meterline.operators.aggregate import count_if
+from meterline.operators.ranking import mark_first_n
 
 SHARE_FLOOR = 1e-6
 
@@ -93,17 +95,22 @@ def label_scores(matrix: DataFrame) -> DataFrame:
             ("f1", 2, F.col("predicted") + F.col("support")))])
 
 
-def group_split(group: Column) -> Column:
-    """Split by group (client, conversation, period), so that no group is in two of them."""
-    bucket = hash_bucket(group, "group:")
-    return F.when(bucket < 70, "train").when(bucket < 85, "validation").otherwise("test")
+def group_split(group: Column, row_id: Column | None = None) -> Column:
+    """Split by group (client, conversation, period), so that no group is in two of them. A row without
+    a group is a group of its own, by its id; without both it is in no split."""
+    bucket = hash_bucket(group if row_id is None else F.coalesce(group, row_id), "group:")
+    return F.when(bucket < 70, "train").when(bucket < 85, "validation").when(bucket < 100, "test")
 
 
 def without_conflicts(rows: DataFrame, key: Column, label: str) -> DataFrame:
-    """Rows of inputs that have one label only. The counts meet the rows by the input's hash."""
+    """Rows of inputs that have one label only. A null label is a label like any other, so an input
+    with a label and without one conflicts; rows without an input conflict with nothing and stay. The
+    conflicting inputs meet the rows by their hash."""
     keyed = rows.withColumn("_key", F.sha2(key, 256))
-    one = keyed.groupBy("_key").agg(F.min(label).alias("a"), F.max(label).alias("b")).filter("a <=> b")
-    return keyed.join(one.select("_key"), "_key", "left_semi").drop("_key")
+    counted = keyed.where("_key is not null").groupBy("_key").agg(
+        F.min(label).alias("a"), F.max(label).alias("b"), F.count(F.lit(1)).alias("n"), F.count(label).alias("known"))
+    bad = counted.where("a <> b or (known > 0 and known < n)").select("_key")
+    return keyed.join(bad, "_key", "left_anti").drop("_key")
 
 
 def distribution_drift(rows: DataFrame, keys: list[str], label: str, later: Column) -> DataFrame:
@@ -129,16 +136,6 @@ def repetitive_tasks(logs: DataFrame, min_share: float = 0.05) -> DataFrame:
         "repetitive", F.coalesce(F.col("repeated_share") >= min_share, F.lit(False)))
 
 
-def dataset_version(dataset: DataFrame, columns: list[str]) -> DataFrame:
-    """Per task, rows and a content hash that does not depend on their order: sums of four lanes
-    of each row's digest."""
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
-    lane = lambda i: F.sum(F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long"))
-    return dataset.withColumn("_digest", digest).groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.concat_ws("-", *[lane(i).cast("string") for i in range(4)]).alias("content_hash"))
-
-
 def evaluation_gate(logs: DataFrame, max_cost_ratio: float, max_p95_ms: float, min_samples: int
                     ) -> DataFrame:
     """Students that are cheap, fast and tried often enough, by their served requests; the first
@@ -184,3 +181,46 @@ def teacher_sampling(logs: DataFrame, share: float, floor: int, ceiling: int) ->
     target = F.least(wanted, F.lit(ceiling), F.col("requests")).cast("long")
     return daily.withColumn("teacher_samples", target).withColumn(
         "missing", F.greatest(target - F.col("teacher_requests"), F.lit(0)).cast("long"))
+
+
+def label_balance(rows: DataFrame, keys: list[str], label: str, min_ratio: float = 0.05) -> DataFrame:
+    """Per key: labelled rows, labels, the share of the rarest one, and whether it is at least
+    `min_ratio`, as a training trigger may ask for. Rows without a label do not count."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy(*keys).agg(F.sum("n").alias("labelled"), F.count(F.lit(1)).alias("labels"),
+                                    F.min("n").alias("least"))
+    share = ratio(F.col("least"), F.col("labelled"), 6)
+    return out.withColumn("balance_ratio", share).drop("least").withColumn(
+        "balanced", F.col("balance_ratio") >= min_ratio)
+
+
+def sampling_quotas(logs: DataFrame, shadow: DataFrame, share: float, floor: int, ceiling: int,
+                    max_divergence: float = 0.03, window_days: int = 1, boost: float = 2.0) -> DataFrame:
+    """Per task and day, how many requests the teacher samples: a share of them, more by `boost` while
+    the shadow answers of the `window_days` days before diverged by more than `max_divergence`; at
+    least `floor`, at most `ceiling`, and never more than there are."""
+    day = day_of(F.col("timestamp")).alias("day")
+    daily = logs.groupBy("task_id", day).agg(F.count(F.lit(1)).alias("requests"))
+    compared = shadow.groupBy("task_id", day).agg(
+        F.count("response_exact_match").alias("compared"),
+        count_if(~F.col("response_exact_match")).alias("diverged"))
+    before = Window.partitionBy("task_id").orderBy(F.unix_date(F.to_date("day"))) \
+        .rangeBetween(-window_days, -1)
+    days = daily.join(compared, ["task_id", "day"], "left").withColumn("divergence", F.round(ratio(
+        F.sum("diverged").over(before), F.sum("compared").over(before), None), 6))
+    raised = F.col("divergence") > F.lit(float(max_divergence))
+    wanted = F.ceil(F.col("requests") * F.when(raised, float(share * boost)).otherwise(float(share)))
+    quota = F.least(F.greatest(wanted, F.lit(floor)), F.lit(ceiling), F.col("requests")).cast("long")
+    return days.select("task_id", "day", "requests", "divergence", raised.alias("raised"), quota.alias("quota"))
+
+
+def sampled_requests(logs: DataFrame, quotas: DataFrame, salt: str = "probe:") -> DataFrame:
+    """The requests that the teacher samples: of each task and day the first `quota` in the order of a
+    keyed hash of their id, so reruns agree and a task's busiest day is never sorted in one place."""
+    mark = F.md5(F.concat(F.lit(salt), "request_id"))
+    rows = logs.where(F.col("request_id").isNotNull()).select(
+        "task_id", day_of(F.col("timestamp")).alias("day"), "request_id", mark.alias("_mark"))
+    rows = rows.join(stored(quotas.select("task_id", "day", "quota"), "quotas"), ["task_id", "day"])
+    slice_no = F.conv(F.substring("_mark", 1, 2), 16, 10).cast("int")
+    return mark_first_n(rows, ["task_id", "day"], ["_mark", "request_id"], slice_no, "quota", "_in") \
+        .filter("_in").select("task_id", "day", "request_id")

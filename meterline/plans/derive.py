@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.config import Backend, DriftThresholds, Gateway, Limits, Route, Snapshot
+from meterline.functions.cost import hash_bucket
 from meterline.operators.enrich import enrich_requests, log_rows, routed_requests, shadow_probes
 from meterline.operators.evaluate import classification_metrics
 from meterline.operators.shadow import pair_probes, shadow_log
@@ -104,8 +105,11 @@ def shadow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback_of(raw_requests(spark, sf_dir))
+
+
+def feedback_of(raw: DataFrame) -> DataFrame:
     """One feedback row per request; those of k = 14 name a request that was never logged."""
-    raw = raw_requests(spark, sf_dir)
     return raw.select(
         "timestamp",
         F.when(F.col("k") == 14, F.concat(F.lit("lost_"), "request_id"))
@@ -229,3 +233,68 @@ def dataset_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
+
+
+def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an extraction task: the expected JSON, and an answer with other values, without
+    fields, cut off, or missing, by the text length. `size_guess` is a number to be compared."""
+    n = F.col("n_chars")
+
+    def document(lang: Column, chars: Column, tags: Column, source: Column) -> Column:
+        return F.concat(F.lit('{"lang":"'), lang, F.lit('","meta":{'), source, F.lit('"chars":'),
+                        chars.cast("string"), F.lit('},"tags":'), tags, F.lit("}"))
+
+    tags = F.concat(F.lit('["'), F.col("lang"), F.lit('","'), F.col("source"), F.lit('"]'))
+    source = F.concat(F.lit('"source":"'), F.col("source"), F.lit('",'))
+    answer = document(F.when(n % 5 == 0, "xx").otherwise(F.col("lang")),
+                      F.when(n % 6 == 0, n + 1).otherwise(n), F.when(n % 4 == 0, "[]").otherwise(tags),
+                      F.when(n % 9 == 0, "").otherwise(source))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "n_chars", document(F.col("lang"), n, tags, source).alias("expected"),
+        F.when(n % 29 == 0, F.lit(None)).when(n % 11 == 0, F.substring(answer, 1, 20))
+        .otherwise(answer).alias("answer"),
+        F.when(n % 19 != 0, n + n % 17 - 8).alias("size_guess"))
+
+
+def confident_calls(log: DataFrame) -> DataFrame:
+    """Requests a student served, with a confidence from 0 to 0.99 that is higher where it is right."""
+    one, two = (hash_bucket(F.col("request_id"), salt) for salt in ("sure:", "unsure:"))
+    right = F.col("status") == "success"
+    return log.filter(F.col("routing_decision") == "student").select(
+        "task_id", "selected_model", right.alias("right"),
+        (F.when(right, F.greatest(one, two)).otherwise(F.least(one, two)) / 100).alias("confidence"))
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests of clients and, some of them, of conversations."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        _label("doc_", doc).alias("request_id"), _label("c", F.floor(doc / 3)).alias("client_id"),
+        F.when(doc % 5 == 0, _label("v", F.floor(doc / 7))).alias("conversation_id"),
+        F.col("text").alias("input"))
+
+
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests of a task per language."""
+    return table(spark, sf_dir, "documents").select(
+        _label("doc_", F.col("doc_id")).alias("request_id"), F.col("lang").alias("task_id"),
+        F.sha2("text", 256).alias("input_hash"), F.col("text").alias("prompt_redacted"))
+
+
+def sided_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prompts of six tasks: in half of them the later ones are of other languages, in the
+    others the sides are drawn at random."""
+    doc = F.col("doc_id")
+    request = _label("doc_", doc)
+    later = F.when(doc % 6 < 3, F.col("lang").isin("de", "fr")).otherwise(hash_bucket(request, "side:") < 40)
+    return table(spark, sf_dir, "documents").select(
+        request.alias("request_id"), _label("task_", doc % 6).alias("task_id"), "text", later.alias("later"))
+
+
+def next_version(dataset: DataFrame) -> DataFrame:
+    """The dataset as a later run finds it: rows gone, relabelled, and new."""
+    bucket = lambda salt: hash_bucket(F.col("request_id"), salt)
+    kept = dataset.filter(bucket("gone:") >= 3).withColumn("validated_output", F.when(
+        bucket("relabelled:") < 4, F.lit("other")).otherwise(F.col("validated_output")))
+    added = dataset.filter(bucket("new:") < 2).withColumn("request_id", F.concat("request_id", F.lit("|new")))
+    return kept.unionByName(added)

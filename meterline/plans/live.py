@@ -14,7 +14,7 @@ from meterline.operators.shadow import shadow_log
 from meterline.plans import derive
 from meterline.streaming import jobs
 from meterline.streaming.limiter import limiter
-from meterline.streaming.runs import drain, read_files
+from meterline.streaming.runs import drain, heartbeats, read_files
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,13 +46,38 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_shadow_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes the student does not answer send nothing: they fail when the time for it is over."""
+    beats, closing = heartbeats(spark)
     events = _events(spark, sf)
     routed = routed_requests(derive.raw_of_events(events), derive.SNAPSHOT.routes_df(spark),
                              derive.SNAPSHOT.default_mode, derive.GATEWAY)
     probes = shadow_probes(routed).withColumn("ts", F.to_timestamp("timestamp"))
-    answers = derive.student_answers(
-        _events(spark, sf), with_time=True)
-    return drain(shadow_log(jobs.pair_probe_streams(probes, answers)), "shadow")
+    answers = derive.student_answers(_events(spark, sf), with_time=True) \
+        .filter("student_http_status is not null")
+    pairs = jobs.pair_probe_streams(probes.unionByName(beats, allowMissingColumns=True),
+                                    answers.unionByName(beats.drop("timestamp"), allowMissingColumns=True))
+    return drain(shadow_log(pairs), "shadow", closing=closing)
+
+
+def stream_rolling_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window, in append mode, with feedback and the latency percentile."""
+    beats, closing = heartbeats(spark)
+    logs = _log(spark, sf).unionByName(beats.drop("ts"), allowMissingColumns=True)
+    feedback = derive.feedback_of(derive.raw_of_events(_events(spark, sf))) \
+        .unionByName(beats.drop("ts"), allowMissingColumns=True)
+    report = jobs.rolling_drift(logs, feedback, derive.SNAPSHOT.routes_df(spark), derive.DRIFT)
+    return drain(report, "rolling-drift", closing=closing).withColumns({
+        "window_start": F.date_format("window_start", derive.STAMP),
+        "rollback_reasons": F.array_join("rollback_reasons", "; ")})
+
+
+def stream_newest_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest request of each run of copies of an input."""
+    beats, closing = heartbeats(spark)
+    logs = _log(spark, sf).unionByName(beats.drop("ts"), allowMissingColumns=True)
+    return drain(jobs.newest_copies(logs), "newest", closing=closing).select(
+        "request_id", "task_id", "input_hash", "timestamp", "copies",
+        F.date_format("first_seen", derive.STAMP).alias("first_seen"))
 
 
 def stream_feedback(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,6 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_counters": stream_counters,
         "stream_drift": stream_drift,
         "stream_shadow_join": stream_shadow_join,
+        "stream_rolling_drift": stream_rolling_drift,
+        "stream_newest_copies": stream_newest_copies,
         "stream_feedback": stream_feedback,
         "stream_feedback_rejects": stream_feedback_rejects,
         "stream_dedupe": stream_dedupe,

@@ -338,6 +338,64 @@ catalogue AS (
       || 'T00:00:00Z' AS created_at, count(*) AS samples
   FROM documents GROUP BY source, lang)"""
 
+def spelled(*columns: str) -> str:
+    return " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+
+
+JSON_ANSWERS = """
+made AS (SELECT doc_id, lang, n_chars AS n,
+    '{"lang":"' || lang || '","meta":{"source":"' || source || '","chars":' || n_chars || '},"tags":["'
+      || lang || '","' || source || '"]}' AS expected,
+    '{"lang":"' || CASE WHEN n_chars % 5 = 0 THEN 'xx' ELSE lang END || '","meta":{'
+      || CASE WHEN n_chars % 9 = 0 THEN '' ELSE '"source":"' || source || '",' END || '"chars":'
+      || CASE WHEN n_chars % 6 = 0 THEN n_chars + 1 ELSE n_chars END || '},"tags":'
+      || CASE WHEN n_chars % 4 = 0 THEN '[]' ELSE '["' || lang || '","' || source || '"]' END || '}' AS whole
+  FROM documents),
+pairs AS (SELECT doc_id, lang, expected, CASE WHEN n % 29 = 0 THEN NULL WHEN n % 11 = 0
+    THEN substr(whole, 1, 20) ELSE whole END AS answer, coalesce(json_valid(answer), false) AS valid FROM made),
+leaves AS (SELECT doc_id, side, t.fullkey AS path, coalesce(t.atom::VARCHAR, t.value::VARCHAR) AS v
+  FROM (SELECT doc_id, 'e' AS side, expected::JSON AS j FROM pairs
+        UNION ALL SELECT doc_id, 'p', answer::JSON FROM pairs WHERE valid) x, json_tree(x.j) t
+  WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{}', '[]')),
+fields AS (SELECT doc_id, path, max(v) FILTER (side = 'e') AS e, max(v) FILTER (side = 'p') AS p
+  FROM leaves GROUP BY ALL)"""
+
+CONFIDENCE = f"""
+sure AS (SELECT task_id, selected_model, status = 'success' AS ok,
+    {bucket('request_id', 'sure:')} AS one, {bucket('request_id', 'unsure:')} AS two,
+    CASE WHEN ok THEN greatest(one, two) ELSE least(one, two) END AS bin
+  FROM request_log WHERE routing_decision = 'student'),
+bins AS (SELECT task_id, selected_model, bin, count(*) AS n, count(*) FILTER (WHERE ok) AS hits
+  FROM sure GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER w AS un, sum(hits) OVER w AS uh FROM bins
+  WINDOW w AS (PARTITION BY task_id, selected_model ORDER BY bin)),
+means AS (SELECT a.task_id, a.selected_model, a.bin AS lo, b.bin AS hi,
+    (b.uh - a.uh + a.hits)::DOUBLE / (b.un - a.un + a.n) AS m
+  FROM upto a JOIN upto b ON a.task_id = b.task_id AND a.selected_model = b.selected_model AND a.bin <= b.bin),
+worst AS (SELECT k.task_id, k.selected_model, k.bin, m.lo, min(m.m) AS m FROM bins k JOIN means m
+    ON m.task_id = k.task_id AND m.selected_model = k.selected_model AND m.lo <= k.bin AND m.hi >= k.bin
+  GROUP BY ALL),
+calibrated AS (SELECT task_id, selected_model, bin, max(m) AS c FROM worst GROUP BY ALL),
+curve AS (SELECT *, sum(n) OVER w AS above, sum(n) OVER (PARTITION BY task_id, selected_model) AS total,
+    round(sum(n * (1 - c)) OVER w / above, 10) AS risk
+  FROM bins JOIN calibrated USING (task_id, selected_model, bin)
+  WINDOW w AS (PARTITION BY task_id, selected_model ORDER BY bin DESC)),
+limits AS (SELECT task_id, selected_model, sum(n)::BIGINT AS answers,
+    min(bin) FILTER (WHERE risk <= 0.1) / 100::DOUBLE AS min_confidence,
+    round(arg_min(above, bin) FILTER (WHERE risk <= 0.1)::DOUBLE / any_value(total), 10) AS coverage,
+    arg_min(risk, bin) FILTER (WHERE risk <= 0.1) AS risk
+  FROM curve GROUP BY ALL)"""
+
+QUOTAS = """
+compared AS (SELECT task_id, substr(timestamp, 1, 10) AS day, count(response_exact_match) AS c,
+    count(*) FILTER (WHERE NOT response_exact_match) AS d FROM shadow_log GROUP BY ALL),
+per_day AS (SELECT task_id, substr(timestamp, 1, 10) AS day, count(*) AS requests
+  FROM request_log GROUP BY ALL),
+rolling AS (SELECT a.*, coalesce(round(sum(d)::DOUBLE / nullif(sum(c), 0), 6), 0) AS divergence
+  FROM per_day a LEFT JOIN compared b ON a.task_id = b.task_id AND b.day::DATE = a.day::DATE - 1 GROUP BY ALL),
+quotas AS (SELECT *, divergence > 0.15::DOUBLE AS raised, least(greatest(ceil(requests
+    * CASE WHEN raised THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END), 3), 40, requests)::BIGINT AS quota FROM rolling)"""
+
 DRIFT = f"""
 recent AS (SELECT * FROM request_log WHERE CAST(replace(timestamp, 'Z', '') AS TIMESTAMP)
   >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY),
@@ -733,8 +791,8 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
             SELECT label, support, predicted, coalesce(round(hits::DOUBLE / nullif(predicted, 0), 10), 0) AS precision,
               coalesce(round(hits::DOUBLE / nullif(support, 0), 10), 0) AS recall,
               coalesce(round(2 * hits::DOUBLE / nullif(predicted + support, 0), 10), 0) AS f1 FROM s""",
-        "group_split": f"""{REQUESTS}, b AS (SELECT client_id, {bucket('client_id', 'group:')} AS b
-              FROM request_log)
+        "group_split": f"""{REQUESTS}, b AS (SELECT client_id,
+              {bucket("coalesce(client_id, request_id)", 'group:')} AS b FROM request_log)
             SELECT CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split,
               count(*) AS samples, count(DISTINCT client_id) AS clients FROM b GROUP BY 1""",
         "label_conflicts": """SELECT doc_id, source FROM documents WHERE text IN (SELECT text
@@ -753,12 +811,135 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
             SELECT *, round((requests - inputs)::DOUBLE / nullif(requests, 0), 6) AS repeated_share,
               coalesce(round((requests - inputs)::DOUBLE / nullif(requests, 0), 6) >= 0.05, false)
                 AS repetitive FROM s""",
-        "dataset_version": f"""{DATASET}, d AS (SELECT task_id, md5(concat_ws('|',
-              coalesce(request_id, ''), coalesce(input, ''), coalesce(validated_output, ''), split)) AS m
-              FROM dataset)
+        "dataset_version": f"""{DATASET}, d AS (SELECT task_id, md5({spelled('request_id', 'input',
+              'validated_output', 'split')}) AS m FROM dataset)
             SELECT task_id, count(*) AS rows, concat_ws('-', {", ".join(
                 f"sum(('0x' || substr(m, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(4))})
               AS content_hash FROM d GROUP BY task_id""",
+        "dataset_changes": f"""{DATASET}, fresh AS (
+              SELECT request_id, input, CASE WHEN {bucket('request_id', 'relabelled:')} < 4 THEN 'other'
+                ELSE validated_output END AS validated_output, split
+              FROM dataset WHERE {bucket('request_id', 'gone:')} >= 3
+              UNION ALL SELECT request_id || '|new', input, validated_output, split
+              FROM dataset WHERE {bucket('request_id', 'new:')} < 2)
+            SELECT 'lang_id' AS task_id, coalesce(a.request_id, b.request_id) AS request_id,
+              CASE WHEN a.request_id IS NULL THEN 'added' WHEN b.request_id IS NULL THEN 'removed'
+                ELSE 'changed' END AS change
+            FROM dataset a FULL JOIN fresh b USING (request_id)
+            WHERE (a.input, a.validated_output, a.split) IS DISTINCT FROM
+              (b.input, b.validated_output, b.split)""",
+        "json_fields": f"""WITH {JSON_ANSWERS} SELECT path, count(e) AS expected, count(p) AS predicted,
+              count(*) FILTER (WHERE e = p) AS matches,
+              coalesce(round(matches::DOUBLE / nullif(count(e), 0), 10), 0) AS accuracy
+            FROM fields GROUP BY path""",
+        "json_report": f"""WITH {JSON_ANSWERS}, d AS (SELECT doc_id, count(e) AS fields,
+              count(*) FILTER (WHERE e IS NOT DISTINCT FROM p) AS same, count(*) AS paths
+              FROM fields GROUP BY doc_id),
+            s AS (SELECT lang, count(*) AS answers, count(*) FILTER (WHERE valid) AS valid_json,
+              count(*) FILTER (WHERE valid AND same = paths) AS exact_matches,
+              sum(fields)::BIGINT AS fields, sum(same)::BIGINT AS right_fields
+              FROM pairs JOIN d USING (doc_id) GROUP BY lang)
+            SELECT *, round(valid_json::DOUBLE / answers, 10) AS valid_rate,
+              round(exact_matches::DOUBLE / answers, 10) AS exact_rate,
+              round(right_fields::DOUBLE / fields, 10) AS field_accuracy FROM s""",
+        "regression_scores": """WITH g AS (SELECT lang, n_chars::DOUBLE AS y, CASE WHEN n_chars % 19 <> 0
+              THEN (n_chars + n_chars % 17 - 8)::DOUBLE END AS p FROM documents)
+            SELECT lang, count(p) AS samples, count(*) FILTER (WHERE p IS NULL) AS missing,
+              round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
+              round(1 - avg((p - y) * (p - y)) / var_pop(y) FILTER (WHERE p IS NOT NULL), 6) AS r2
+            FROM g GROUP BY lang""",
+        "confidence_limits": f"""{REQUESTS},{CONFIDENCE} SELECT * FROM limits""",
+        "confident_routes": f"""{REQUESTS},{CONFIDENCE}, s AS (SELECT task_id, selected_model,
+              count(*) AS requests, round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
+              round(count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*), 6) AS error_rate
+              FROM request_log WHERE routing_decision = 'student' GROUP BY ALL),
+            r AS (SELECT s.*, CASE WHEN requests < 5 THEN 'too few requests'
+              WHEN p95_latency_ms > 900 THEN 'too slow' WHEN error_rate > 0.2 THEN 'too many errors'
+              WHEN min_confidence IS NULL THEN 'no safe confidence' END AS reason,
+              min_confidence, coverage FROM s LEFT JOIN limits USING (task_id, selected_model))
+            SELECT *, CASE WHEN reason IS NULL THEN 'student' ELSE 'teacher_only' END AS decision FROM r""",
+        "leak_free_split": f"""WITH RECURSIVE d AS (SELECT 'doc_' || doc_id AS id, 'c' || (doc_id // 3) AS c,
+              CASE WHEN doc_id % 5 = 0 THEN 'v' || (doc_id // 7) END AS v, text FROM documents),
+            l AS (SELECT DISTINCT a.id, b.id AS other FROM d a JOIN d b ON a.c = b.c
+              UNION SELECT a.id, b.id FROM d a JOIN d b ON a.v = b.v
+              UNION SELECT a.id, b.id FROM d a JOIN d b ON a.text = b.text),
+            reach(id, seen) AS (SELECT id, id FROM d
+              UNION SELECT r.id, l.other FROM reach r JOIN l ON l.id = r.seen),
+            c AS (SELECT id, min(seen) AS component FROM reach GROUP BY id),
+            b AS (SELECT *, {bucket('component', 'group:')} AS b FROM c)
+            SELECT id AS request_id, component, CASE WHEN b < 70 THEN 'train' WHEN b < 85
+              THEN 'validation' ELSE 'test' END AS split FROM b""",
+        "prompt_drift": f"""WITH d AS (SELECT 'doc_' || doc_id AS request_id, 'task_' || doc_id % 6 AS task_id,
+              list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '') AS ws,
+              CASE WHEN doc_id % 6 < 3 THEN lang IN ('de', 'fr')
+                ELSE {bucket("'doc_' || doc_id", 'side:')} < 40 END AS later FROM documents),
+            sizes AS (SELECT task_id, count(*) FILTER (WHERE NOT later) AS before,
+              count(*) FILTER (WHERE later) AS after FROM d GROUP BY task_id),
+            grams AS (SELECT task_id, request_id, later, unnest(list_concat(ws,
+              list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM d),
+            counts AS (SELECT task_id, {bucket('request_id', 'drift:')} % 25 AS g,
+              ('0x' || substr(md5(gram), 1, 8))::BIGINT % 128 AS b,
+              count(*) FILTER (WHERE NOT later) AS n0, count(*) FILTER (WHERE later) AS n1
+              FROM grams GROUP BY ALL),
+            draws AS (SELECT draw, g, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || ':' || g))
+              AS place FROM range(99) a(draw), range(25) b(g)),
+            null_counts AS (SELECT task_id, draw, b,
+              sum(CASE WHEN place <= least(greatest(round(25.0::DOUBLE * after / (before + after)), 1), 24)
+                THEN 0 ELSE n0 + n1 END) AS n0,
+              sum(CASE WHEN place <= least(greatest(round(25.0::DOUBLE * after / (before + after)), 1), 24)
+                THEN n0 + n1 ELSE 0 END) AS n1
+              FROM counts JOIN sizes USING (task_id) JOIN draws USING (g)
+              WHERE before > 0 AND after > 0 GROUP BY ALL),
+            every AS (SELECT task_id, -1 AS draw, b, sum(n0) AS n0, sum(n1) AS n1 FROM counts GROUP BY ALL
+              UNION ALL SELECT * FROM null_counts),
+            shares AS (SELECT task_id, draw, coalesce(n0::DOUBLE / nullif(sum(n0) OVER w, 0), 0) AS p,
+              coalesce(n1::DOUBLE / nullif(sum(n1) OVER w, 0), 0) AS q FROM every
+              WINDOW w AS (PARTITION BY task_id, draw)),
+            t AS (SELECT task_id, draw, round(sum(abs(p - q)), 8) AS l1,
+              round(sum((greatest(q, 1e-6) - greatest(p, 1e-6))
+                * ln(greatest(q, 1e-6) / greatest(p, 1e-6))), 8) AS psi FROM shares GROUP BY ALL),
+            ranks AS (SELECT a.task_id, round((count(*) FILTER (WHERE b.l1 >= a.l1) + 1) / 100::DOUBLE, 6)
+              AS p_value FROM t a JOIN t b USING (task_id) WHERE a.draw = -1 AND b.draw >= 0 GROUP BY ALL)
+            SELECT task_id, before, after, l1, psi, p_value, coalesce(p_value <= 0.01, false) AS drifted
+            FROM sizes LEFT JOIN (SELECT * FROM t WHERE draw = -1) USING (task_id)
+              LEFT JOIN ranks USING (task_id)""",
+        "label_drift": f"""{REQUESTS}, c AS (SELECT task_id, response_redacted,
+              count(*) FILTER (WHERE timestamp < '2024-01-15') AS a,
+              count(*) FILTER (WHERE timestamp >= '2024-01-15') AS b FROM request_log GROUP BY ALL),
+            p AS (SELECT task_id, coalesce(a::DOUBLE / nullif(sum(a) OVER w, 0), 0) AS p,
+              coalesce(b::DOUBLE / nullif(sum(b) OVER w, 0), 0) AS q FROM c
+              WINDOW w AS (PARTITION BY task_id))
+            SELECT task_id, count(*) AS labels, round(sum(abs(p - q)), 8) AS l1,
+              round(sum((greatest(q, 1e-6) - greatest(p, 1e-6))
+                * ln(greatest(q, 1e-6) / greatest(p, 1e-6))), 8) AS psi FROM p GROUP BY task_id""",
+        "near_repetitive_tasks": r"""WITH i AS (SELECT lang AS task_id, sha256(text) AS h, count(*) AS n,
+              list_filter(regexp_split_to_array(min(text), '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS ws
+              FROM documents GROUP BY ALL),
+            s AS (SELECT DISTINCT task_id, h, array_to_string(ws[k:k + 4], ' ') AS g FROM (
+              SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+            z AS (SELECT task_id, h, count(*) AS n FROM s GROUP BY ALL),
+            c AS (SELECT a.task_id, a.h, b.h AS o, count(*) AS common FROM s a
+              JOIN s b ON a.task_id = b.task_id AND a.g = b.g AND a.h <> b.h GROUP BY ALL),
+            near AS (SELECT DISTINCT c.task_id, c.h FROM c JOIN z x ON x.task_id = c.task_id AND x.h = c.h
+              JOIN z y ON y.task_id = c.task_id AND y.h = c.o
+              WHERE common::DOUBLE / (x.n + y.n - common) >= 0.8),
+            t AS (SELECT i.task_id, sum(n)::BIGINT AS requests, count(*) AS inputs,
+              count(near.h) AS near_inputs,
+              coalesce(sum(n) FILTER (WHERE near.h IS NOT NULL OR n > 1), 0)::BIGINT AS repeated_requests
+              FROM i LEFT JOIN near ON near.task_id = i.task_id AND near.h = i.h GROUP BY i.task_id)
+            SELECT *, round(repeated_requests::DOUBLE / requests, 6) AS repeated_share,
+              repeated_share >= 0.05 AS repetitive FROM t""",
+        "label_balance": f"""{REQUESTS}, c AS (SELECT task_id, response_redacted, count(*) AS n
+              FROM request_log WHERE response_redacted IS NOT NULL GROUP BY ALL)
+            SELECT task_id, sum(n)::BIGINT AS labelled, count(*) AS labels,
+              round(min(n)::DOUBLE / sum(n), 6) AS balance_ratio, balance_ratio >= 0.2 AS balanced
+            FROM c GROUP BY task_id""",
+        "sampling_quotas": f"""{REQUESTS},{SHADOW},{QUOTAS} SELECT * FROM quotas""",
+        "sampled_requests": f"""{REQUESTS},{SHADOW},{QUOTAS} SELECT task_id, day, request_id FROM (
+              SELECT l.task_id, day, request_id, quota, row_number() OVER (PARTITION BY l.task_id, day
+                ORDER BY md5('probe:' || request_id), request_id) AS nth
+              FROM (SELECT *, substr(timestamp, 1, 10) AS day FROM request_log) l
+                JOIN quotas USING (task_id, day)) WHERE nth <= quota""",
         "dated_log": f"""{REQUESTS} SELECT substr(timestamp, 1, 10) AS date, count(*) AS requests,
               sum(input_tokens) AS input_tokens, count(DISTINCT request_id) AS ids
               FROM request_log GROUP BY 1""",
@@ -810,7 +991,49 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
                 THEN 'student_error_rate ' || printf('%.4f', er)
                   || ' > {MAX_ERROR_RATE:.4f}' ELSE '' END AS rollback_reasons
             FROM windows""",
-        "stream_shadow_join": f"{SHADOWS} SELECT * FROM shadow_log",
+        "stream_shadow_join": f"""{SHADOWS} SELECT * REPLACE (
+              CASE WHEN http_status IS NOT NULL THEN latency_ms END AS latency_ms) FROM shadow_log""",
+        "stream_rolling_drift": f"""{REQUESTS},{FEEDBACK},
+            timed AS (SELECT *, CAST(replace(timestamp, 'Z', '') AS TIMESTAMP) AS ts FROM request_log),
+            marked AS (SELECT task_id, date_trunc('hour', ts) AS hour,
+                greatest(length(bin(latency_ms)) - 6, 0) AS s, latency_ms,
+                status = 'error' OR http_status >= 400 AS bad
+              FROM timed WHERE routing_decision = 'student' AND task_id IN ('task_1', 'task_2', 'task_3')),
+            noted AS (SELECT date_trunc('hour', CAST(replace(f.timestamp, 'Z', '') AS TIMESTAMP)) AS hour,
+                CASE WHEN r.request_id IS NULL THEN f.task_id
+                  WHEN r.routing_decision = 'student' THEN r.task_id END AS task_id,
+                lower(trim(rating)) IN ({", ".join(f"'{r}'" for r in NEGATIVE_RATINGS)}) AS negative
+              FROM feedback f LEFT JOIN (SELECT * FROM timed
+                WHERE task_id IN ('task_1', 'task_2', 'task_3', 'task_4')) r ON r.request_id = f.request_id),
+            w AS (SELECT hour - to_hours(h) AS window_start, task_id, bad, NULL::BOOLEAN AS negative,
+                CASE WHEN s = 0 THEN latency_ms ELSE ((latency_ms >> s) << s) + (1 << (s - 1)) END AS ms
+              FROM marked, range(24) t(h)
+              UNION ALL SELECT hour - to_hours(h), task_id, NULL, negative, NULL
+              FROM noted, range(24) t(h) WHERE task_id IN ('task_1', 'task_2', 'task_3')),
+            f AS (SELECT window_start, task_id, count(bad) AS n, count(*) FILTER (WHERE bad) AS e,
+                CAST(round_even(quantile_cont(ms, 0.95), 0) AS BIGINT) AS p95,
+                count(negative) AS t, count(*) FILTER (WHERE negative) AS g,
+                coalesce(e::DOUBLE / nullif(n, 0), 0) AS er, coalesce(g::DOUBLE / nullif(t, 0), 0) AS nr
+              FROM w GROUP BY window_start, task_id)
+            SELECT strftime(window_start, {STAMP}) AS window_start, task_id, n AS student_requests,
+              e AS student_errors, round(er, 6) AS student_error_rate, p95 AS student_p95_latency_ms,
+              t AS feedback_total, g AS feedback_negative, round(nr, 6) AS negative_feedback_rate,
+              concat_ws('; ',
+                CASE WHEN n >= 20 AND er > {MAX_ERROR_RATE}::DOUBLE THEN 'student_error_rate '
+                  || printf('%.4f', er) || ' > {MAX_ERROR_RATE:.4f}' END,
+                CASE WHEN t >= 5 AND nr > {MAX_NEGATIVE_RATE}::DOUBLE THEN 'negative_feedback_rate '
+                  || printf('%.4f', nr) || ' > {MAX_NEGATIVE_RATE:.4f}' END) AS rollback_reasons FROM f""",
+        "stream_newest_copies": f"""{REQUESTS},
+            t AS (SELECT *, CAST(replace(timestamp, 'Z', '') AS TIMESTAMP) AS ts FROM request_log),
+            s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+              FROM t WINDOW w AS (PARTITION BY task_id, coalesce(input_hash, request_id) ORDER BY ts)),
+            r AS (SELECT *, sum(fresh) OVER (PARTITION BY task_id, coalesce(input_hash, request_id)
+              ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
+            SELECT arg_max(request_id, (ts, timestamp, request_id)) AS request_id, task_id,
+              any_value(input_hash) AS input_hash,
+              arg_max(timestamp, (ts, timestamp, request_id)) AS timestamp, count(*) AS copies,
+              strftime(min(ts), {STAMP}) AS first_seen
+            FROM r GROUP BY task_id, coalesce(input_hash, request_id), run""",
         "stream_feedback": f"""WITH {RAW} SELECT timestamp, request_id,
             'client_' || (user_id % 20) AS client_id, task_id,
             CASE WHEN k % 9 <> 0 THEN 'bad' END AS rating,

@@ -12,8 +12,8 @@ from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
 from meterline.lineage import stored, work_folder
 from meterline.operators import (
-    dataset, drift, evaluate, finops, governance, insights, knn, labelling, ratelimit, retention, sampling,
-    shadow, students, synthetic)
+    answers, confidence, dataset, drift, evaluate, finops, governance, groups, insights, knn, labelling, prompts,
+    ratelimit, repeats, retention, sampling, shadow, students, synthetic, versions)
 from meterline.plans import derive, live
 from meterline.plans.derive import table
 from meterline.sources import logs
@@ -30,6 +30,7 @@ BUDGET = 1_000_000
 TRAINING_COST = 0.25
 DRIFT_SPLIT = "2024-01-15"
 GATE_ACCURACY, GATE_MACRO_F1 = 0.74, 0.55
+MAX_ERROR, CONFIDENCE_BINS = 0.1, 100
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -309,8 +310,8 @@ def label_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
-    return derive.request_log(spark, sf).groupBy(
-        insights.group_split(F.col("client_id")).alias("split")).agg(
+    split = insights.group_split(F.col("client_id"), F.col("request_id"))
+    return derive.request_log(spark, sf).groupBy(split.alias("split")).agg(
         F.count(F.lit(1)).alias("samples"), F.count_distinct("client_id").alias("clients"))
 
 
@@ -340,9 +341,73 @@ def dated_log(spark: SparkSession, sf: str) -> DataFrame:
         F.count_distinct("request_id").alias("ids"))
 
 
+VERSIONED = ["input", "validated_output", "split"]
+
+
 def dataset_version(spark: SparkSession, sf: str) -> DataFrame:
-    return insights.dataset_version(
-        _dataset(spark, sf), ["request_id", "input", "validated_output", "split"])
+    return versions.dataset_version(_dataset(spark, sf), ["request_id", *VERSIONED])
+
+
+def dataset_changes(spark: SparkSession, sf: str) -> DataFrame:
+    old = _stored_dataset(spark, sf)
+    return versions.version_changes(old, derive.next_version(old), ["request_id"], VERSIONED)
+
+
+def json_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.field_accuracy(derive.json_answers(spark, sf), ["doc_id"], "expected", "answer")
+
+
+def json_report(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.json_report(derive.json_answers(spark, sf), ["doc_id", "lang"], "expected", "answer", ["lang"])
+
+
+def regression_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = answers.regression_scores(derive.json_answers(spark, sf), "n_chars", "size_guess", ["lang"])
+    return _rounded(out, 6, "mae", "rmse", "r2")
+
+
+def confidence_limits(spark: SparkSession, sf: str) -> DataFrame:
+    calls = derive.confident_calls(derive.request_log(spark, sf))
+    return confidence.confidence_limits(calls, ["task_id", "selected_model"], "confidence", F.col("right"),
+                                        MAX_ERROR, CONFIDENCE_BINS)
+
+
+def confident_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return confidence.confident_routes(route_policy(spark, sf), confidence_limits(spark, sf))
+
+
+def leak_free_split(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [F.col(c) for c in ("client_id", "conversation_id", "input")]
+    return groups.leak_free_split(derive.linked_documents(spark, sf), "request_id", keys).select(
+        "request_id", "component", "split")
+
+
+def prompt_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.prompt_drift(derive.sided_prompts(spark, sf), ["task_id"], "request_id", "text", F.col("later"))
+
+
+def label_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.distribution_drift(
+        derive.request_log(spark, sf), ["task_id"], "response_redacted", F.col("timestamp") >= DRIFT_SPLIT)
+
+
+def near_repetitive_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.near_repetitive_tasks(derive.document_log(spark, sf))
+
+
+def label_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.label_balance(derive.request_log(spark, sf), ["task_id"], "response_redacted", 0.2)
+
+
+def sampled_requests(spark: SparkSession, sf: str) -> DataFrame:
+    log = derive.request_log(spark, sf)
+    quotas = insights.sampling_quotas(log, derive.shadow_rows(spark, sf), 0.1, 3, 40, 0.15)
+    return insights.sampled_requests(log, quotas)
+
+
+def sampling_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    return insights.sampling_quotas(
+        derive.request_log(spark, sf), derive.shadow_rows(spark, sf), 0.1, 3, 40, 0.15)
 
 
 # --- students --------------------------------------------------------------------------------
@@ -456,6 +521,19 @@ def queries() -> dict[str, Query]:
         "distribution_drift": distribution_drift,
         "repetitive_tasks": _log(insights.repetitive_tasks),
         "dataset_version": dataset_version,
+        "dataset_changes": dataset_changes,
+        "json_fields": json_fields,
+        "json_report": json_report,
+        "regression_scores": regression_scores,
+        "confidence_limits": confidence_limits,
+        "confident_routes": confident_routes,
+        "leak_free_split": leak_free_split,
+        "prompt_drift": prompt_drift,
+        "label_drift": label_drift,
+        "near_repetitive_tasks": near_repetitive_tasks,
+        "label_balance": label_balance,
+        "sampling_quotas": sampling_quotas,
+        "sampled_requests": sampled_requests,
         "route_policy": route_policy,
         "dated_log": dated_log,
         "teacher_sampling": _log(lambda log: insights.teacher_sampling(log, 0.1, 3, 40)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -17,8 +19,28 @@ def read_files(spark: SparkSession, pattern: str, schema: T.StructType,
     return reader.parquet(pattern)
 
 
-def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process what is available, then return the sink's rows.
+HEARTBEAT = "heartbeat boolean, ts timestamp, timestamp string"
+
+
+def heartbeats(spark: SparkSession, at: str = "2200-01-01T00:00:00Z"
+               ) -> tuple[DataFrame, Callable[[], None]]:
+    """A stream of heartbeats, and what sends one. A heartbeat is a row whose time moves the watermark
+    past everything that waits; operators that take heartbeats drop it after that."""
+    folder = work_folder(spark, "heartbeats")
+    spark.createDataFrame([], HEARTBEAT).write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+    def send() -> None:
+        spark.sql(f"SELECT true AS heartbeat, CAST('{at}' AS timestamp) AS ts, '{at}' AS timestamp") \
+            .write.mode("append").parquet(folder)
+
+    return stream, send
+
+
+def drain(stream: DataFrame, purpose: str, mode: str = "append",
+          closing: Callable[[], None] | None = None) -> DataFrame:
+    """Process what is available, then return the sink's rows. With `closing` (the sender of a
+    heartbeat) the stream runs once more after it, so that rows come out that wait for time to pass.
 
     Append mode writes a Parquet sink with exactly-once commits. Complete mode rewrites the whole
     result, one folder per batch, and the last one counts: a batch that is run again after a
@@ -29,8 +51,11 @@ def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state") \
         .trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-        query.awaitTermination()
+        writer = writer.format("parquet").option("path", out)
+        writer.start().awaitTermination()
+        if closing is not None:
+            closing()
+            writer.start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
 
     last: list[int] = []
