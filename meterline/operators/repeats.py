@@ -19,10 +19,15 @@ _SEEDS = np.random.default_rng(977).integers(1, 1 << 62, (2, BANDS * ROWS)).asty
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct hashes of the runs of `words` words of a text, ascending; a shorter text is one run, a
     text without words none."""
-    parts = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0b]+"), lambda x: x != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, words), " ")))
-    return F.when(F.size(parts) > 0, F.array_sort(F.array_distinct(runs)))
+    split = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0b]+"), lambda x: x != "")
+
+    def runs(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, words), " ")))
+
+    # the outer transform names the words, so that they are split off once and not once per run
+    hashes = F.transform(F.array(split), runs)[0]
+    return F.when(text.rlike("[^ \\t\\n\\r\\f\\x0b]"), F.array_sort(F.array_distinct(hashes)))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
