@@ -10,8 +10,8 @@ separators), and builds an FM-index: suffix array, Burrows-Wheeler transform in
 sampled suffix positions. All windows of the block are searched backwards at once; occurrences are
 located by walking to the next sampled position, and become spans of words, merged where they touch.
 
-Null texts and items have no words. Items without an id are left out, items that share an id count
-as one. Repeated rows are judged alike. An empty benchmark hits nothing. Extra columns are left alone.
+Null texts and items have no words. Items without an id are searched like others and count as hits, but
+have no name in the list of items; items that share an id count as one. Repeated rows are judged alike. An empty benchmark hits nothing. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int
                   ) -> Iterator[pa.RecordBatch]:
     """Windows of the items as blocks: sorted word hashes, distinct windows, and their items."""
     rows: list[np.ndarray] = []
-    ids: list[str] = []
+    ids: list[str | None] = []
 
     def flush() -> pa.RecordBatch:
         vocabulary = np.unique(np.concatenate(rows))
@@ -166,8 +166,9 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int
         for i, r in enumerate(rows):
             table[i, window - len(r):] = np.searchsorted(vocabulary, r) + 1
         phrases, of = np.unique(np.column_stack([table, lengths]), axis=0, return_inverse=True)
-        names, item = np.unique(np.array(ids, dtype=str), return_inverse=True)
-        pairs = np.unique(np.column_stack([of.reshape(-1), item]), axis=0)
+        named = np.array([i is not None for i in ids])  # windows of items without an id have no name
+        names, item = np.unique(np.array([i for i in ids if i is not None], dtype=str), return_inverse=True)
+        pairs = np.unique(np.column_stack([of.reshape(-1)[named], item]), axis=0)
         out = io.BytesIO()
         np.savez(out, vocabulary=vocabulary, phrases=phrases[:, :-1], lengths=phrases[:, -1],
                  phrase=pairs[:, 0], item=pairs[:, 1], names=names)
@@ -178,7 +179,6 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], folder: str, window: int
         return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
     for batch in batches:
-        batch = pa.Table.from_batches([batch]).filter(batch.column(0).is_valid())
         data, offsets = w.text_bytes(batch.column(1))
         lower = w.LOWER[data]
         starts, ends = w.word_bounds(lower, offsets, w.letters_digits())

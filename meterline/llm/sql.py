@@ -77,7 +77,7 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(ws), 13) AS size, array_to_string(ws[i:i + 12], ' ') AS x
        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 11, least(len(ws), 1) + 1))) AS i
              FROM b)),
@@ -87,7 +87,7 @@ dw AS (SELECT rid, size, i, array_to_string(ws[i:i + size - 1], ' ') AS x
 occ AS (SELECT rid, i, dw.size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.x = bw.x),
 hit AS (SELECT rid, count(DISTINCT k) AS n_hit
         FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS k FROM occ) GROUP BY rid),
-it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+it AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256,

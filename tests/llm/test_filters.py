@@ -81,13 +81,13 @@ def contamination(text, items):
     ws, hit, found = doc_words(text), set(), set()
     for item, body in items:
         b = doc_words(body)
-        if item is None or not b:
+        if not b:
             continue
         size = min(13, len(b))
         wins = {tuple(b[i:i + size]) for i in range(len(b) - size + 1)}
         for i in range(len(ws) - size + 1):
             if tuple(ws[i:i + size]) in wins:
-                found.add(str(item))
+                found.update([str(item)] if item is not None else [])  # counted, but has no name
                 hit.update(range(i, i + size))
     return len(ws), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(ws)
 
@@ -129,6 +129,15 @@ def test_fm_index():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_items_without_id_count(spark):
+    bench = spark.createDataFrame([(None, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
+    text = " ".join([f"b{i}" for i in range(20)] + [f"x{i}" for i in range(20)])
+    docs = spark.createDataFrame([(1, text), (2, "x1 x2")], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_hit, r["items"], r.contaminated) for r in dc.judge(docs, bench).collect()}
+    assert got == {1: (20, [], True), 2: (0, [], False)}
+    assert [r.doc_id for r in dc.keep(docs, bench).collect()] == [2]
+
+
 def test_decontamination_edges(spark, clashing, none):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     empty = spark.createDataFrame([], "item_id long, text string")
