@@ -49,7 +49,8 @@ def op3_token_binary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
+    cut = suffixes.remove_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
+    return cut.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
