@@ -298,3 +298,13 @@ def next_version(dataset: DataFrame) -> DataFrame:
         bucket("relabelled:") < 4, F.lit("other")).otherwise(F.col("validated_output")))
     added = dataset.filter(bucket("new:") < 2).withColumn("request_id", F.concat("request_id", F.lit("|new")))
     return kept.unionByName(added)
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines as a file may hold them: some cut off, without a time, blank, or no object."""
+    line = F.to_json(F.struct("timestamp", "request_id", "task_id"))
+    k = F.col("k")
+    return raw_requests(spark, sf_dir).select(
+        F.substring("timestamp", 1, 10).alias("day"),
+        F.when(k % 31 == 3, F.substring(line, 1, 25)).when(k % 37 == 5, "  ").when(k % 41 == 7, "17")
+        .when(k % 23 == 9, F.to_json(F.struct("request_id", "task_id"))).otherwise(line).alias("value"))

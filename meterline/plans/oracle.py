@@ -360,6 +360,11 @@ leaves AS (SELECT doc_id, side, t.fullkey AS path, coalesce(t.atom::VARCHAR, t.v
 fields AS (SELECT doc_id, path, max(v) FILTER (side = 'e') AS e, max(v) FILTER (side = 'p') AS p
   FROM leaves GROUP BY ALL)"""
 
+LINES = """
+lines AS (SELECT timestamp, task_id, ts < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY AS old,
+    CASE WHEN k % 31 = 3 THEN 'cut' WHEN k % 37 = 5 THEN 'blank' WHEN k % 41 = 7 THEN 'number'
+      WHEN k % 23 = 9 THEN 'undated' ELSE 'whole' END AS kind FROM raw)"""
+
 CONFIDENCE = f"""
 sure AS (SELECT task_id, selected_model, status = 'success' AS ok,
     {bucket('request_id', 'sure:')} AS one, {bucket('request_id', 'unsure:')} AS two,
@@ -943,6 +948,41 @@ ORDER BY estimated_remaining_savings_usd DESC, teacher_cost_usd DESC, task_id LI
         "dated_log": f"""{REQUESTS} SELECT substr(timestamp, 1, 10) AS date, count(*) AS requests,
               sum(input_tokens) AS input_tokens, count(DISTINCT request_id) AS ids
               FROM request_log GROUP BY 1""",
+        "log_files": f"""{REQUESTS} SELECT task_id, count(*) AS requests,
+              count(cost_center) FILTER (WHERE timestamp < '2024-01-15') AS with_center,
+              count(input_hash) FILTER (WHERE timestamp < '2024-01-15') AS hashed,
+              sum(output_tokens) AS output_tokens, sum(latency_ms) AS latency_ms
+            FROM request_log GROUP BY task_id""",
+        "log_quarantine": f"""WITH {RAW},{LINES} SELECT 'read' AS fate, task_id, count(*) AS lines
+              FROM lines WHERE kind IN ('whole', 'undated') GROUP BY task_id
+            UNION ALL SELECT 'set aside', NULL, count(*) FROM lines WHERE kind = 'cut'""",
+        "retention_lines": f"""WITH {RAW},{LINES} SELECT substr(timestamp, 1, 10) AS day,
+              count(*) AS total_lines,
+              count(*) FILTER (WHERE kind = 'whole' AND old) AS removed_lines,
+              count(*) FILTER (WHERE kind <> 'whole' OR NOT old) AS kept_lines,
+              count(*) FILTER (WHERE kind = 'cut') AS invalid_lines_kept,
+              count(*) FILTER (WHERE kind IN ('undated', 'number')) AS missing_timestamp_kept
+            FROM lines GROUP BY 1""",
+        "dataset_files": f"""{DATASET} SELECT split, count(*) AS samples, count(DISTINCT request_id) AS ids,
+              0::BIGINT AS unsorted FROM dataset GROUP BY split""",
+        "sft_files": f"""{DATASET} SELECT task_id, {sft_split}, validated_output AS completion,
+              count(*) AS records, sum(length({prompt}))::BIGINT AS chars FROM dataset GROUP BY ALL""",
+        "labelled_csv": f"""SELECT lang AS expected_intent, count(*) AS texts, count(*) AS ids,
+              sum(length({squeezed_ends('text')}))::BIGINT AS chars
+            FROM documents WHERE doc_id % 10 <> 0 AND length({squeezed_ends('text')}) > 0 GROUP BY lang""",
+        "complaint_samples": f"""WITH c AS (SELECT doc_id, 'the_' || source AS label,
+              {squeezed_ends('text')} AS body, lang FROM documents
+              WHERE source IN (SELECT 'src' || n_nationkey FROM nation)),
+            ok AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS turn FROM c
+              WHERE length(body) >= 400),
+            train AS (SELECT * FROM ok QUALIFY row_number() OVER (ORDER BY turn, label) <= 100),
+            rest AS (SELECT doc_id, label, body, lang, row_number() OVER (PARTITION BY label ORDER BY doc_id)
+              AS turn FROM ok WHERE doc_id NOT IN (SELECT doc_id FROM train)),
+            evals AS (SELECT * FROM rest QUALIFY row_number() OVER (ORDER BY turn, label) <= 40),
+            both_ AS (SELECT *, 'train' AS split FROM train UNION ALL SELECT *, 'test' FROM evals)
+            SELECT 'cfpb_' || doc_id AS request_id, label AS expected_intent, split,
+              length('Consumer complaint narrative:' || chr(10) || body || chr(10) || chr(10)
+                || 'Reported issue: ' || lang) AS chars FROM both_""",
         "route_policy": f"""{REQUESTS}, s AS (SELECT task_id, selected_model, count(*) AS requests,
               round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms,
               round(count(*) FILTER (WHERE status = 'error')::DOUBLE / count(*), 6) AS error_rate

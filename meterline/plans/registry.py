@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterline import schemas
 from meterline.functions import labels as lab
 from meterline.functions import text as tx
 from meterline.functions.cost import content_hash, hash_bucket, round_half_up
@@ -16,7 +17,7 @@ from meterline.operators import (
     ratelimit, repeats, retention, sampling, shadow, students, synthetic, versions)
 from meterline.plans import derive, live
 from meterline.plans.derive import table
-from meterline.sources import logs
+from meterline.sources import logs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -410,6 +411,99 @@ def sampling_quotas(spark: SparkSession, sf: str) -> DataFrame:
         derive.request_log(spark, sf), derive.shadow_rows(spark, sf), 0.1, 3, 40, 0.15)
 
 
+# --- files -----------------------------------------------------------------------------------
+
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The log appended as JSON lines in two runs, the second without some columns, and read again
+    through a glob."""
+    root = work_folder(spark, "json-log")
+    log = derive.request_log(spark, sf)
+    early = F.col("timestamp") < DRIFT_SPLIT
+    logs.append_log(log.filter(early), root)
+    logs.append_log(log.filter(~early).drop("cost_center", "input_hash"), root)
+    back = logs.read_request_log(spark, f"{root}/date=2024-*")
+    return back.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("requests"), F.count("cost_center").alias("with_center"),
+        F.count("input_hash").alias("hashed"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum("latency_ms").alias("latency_ms"))
+
+
+def log_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored log lines, some of them broken, read tolerantly: what is read and what is set aside."""
+    root = work_folder(spark, "lines")
+    derive.stored_lines(spark, sf).select("value").write.text(root)
+    good, bad = logs.read_tolerant(spark, root, schemas.REQUEST_LOG)
+    return good.groupBy(F.lit("read").alias("fate"), F.col("task_id")).agg(F.count(F.lit(1)).alias("lines")) \
+        .unionByName(bad.groupBy(F.lit("set aside").alias("fate"), F.lit(None).cast("string").alias("task_id"))
+                     .agg(F.count(F.lit(1)).alias("lines")))
+
+
+def retention_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Retention of stored lines per day, with broken, undated and blank ones."""
+    return retention.retention_report(
+        retention.classify_lines(derive.stored_lines(spark, sf), derive.RETENTION_AS_OF, 90), ["day"])
+
+
+def dataset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset written by task and split, and read again: rows per split, and how many come before
+    the row above them in the same file."""
+    root = work_folder(spark, "dataset-files")
+    tables.write_dataset(_dataset(spark, sf), root)
+    back = tables.read_dataset(spark, root).withColumn("place", F.col("_metadata.row_index")) \
+        .withColumn("file", F.col("_metadata.file_path"))
+    above = F.lag("timestamp").over(Window.partitionBy("file", F.floor(F.col("place") / 65536)).orderBy("place"))
+    return back.withColumn("above", above).groupBy("split").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("request_id").alias("ids"),
+        F.count_if(F.col("above") > F.col("timestamp")).alias("unsorted"))
+
+
+def sft_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Fine-tuning records written by task and split, and read again."""
+    root = work_folder(spark, "sft")
+    records = dataset.sft_rows(_stored_dataset(spark, sf), list(CODES), TASK_DESCRIPTION, "prompt")
+    tables.write_sft(records, root, by_task=True)
+    back = spark.read.schema("prompt string, completion string, task_id string, split string").json(root)
+    return back.groupBy("task_id", "split", "completion").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.char_length("prompt")).alias("chars"))
+
+
+def _csv(rows: DataFrame, purpose: str) -> str:
+    path = work_folder(rows.sparkSession, purpose)
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+def labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled texts from CSV files: trimmed, numbered, labels from the rows."""
+    docs = table(spark, sf, "documents")
+    path = _csv(docs.select(F.concat(F.lit("  "), "text").alias("text"), F.when(
+        F.col("doc_id") % 10 != 0, F.col("lang")).alias("category")), "labelled-csv")
+    rows = tables.read_text_categories(spark, path, "train", "doc")
+    return rows.groupBy("expected_intent").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_distinct("request_id").alias("ids"),
+        F.sum(F.char_length("text")).alias("chars"))
+
+
+def complaint_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Complaints from CSV files: allowed products, labels from their names, a balanced training
+    sample, and an evaluation sample of the rest."""
+    docs = table(spark, sf, "documents")
+    path = _csv(docs.select(
+        F.col("doc_id").alias("Complaint ID"), F.concat(F.lit("The "), "source").alias("Product"),
+        F.col("lang").alias("Issue"), F.lit("").alias("Sub-product"), F.lit("2024-01-01").alias("Date received"),
+        F.lit("Closed").alias("Company response to consumer"), F.col("text").alias("Consumer complaint narrative"),
+    ), "complaints-csv")
+    allowed = table(spark, sf, "nation").select(
+        F.concat(F.lit("the_src"), F.col("n_nationkey").cast("string")).alias("label"))
+    rows = labelling.prepare_complaints(tables.read_complaints(spark, path, min_chars=400), allowed) \
+        .withColumn("position", F.col("complaint_id").cast("long"))
+    train, evaluation = sampling.sample_train_and_eval(stored(rows.select(
+        "request_id", "expected_intent", "position", "text"), "complaints"), "expected_intent", "position", 100, 40)
+    return train.unionByName(evaluation).select(
+        "request_id", "expected_intent", "split", F.char_length("text").cast("long").alias("chars"))
+
+
 # --- students --------------------------------------------------------------------------------
 
 def _text_student(spec: students.StudentSpec) -> Query:
@@ -536,6 +630,13 @@ def queries() -> dict[str, Query]:
         "sampled_requests": sampled_requests,
         "route_policy": route_policy,
         "dated_log": dated_log,
+        "log_files": log_files,
+        "log_quarantine": log_quarantine,
+        "retention_lines": retention_lines,
+        "dataset_files": dataset_files,
+        "sft_files": sft_files,
+        "labelled_csv": labelled_csv,
+        "complaint_samples": complaint_samples,
         "teacher_sampling": _log(lambda log: insights.teacher_sampling(log, 0.1, 3, 40)),
         "evaluation_gate": _log(lambda log: insights.evaluation_gate(log, 0.5, 900.0, 10)),
         "student_tfidf_eval": _text_student(students.StudentSpec("tfidf_logistic")),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline import schemas
 from meterline.config import Snapshot
 from meterline.functions.text import blank_to_null, strip, parse_timestamp
+from meterline.lineage import stored
 from meterline.operators.dataset import SPLITS
 from meterline.sources.logs import paths_matching
 from meterline.tables import small_table
@@ -24,9 +25,15 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Position of each row in its file order. A source with an id of its own should carry that
-    instead; this one pass over the partitions is only for files that have none."""
-    schema = T.StructType(rows.schema.fields + [T.StructField("_at", T.LongType())])
-    return rows.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(schema)
+    instead; this is only for files that have none. A row knows its partition and its place there;
+    what comes before a partition is added up over one count per partition."""
+    marked = rows.withColumn("_mark", F.monotonically_increasing_id()).withColumns({
+        "_part": F.shiftright("_mark", 33), "_place": F.col("_mark").bitwiseAND((1 << 33) - 1)})
+    counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stored(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
+    return marked.join(offsets, "_part").withColumn("_at", F.col("_place") + F.col("_before")) \
+        .drop("_mark", "_part", "_place", "_before")
 
 
 def read_text_categories(spark: SparkSession, path: str, split: str, prefix: str) -> DataFrame:
@@ -102,9 +109,12 @@ def read_dataset(spark: SparkSession, root: str, task_id: str | None = None) ->
     return rows if task_id is None else rows.filter(F.col("task_id") == task_id)
 
 
-def write_sft(records: DataFrame, root: str) -> None:
-    records.drop("task_id", "request_id").write.mode("errorifexists") \
-        .partitionBy("split").json(root)
+def write_sft(records: DataFrame, root: str, by_task: bool = False) -> None:
+    """Records as JSON lines in one folder per split, or per task and split where they are of several
+    tasks; a fine-tuning run reads one folder."""
+    folders = ["task_id", "split"] if by_task else ["split"]
+    kept = records.drop("request_id") if by_task else records.drop("task_id", "request_id")
+    kept.hint("rebalance", *folders).write.mode("errorifexists").partitionBy(*folders).json(root)
 
 
 # --- manifests -------------------------------------------------------------------------------
