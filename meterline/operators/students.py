@@ -18,9 +18,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.lineage import cut, stored
+from meterline.lineage import stored
 from meterline.operators.evaluate import classification_metrics, majority_baseline
 
+BYTES_PER_PARTITION = 16 << 20
 TFIDF_KINDS = ("tfidf_logistic", "tfidf_mlp")
 EMBEDDING_KINDS = ("embedding_logistic", "embedding_mlp")
 HYBRID_KINDS = ("hybrid_logistic", "hybrid_mlp")
@@ -52,16 +53,19 @@ def _text_stages(spec: StudentSpec) -> list:
     ]
 
 
-def _fit_tfidf(train: DataFrame, spec: StudentSpec) -> PipelineModel:
-    """Counts times ln((1+n)/(1+df))+1, scaled to length 1."""
-    counter = Pipeline(stages=_text_stages(spec)).fit(train)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counter.transform(train))
+def _fit_tfidf(train: DataFrame, spec: StudentSpec) -> tuple[list, list, DataFrame]:
+    """Counts times ln((1+n)/(1+df))+1, scaled to length 1: the stages that count words, those that
+    weigh the counts, and the training rows with their counts. The texts are cut into words once."""
+    *words, vocabulary = _text_stages(spec)
+    grams = stored(PipelineModel(stages=words).transform(train).drop("text", "_one", "_two"), "grams")
+    vocabulary = vocabulary.fit(grams)
+    counted = stored(vocabulary.transform(grams).drop("_grams"), "counts")
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
     weights = Vectors.dense([w + 1.0 for w in idf.idf.toArray()])
-    return PipelineModel(stages=[
-        counter,
+    return [*words, vocabulary], [
         ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"),
         Normalizer(inputCol="_weighted", outputCol="_tfidf"),
-    ])
+    ], counted
 
 
 @dataclass(frozen=True)
@@ -85,30 +89,34 @@ def _with_vector(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_embedding", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
-def _features(train: DataFrame, spec: StudentSpec) -> PipelineModel:
-    inputs = []
-    stages = []
+def _features(train: DataFrame, spec: StudentSpec) -> tuple[PipelineModel, DataFrame]:
+    """The stages that turn rows into features, and the training rows with theirs."""
+    inputs, counting, weighing = [], [], []
     if spec.kind in EMBEDDING_KINDS + HYBRID_KINDS:
         inputs.append("_embedding")
     if spec.kind in TFIDF_KINDS + HYBRID_KINDS:
-        stages.append(_fit_tfidf(train, spec))
+        counting, weighing, train = _fit_tfidf(train, spec)
         inputs.append("_tfidf")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    return PipelineModel(stages=stages)
+    weighing = [*weighing, VectorAssembler(inputCols=inputs, outputCol="_features")]
+    return PipelineModel(stages=[*counting, *weighing]), PipelineModel(stages=weighing).transform(train)
 
 
-def _prepared(features: PipelineModel, rows: DataFrame, *extra: str) -> DataFrame:
-    """Fitting input. One attribute entry per feature would travel with every task of every
-    iteration, so the metadata is left behind and the lineage cut."""
-    return cut(features.transform(rows).select(
-        F.col("_features").alias("_features", metadata={}), "_target", *extra))
+def _prepared(rows: DataFrame, *extra: str) -> DataFrame:
+    """Fitting input, written once; the estimators keep their own blocks of it in memory or on disk.
+    Each iteration is a job over it, so it has no more partitions than its size asks for. One
+    attribute entry per feature would travel with every task of every iteration, so the metadata is
+    left behind."""
+    frame = stored(rows.select(
+        F.col("_features").alias("_features", metadata={}), "_target", *extra), "features")
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.coalesce(max(1, -(-size // BYTES_PER_PARTITION)))
 
 
 def fit_student(train: DataFrame, spec: StudentSpec = StudentSpec()) -> Student | None:
     """Fit on `label` and `text` and/or `embedding`. None where a majority baseline is due: fewer
     than two labels or three rows."""
     used = [c for c in ("text", "embedding") if c in train.columns]
-    train = _with_vector(cut(train.select(*used, F.col("label").cast("string").alias("label"))))
+    train = _with_vector(stored(train.select(*used, F.col("label").cast("string").alias("label")), "train"))
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("labels")).first()
     n_rows, n_labels = totals["rows"] or 0, totals["labels"]
@@ -117,21 +125,21 @@ def fit_student(train: DataFrame, spec: StudentSpec = StudentSpec()) -> Student
     indexer = StringIndexer(inputCol="label", outputCol="_target",
                             stringOrderType="alphabetAsc").fit(train)
     labels = list(indexer.labelsArray[0])
-    features = _features(train, spec)
+    features, ready = _features(indexer.transform(train), spec)
     if spec.kind.endswith("logistic"):
         # Balanced class weights sum to the row count; C = 1 is a penalty of 1 / rows per row.
         balanced = stored(counts.select("label", (
             F.lit(float(n_rows)) / (F.lit(float(n_labels)) * F.col("_n"))).alias("_weight")),
             "weights")
-        train = train.join(balanced, "label")
+        ready = ready.join(balanced, "label")
         classifier = LogisticRegression(
             featuresCol="_features", labelCol="_target", weightCol="_weight",
             predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw",
             family="multinomial", standardization=False, regParam=1.0 / n_rows, tol=1e-4,
             maxIter=spec.max_iter or (1000 if spec.kind == "tfidf_logistic" else 2000))
-        prepared = _prepared(features, indexer.transform(train), "_weight")
+        prepared = _prepared(ready, "_weight")
     else:
-        prepared = _prepared(features, indexer.transform(train))
+        prepared = _prepared(ready)
         width = prepared.first()["_features"].size
         hidden = spec.hidden or ((256, 128) if spec.kind == "tfidf_mlp" else (256,))
         classifier = MultilayerPerceptronClassifier(

@@ -26,13 +26,14 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(rows: DataFrame) -> DataFrame:
     """Position of each row in its file order. A source with an id of its own should carry that
     instead; this is only for files that have none. A row knows its partition and its place there;
-    what comes before a partition is added up over one count per partition."""
+    what comes before a partition is added up over one count per partition, two numbers each, which
+    every task gets."""
     marked = rows.withColumn("_mark", F.monotonically_increasing_id()).withColumns({
         "_part": F.shiftright("_mark", 33), "_place": F.col("_mark").bitwiseAND((1 << 33) - 1)})
     counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stored(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
-    return marked.join(offsets, "_part").withColumn("_at", F.col("_place") + F.col("_before")) \
+    return marked.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_place") + F.col("_before")) \
         .drop("_mark", "_part", "_place", "_before")
 
 
