@@ -6,12 +6,16 @@ theirs are fetched to a temporary file that is unlinked as soon as it is mapped.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 
@@ -53,3 +57,17 @@ def mapped(path: str, dtype: str) -> np.ndarray:
         return np.memmap(copy, dtype, "r") if os.path.getsize(copy) else np.zeros(0, dtype)
     finally:
         os.unlink(copy)
+
+
+def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task that hands memory which its Python worker keeps for later back to the system: workers
+    are used again, and what one stage has freed would count beside what the next one takes."""
+    for _ in batches:
+        pass
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+    return
+    yield

@@ -253,14 +253,14 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_column: str = "doc_id",
-          text: str = "text") -> DataFrame:
-    """Write the shards of `docs`; returns the manifest: a row per shard, with `start`, the ids
-    before it."""
+          text: str = "text", shard_bytes: int = INPUT_PER_SHARD) -> DataFrame:
+    """Write the shards of `docs`, each for about `shard_bytes` of input; returns the manifest: a row
+    per shard, with `start`, the ids before it."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_folder(spark, "token-ids")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = (narrow.repartitionByRange(shards_for(narrow, "text", INPUT_PER_SHARD, 8), "doc_id")
+    dealt = (narrow.repartitionByRange(shards_for(narrow, "text", shard_bytes, 8), "doc_id")
              .sortWithinPartitions(F.asc_nulls_first("doc_id"), "text"))
     manifest = stored(dealt.mapInArrow(
         lambda b: _write_shard(b, folder, tokenizer, end_id), _MANIFEST), "manifest")
