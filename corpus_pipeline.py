@@ -12,18 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.lineage import folders, remove, stored
 from meterline.llm import decontaminate, mixing, quality, simhash, tokenbin
+from meterline.llm.files import give_back
 from meterline.llm.frames import table
 from meterline.llm.queries import word_tokenizer
 
+#: Input of a token shard: small, as its tasks run beside what the earlier stages left in memory.
+SHARD_BYTES = 4 << 20
 _OLD: list[str] = []
 
 
 def _stage(run):
-    """A stage whose docs have been written no longer needs what the stage before it put into work
+    """Python workers first give back what the stage before it left in them. A stage whose docs have
+    been written no longer needs what the stage before it put into work
     folders, so that goes when it starts; its own folders stay for its result to be read. Docs that
     are no written table, but a plan that may read from there, leave everything as it is."""
     @wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, 4 * n, 1, 4 * n).mapInArrow(give_back, "id long").count()
         if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
             remove(spark, _OLD)
         before = set(folders())
@@ -66,7 +72,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards with Elias-Fano boundaries; a row per document, read back from them."""
-    return tokenbin.read_documents(tokenbin.write(docs, word_tokenizer()))
+    return tokenbin.read_documents(tokenbin.write(docs, word_tokenizer(), shard_bytes=SHARD_BYTES))
 
 
 STAGES = [
