@@ -22,10 +22,10 @@ _OLD: list[str] = []
 
 
 def _stage(run):
-    """Python workers first give back what the stage before it left in them. A stage whose docs have
-    been written no longer needs what the stage before it put into work
-    folders, so that goes when it starts; its own folders stay for its result to be read. Docs that
-    are no written table, but a plan that may read from there, leave everything as it is."""
+    """A stage first lets Python workers give back what the stage before it left in them. If its docs
+    have been written, it no longer needs what that stage put into work folders, so that goes when it
+    starts; its own folders stay for its result to be read. Docs that are no written table, but a plan
+    that may read from there, leave everything as it is."""
     @wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         n = spark.sparkContext.defaultParallelism
