@@ -1,21 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from mapped arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from mapped arrays.
 
 Texts are lower-cased (A-Z) and cut at ASCII white space; every text ends in one end token, which
-also stands for the start of the next text. The model is a set of files in the shared folder, each
-a shard of a sorted array:
+also stands for what is before its first word. The model is a set of files in the shared folder,
+each a shard of a sorted array:
 
-- words: sorted 64-bit hashes, and their counts; a word's id is its place over all shards;
-- contexts: by word id, how many words follow it once, twice, three times or more, and how many
-  distinct words stand before it;
-- bigrams: sorted 64-bit keys (a bijection of both ids, so no two bigrams share one), and counts.
+- words: sorted 64-bit hashes and their counts; a word's id is its place over all shards;
+- a level per length k of n-grams: sorted 64-bit hashes of their ids, and small columns. The longest
+  have their count; shorter ones have the number of distinct words before them, and of what follows
+  them how much occurs once, twice, three times or more, and the sum.
 
-Tasks count their part in numpy and send sorted blocks, so a frequent word is one entry per task, and
-bigrams are dealt by key, so no frequent first word meets in one task. Scoring maps the files into
-memory (pages that are not touched are not read) and looks all distinct words and bigrams of a block
-of texts up at once.
+Tasks count their part in numpy and send sorted blocks, so a frequent word is one entry per task.
+n-grams are dealt by hash, so no frequent context meets in one task; the task that has merged a shard
+of a level sends what it knows of the next shorter n-grams to their shards, one job for all levels.
+Scoring maps the files into memory (pages that are not touched are not read) and looks the distinct
+n-grams of a block of texts up at once.
 
+Two of a billion different n-grams share a hash with a probability of 3 %; they would count as one.
 Null texts are empty and have the end token only. A null id counts as training. Without any training
 text every token has the uniform probability 1 / (V + 1) with V = 0. Repeated rows count each time.
+Other columns are not read; those of the scored frame stay as they are.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.lineage import stored, work_folder
+from meterline.lineage import work_folder
 from meterline.llm import words as w
 from meterline.llm.files import mapped, put
 from meterline.llm.frames import shards_for, small_batches
 
+ORDER = 3
 END = np.uint64(0x5F3C9A1B7E24D680)
 PENDING = 2 << 20
 INPUT_PER_SHARD = 8 << 20
-_MAPS: dict[str, np.ndarray] = {}
+_MAPS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,131 +52,166 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(w.word_hashes(lower, starts, ends), bounds[1:], END), np.diff(bounds) + 1
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k = np.concatenate(keys)
-    if len(k) == 0:
-        return k, np.zeros(0, np.uint64)
-    order = np.argsort(k)
-    k, c = k[order], np.concatenate(counts)[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first, dtype=np.uint64)
+def _edges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of the shards that sorted keys lie in."""
+    if len(keys) == 0:
+        return []
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    at = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
+    return [(int(shard[a]), a, b) for a, b in zip(at, at[1:])]
 
 
-class _Counter:
-    """Counts keys in bounded memory; `blocks` gives them as rows (shard, keys, counts)."""
+def _small(x: np.ndarray) -> np.ndarray:
+    """In the least unsigned type that holds the values."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
-    def __init__(self, bits: int):
-        self.bits, self.keys, self.counts, self.held = bits, [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c.astype(np.uint64))
-        self.held += len(k)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of a matrix with bytes of equal place together, which the shuffle compresses well."""
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+    return np.ascontiguousarray(rows.T).tobytes()
 
-    def blocks(self, last: bool) -> Iterator[pa.RecordBatch]:
-        if not self.keys or not last and self.held < PENDING:
-            return
-        k, c = _merge(self.keys, self.counts)
-        self.keys, self.counts, self.held = [k], [c], len(k)
-        if last or len(k) > PENDING // 2:
-            self.keys, self.counts, self.held = [], [], 0
-            yield _by_shard(k, c, self.bits)
 
+def _from_planes(data: bytes, rows: int, columns: int) -> np.ndarray:
+    if rows == 0:
+        return np.zeros((0, columns), np.uint64)
+    each = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, rows).T)
+    return each.view(f"u{each.shape[1] // columns}").astype(np.uint64)
 
-def _by_shard(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    at = [*np.searchsorted(keys, edges).tolist(), len(keys)]
-    rows = [(s, a, b) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _, _ in rows], pa.int32()),
-         pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()),
-         pa.array([_small(counts[a:b]).tobytes() for _, a, b in rows], pa.binary())],
-        ["shard", "keys", "counts"])
 
+@dataclass
+class _Grams:
+    """Distinct n-grams in the order of their hashes, with columns of numbers that add up."""
+    keys: np.ndarray
+    ids: np.ndarray
+    stats: np.ndarray
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """In the least unsigned type that holds the values."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.min_scalar_type(top))
+    @staticmethod
+    def merged(keys: np.ndarray, ids: np.ndarray, stats: np.ndarray) -> "_Grams":
+        if len(keys) == 0:
+            return _Grams(keys, ids, stats.astype(np.uint64))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return _Grams(keys[first], ids[order[first]],
+                      np.add.reduceat(stats[order], first, axis=0, dtype=np.uint64))
 
+    @staticmethod
+    def joined(parts: list["_Grams"]) -> "_Grams":
+        return _Grams.merged(np.concatenate([p.keys for p in parts]),
+                             np.concatenate([p.ids for p in parts]),
+                             np.concatenate([p.stats for p in parts]))
 
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, np.uint64)
-    return k, np.frombuffer(counts, f"u{len(counts) // max(len(k), 1) or 1}").astype(np.uint64)
+    def rows(self, bits: int, id_type: str) -> pa.Table:
+        """A row per shard, its n-grams in the order of their first ids."""
+        out = []
+        for shard, a, b in _edges(self.keys, bits):
+            order = np.argsort(self.ids[a:b, 0], kind="stable")
+            out.append((shard, b - a, _planes(self.ids[a:b][order].astype(id_type)),
+                        _planes(_small(self.stats[a:b][order]))))
+        return _rows(out)
 
 
-def _group(part: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    blocks = [_unpack(k, c) for k, c in
-              zip(part["keys"].to_pylist(), part["counts"].to_pylist())]
-    return part["shard"][0].as_py(), *_merge([k for k, _ in blocks], [c for _, c in blocks])
+_ROWS = "shard int, size int, ids binary, stats binary"
+TOTALS = -1  # the shard of rows that carry the totals of a level (`size`) to the driver
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], t)
+                     for i, (n, t) in enumerate(zip(("shard", "size", "ids", "stats"), types))})
+
+
+def gram_keys(ids: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, given as rows of word ids."""
+    keys = np.zeros(len(ids), np.uint64)
+    for column in ids.T:
+        keys = w.mix(keys * np.uint64(3) + column.astype(np.uint64) + np.uint64(1))
+    return keys
+
+
+def grams(ids: np.ndarray, sizes: np.ndarray, end: int, n: int) -> np.ndarray:
+    """Rows of the n ids up to each token; before a text stand end tokens."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.empty((len(ids), n), ids.dtype)
+    for back in range(n):
+        shifted = np.roll(ids, back)
+        out[:, n - 1 - back] = np.where(place >= back, shifted, end)
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
     folder: str
-    word_bits: int
-    pair_bits: int
+    bits: int
     bases: tuple[int, ...]  # id of the first word of each word shard, and the number of words
     tokens: int
-    pairs: int  # distinct bigrams
-    low: tuple[float, ...] = ()  # discounts of continuation counts 1, 2, 3+
-    high: tuple[float, ...] = ()  # discounts of bigram counts 1, 2, 3+
+    order: int = ORDER
+    cuts: tuple[tuple[float, ...], ...] = ()  # by level: discounts of counts 1, 2, 3+
+    mass: int = 0  # sum of the counts of level 1
     spread: float = 1.0  # mass of the uniform distribution
 
-    def array(self, kind: str, shard: int, dtype: str) -> np.ndarray:
+    @property
+    def id_type(self) -> str:
+        return "u4" if self.bases[-1] < 1 << 32 else "u8"
+
+    def shard(self, kind: str, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys and columns of a file: after its number of keys and the widths of its columns (8 bytes
+        each, preceded by their number) come the keys, then the columns."""
         path = f"{self.folder}/{kind}-{shard:06d}"
         if path not in _MAPS:
-            if len(_MAPS) > 512:
+            if len(_MAPS) > 1024:
                 _MAPS.clear()
-            _MAPS[path] = mapped(path, dtype)
+            raw = mapped(path, "u1")
+            columns, size = raw[:16].view("<u8").tolist()
+            at = 16 + 8 * columns
+            widths = raw[16:at].view("<u8").tolist()
+            parts = [raw[at:at + 8 * size].view("<u8")]
+            at += 8 * size
+            for width in widths:
+                parts.append(raw[at:at + width * size].view(f"<u{width}"))
+                at += width * size
+            _MAPS[path] = parts[0], parts[1:]
         return _MAPS[path]
 
-    def _find(self, kind: str, bits: int, keys: np.ndarray) -> Iterator[tuple]:
-        """For each shard with keys: the slice of the sorted keys, their places, and which exist."""
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        at = [*np.searchsorted(keys, edges).tolist(), len(keys)]
-        for shard, (a, b) in enumerate(zip(at, at[1:])):
-            if b > a:
-                known = self.array(kind, shard, "u8")
-                place = np.searchsorted(known, keys[a:b])
-                there = place < len(known)
-                there[there] = known[place[there]] == keys[a:b][there]
-                yield shard, slice(a, b), place, there
+    def write(self, kind: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        small = [_small(c) for c in columns]
+        head = np.array([len(small), len(keys), *[c.itemsize for c in small]], "<u8")
+        put(f"{self.folder}/{kind}-{shard:06d}",
+            b"".join([head.tobytes(), keys.tobytes(), *[c.tobytes() for c in small]]))
+
+    def find(self, kind: str, keys: np.ndarray) -> Iterator[tuple]:
+        """For each shard that sorted keys lie in: its number, the places in `keys` of those that it
+        holds, their places in the shard, and its columns."""
+        for shard, a, b in _edges(keys, self.bits):
+            known, columns = self.shard(kind, shard)
+            place = np.searchsorted(known, keys[a:b])
+            there = place < len(known)
+            there[there] = known[place[there]] == keys[a:b][there]
+            yield shard, a + np.flatnonzero(there), place[there], columns
 
     def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted hashes."""
         ids = np.full(len(hashes), -1, np.int64)
         counts = np.zeros(len(hashes), np.int64)
-        for shard, part, place, there in self._find("word", self.word_bits, hashes):
-            ids[part][there] = place[there] + self.bases[shard]
-            counts[part][there] = self.array("wordcount", shard, "u8")[place[there]]
+        for shard, here, place, columns in self.find("word", hashes):
+            ids[here] = place + self.bases[shard]
+            counts[here] = columns[0][place]
         return ids, counts
 
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (followers once, twice, more; predecessors) of known ids."""
-        out = np.zeros((len(ids), 4), np.int64)
-        shard_of = np.searchsorted(self.bases, ids, "right") - 1
-        for shard in np.unique(shard_of[ids >= 0]).tolist():
-            here = np.flatnonzero((shard_of == shard) & (ids >= 0))
-            rows = self.array("context", shard, "u4").reshape(-1, 4)
-            out[here] = rows[ids[here] - self.bases[shard]]
-        return out
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted bigram keys."""
-        out = np.zeros(len(keys), np.int64)
-        for shard, part, place, there in self._find("pair", self.pair_bits, keys):
-            raw = self.array("paircount", shard, "u1")
-            n = len(self.array("pair", shard, "u8"))
-            out[part][there] = raw.view(f"u{len(raw) // max(n, 1) or 1}")[place[there]]
+    def level(self, k: int, rows: np.ndarray) -> np.ndarray:
+        """Columns of n-grams of length k, given as rows of ids; zeros if unknown."""
+        out = np.zeros((len(rows), 1 if k == self.order else 5))
+        known = np.flatnonzero((rows >= 0).all(axis=1))
+        keys, at = np.unique(gram_keys(rows[known]), return_inverse=True)
+        found = np.zeros((len(keys), out.shape[1]))
+        for _, here, place, columns in self.find(f"level{k}", keys):
+            for j, column in enumerate(columns):
+                found[here, j] = column[place]
+        out[known] = found[at]
         return out
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return w.mix((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64))
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         column = batch.column(0)
@@ -180,156 +219,162 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield w.text_bytes(column.slice(lo, hi - lo))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    counter = _Counter(bits)
-    for data, offsets in _blocks(batches):
-        counter.add(tokens(data, offsets)[0])
-        yield from counter.blocks(False)
-    yield from counter.blocks(True)
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    counter = _Counter(model.pair_bits)
-    for data, offsets in _blocks(batches):
-        found, at = np.unique(tokens(data, offsets)[0], return_inverse=True)
-        ids = model.word_ids(found)[0]
-        end = ids[np.searchsorted(found, END)]
-        ids = ids[at]
-        counter.add(pair_keys(np.concatenate([[end], ids[:-1]]), ids))
-        yield from counter.blocks(False)
-    yield from counter.blocks(True)
-
+def _counted(parts: Iterator[_Grams], bits: int, id_type: str) -> Iterator[pa.RecordBatch]:
+    """Adds n-grams up in bounded memory."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part.keys)
+        if size >= PENDING:
+            held = [_Grams.joined(held)]
+            size = len(held[0].keys)
+            if size > PENDING // 2:
+                yield from held[0].rows(bits, id_type).to_batches()
+                held, size = [], 0
+    if held:
+        yield from _Grams.joined(held).rows(bits, id_type).to_batches()
 
-def _write_words(part: pa.Table, folder: str) -> pa.Table:
-    shard, keys, counts = _group(part)
-    put(f"{folder}/word-{shard:06d}", keys.tobytes())
-    put(f"{folder}/wordcount-{shard:06d}", counts.tobytes())
-    return pa.table({"shard": pa.array([shard], pa.int32()), "size": [len(keys)],
-                     "total": [int(counts.sum())]})
 
-
-_STATS = ("kind string, shard int, keys binary, counts binary, "
-          "n1 long, n2 long, n3 long, n4 long, size long")
-
-
-def _stats(rows: list[tuple]) -> pa.Table:
-    names = ("kind", "shard", "keys", "counts", "n1", "n2", "n3", "n4", "size")
-    types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5)
-    return pa.table({n: pa.array([r[i] for r in rows], t)
-                     for i, (n, t) in enumerate(zip(names, types))})
-
-
-def _of_counts(counts: np.ndarray) -> tuple[int, ...]:
-    return tuple(int((counts == k).sum()) for k in (1, 2, 3, 4))
-
-
-def _write_pairs(part: pa.Table, model: Model) -> pa.Table:
-    """Write a shard of bigrams; send what it knows of each word to the shard of the word."""
-    shard, keys, counts = _group(part)
-    put(f"{model.folder}/pair-{shard:06d}", keys.tobytes())
-    put(f"{model.folder}/paircount-{shard:06d}", _small(counts).tobytes())
-    rows = [("total", shard, b"", b"", *_of_counts(counts), len(keys))]
-    plain = w.unmix(keys)
-    follow = (plain >> np.uint64(32)) * np.uint64(4) + np.minimum(counts, 3) - np.uint64(1)
-    before = (plain & np.uint64(0xFFFFFFFF)) * np.uint64(4) + np.uint64(3)
-    for cells in (follow, before):
-        cell, n = np.unique(cells, return_counts=True)
-        at = np.searchsorted(cell, np.array(model.bases, np.uint64) * np.uint64(4)).tolist()
-        for s, (a, b) in enumerate(zip(at, at[1:])):
-            if b > a:
-                rows.append(("word", s, cell[a:b].tobytes(),
-                             _small(n[a:b].astype(np.uint64)).tobytes(), 0, 0, 0, 0, 0))
-    return _stats(rows)
-
-
-def _write_contexts(part: pa.Table, model: Model) -> pa.Table:
-    shard, cells, n = _group(part)
-    base = model.bases[shard]
-    table = np.zeros((model.bases[shard + 1] - base) * 4, np.uint32)
-    table[(cells - np.uint64(base * 4)).astype(np.int64)] = n
-    put(f"{model.folder}/context-{shard:06d}", table.tobytes())
-    before = table[3::4].astype(np.int64)
-    more = int((before > 2).sum())
-    return _stats([("low", shard, b"", b"", *_of_counts(before), more)])
+def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for data, offsets in _blocks(batches):
+            keys = tokens(data, offsets)[0]
+            yield _Grams.merged(keys, keys.reshape(-1, 1), np.ones((len(keys), 1), np.uint8))
+    return _counted(parts(), bits, "u8")
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for data, offsets in _blocks(batches):
+            stream, sizes = tokens(data, offsets)
+            found, at = np.unique(stream, return_inverse=True)
+            ids = model.word_ids(found)[0]
+            end = ids[np.searchsorted(found, END)]
+            rows = grams(ids[at], sizes, end, model.order).astype(model.id_type)
+            yield _Grams.merged(gram_keys(rows), rows, np.ones((len(rows), 1), np.uint8))
+    return _counted(parts(), model.bits, model.id_type)
+
+
+def _group(part: pa.Table, k: int, columns: int, keys_of) -> _Grams:
+    held = []
+    for size, ids, stats in zip(*(part[c].to_pylist() for c in ("size", "ids", "stats"))):
+        rows = _from_planes(ids, size, k)
+        held.append(_Grams(keys_of(rows), rows, _from_planes(stats, size, columns)))
+    return _Grams.joined(held)
+
+
+def _write_words(part: pa.Table, model: Model) -> pa.Table:
+    shard = part["shard"][0].as_py()
+    group = _group(part, 1, 1, lambda rows: rows[:, 0])
+    model.write("word", shard, group.keys, [group.stats[:, 0]])
+    return pa.table({"shard": pa.array([shard], pa.int32()), "size": [len(group.keys)],
+                     "total": [int(group.stats.sum())]})
+
+
+def _write_level(part: pa.Table, model: Model, k: int) -> pa.Table:
+    """Write a shard of a level; send what it knows of the next shorter n-grams to their shards."""
+    shard = part["shard"][0].as_py()
+    if shard == TOTALS:
+        return part.select(["shard", "size", "ids", "stats"])
+    group = _group(part, k, 1 if k == model.order else 5, gram_keys)
+    model.write(f"level{k}", shard, group.keys, list(group.stats.T))
+    seen = group.stats[:, 0] > 0  # a context may start a text only, so nothing is before it
+    count = group.stats[seen, 0]
+    totals = [int((count == c).sum()) for c in (1, 2, 3, 4)] + [int((count > 2).sum()), int(count.sum())]
+    out = [_rows([(TOTALS, k, b"", np.array(totals, "<i8").tobytes())])]
+    if k > 1:
+        ids, n = group.ids[seen], len(count)
+        before, after = np.zeros((2, n, 5), np.uint64)
+        for j in (1, 2, 3):
+            before[:, j] = np.minimum(count, 3) == j
+        before[:, 4] = count
+        after[:, 0] = 1
+        both = np.concatenate([ids[:, :-1], ids[:, 1:]])
+        out += [_Grams.merged(gram_keys(both), both, np.concatenate([before, after]))
+                .rows(model.bits, model.id_type), _rows([(shard, 0, b"", b"")])]
+    return pa.concat_tables(out)
+
+
+def _level_writer(model: Model, k: int):
+    return lambda part: _write_level(part, model, k)
 
 
 def _discounts(n: list[int]) -> tuple[float, ...]:
-    """Modified Kneser-Ney discounts from the numbers of counts 1 to 4; where a number is missing,
-    half the count of one."""
+    """Modified Kneser-Ney discounts from the numbers of counts 1 to 4. One that cannot be estimated,
+    or is not positive, which would leave unseen words nothing, is half its count."""
+    halves = (0.5, 1.0, 1.5)
     if n[0] == 0:
-        return 0.5, 0.5, 0.5
+        return halves
     y = n[0] / (n[0] + 2 * n[1])
-    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.0), float(k)) for k, d in zip((1, 2, 3), raw))
+    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return tuple(d if d > 0 else half for d, half in zip(raw, halves))
 
 
-def fit(texts: DataFrame) -> Model:
+def fit(texts: DataFrame, order: int = ORDER) -> Model:
     """Count the first column of `texts` and write the model. The driver sees a row per shard."""
+    if order < 1:
+        raise ValueError("the order of a model is 1 or more")
     spark = texts.sparkSession
     small_batches(spark)
     folder = work_folder(spark, "kneser-ney")
     shards = shards_for(texts, texts.columns[0], INPUT_PER_SHARD)
     bits = shards.bit_length() - 1
-    blocks = "shard int, keys binary, counts binary"
+    every = spark.range(shards).selectExpr(
+        "cast(id as int) as shard", "0 as size", "cast('' as binary) as ids",
+        "cast('' as binary) as stats")  # so that shards without an n-gram have a file
 
-    sizes = (texts.mapInArrow(lambda b: _count_words(b, bits), blocks)
-             .groupBy("shard").applyInArrow(lambda t: _write_words(t, folder),
+    empty = Model(folder, bits, (0,), 0, order)
+    sizes = (texts.mapInArrow(lambda b: _count_words(b, bits), _ROWS).union(every)
+             .groupBy("shard").applyInArrow(lambda t: _write_words(t, empty),
                                             "shard int, size long, total long").collect())
-    by = {r["shard"]: r["size"] for r in sizes}
-    for empty in set(range(shards)) - set(by):
-        put(f"{folder}/word-{empty:06d}", b"")
-        put(f"{folder}/wordcount-{empty:06d}", b"")
-    bases = tuple(np.concatenate([[0], np.cumsum([by.get(s, 0) for s in range(shards)])]).tolist())
-    model = Model(folder, bits, bits, bases, sum(r["total"] for r in sizes), 0)
+    sizes.sort(key=lambda r: r["shard"])
+    bases = (0, *np.cumsum([r["size"] for r in sizes]).tolist())
+    model = Model(folder, bits, bases, sum(r["total"] for r in sizes), order)
     if bases[-1] == 0:
         return model
-    if bases[-1] >= 1 << 32:
-        raise ValueError("ids of more than 2^32 distinct words need wider bigram keys")
-
-    stats = stored(
-        texts.mapInArrow(lambda b: _count_pairs(b, model), blocks)
-        .groupBy("shard").applyInArrow(lambda t: _write_pairs(t, model), _STATS), "word-stats")
-    totals = stats.where("kind = 'total'").select("shard", "n1", "n2", "n3", "n4", "size").collect()
-    for empty in set(range(shards)) - {r["shard"] for r in totals}:
-        put(f"{folder}/pair-{empty:06d}", b"")
-        put(f"{folder}/paircount-{empty:06d}", b"")
-    low = (stats.where("kind = 'word'").groupBy("shard")
-           .applyInArrow(lambda t: _write_contexts(t, model), _STATS)
-           .select("n1", "n2", "n3", "n4", "size").collect())
-    high = _discounts([sum(r[f"n{k}"] for r in totals) for k in (1, 2, 3, 4)])
-    ones, twos, n3, n4 = [sum(r[f"n{k}"] for r in low) for k in (1, 2, 3, 4)]
-    d = _discounts([ones, twos, n3, n4])
-    pairs = sum(r["size"] for r in totals)
-    mass = (d[0] * ones + d[1] * twos + d[2] * sum(r["size"] for r in low)) / pairs
-    return Model(folder, bits, bits, bases, model.tokens, pairs, d, high, mass)
-
-
-def token_scores(model: Model, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token of a stream of texts: its training count, the log10 of its smoothed unigram
+
+    rows = texts.mapInArrow(lambda b: _count_grams(b, model), _ROWS).union(every)
+    for k in range(order, 0, -1):
+        rows = rows.groupBy("shard").applyInArrow(_level_writer(model, k), _ROWS)
+    totals = np.zeros((order + 1, 6), np.int64)
+    for r in rows.collect():
+        totals[r["size"]] += np.frombuffer(r["stats"], "<i8")
+    cuts = tuple(_discounts(totals[k, :4].tolist()) for k in range(1, order + 1))
+    ones, twos, _, _, more, mass = totals[1].tolist()
+    d = cuts[0]
+    return Model(folder, bits, bases, model.tokens, order, cuts, mass,
+                 (d[0] * ones + d[1] * twos + d[2] * more) / mass)
+
+
+def token_scores(model: Model, stream: np.ndarray, sizes: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of texts of `sizes` tokens: its training count, the log10 of its smoothed unigram
     probability (one added to each count), and the log10 of its Kneser-Ney probability."""
-    words = model.bases[-1] if model.bases else 0
+    words = model.bases[-1]
     if words == 0:
         zero = np.zeros(len(stream))
         return zero.astype(np.int64), zero, zero
     found, at = np.unique(stream, return_inverse=True)
     ids, counts = model.word_ids(found)
     base = np.log10((counts + 1) / (model.tokens + words + 1))
-    context = model.contexts(ids)
-    cut = np.array([0.0, *model.low])
-    before = context[:, 3]
-    unigram = (np.maximum(before - cut[np.minimum(before, 3)], 0) / model.pairs
-               + model.spread / (words + 1))
-    left = np.where(counts > 0, context[:, :3] @ np.array(model.high) / np.maximum(counts, 1), 1.0)
-
-    end = np.searchsorted(found, END)
-    previous = np.concatenate([[end], at[:-1]])
-    both = np.flatnonzero((ids[previous] >= 0) & (ids[at] >= 0))
-    keys, where = np.unique(pair_keys(ids[previous[both]], ids[at[both]]), return_inverse=True)
-    pair = np.zeros(len(stream), np.int64)
-    pair[both] = model.pair_counts(keys)[where]
-    cut = np.array([0.0, *model.high])
-    p = (np.maximum(pair - cut[np.minimum(pair, 3)], 0) / np.maximum(counts[previous], 1)
-         + left[previous] * unigram[at])
+    end = ids[np.searchsorted(found, END)]
+    starts = np.cumsum(sizes) - sizes
+    p = np.full(len(stream), 1 / (words + 1))
+    total, left = np.full(len(stream), float(model.mass)), np.full(len(stream), model.spread)
+    for k in range(1, model.order + 1):
+        # The context of a token is the n-gram that ends before it; the last row is that of a start.
+        rows = np.concatenate([grams(ids[at], sizes, end, k), np.full((1, k), end)])
+        stats = model.level(k, rows)
+        cut = np.array([0.0, *model.cuts[k - 1]])
+        count = stats[:-1, 0]
+        sure = np.maximum(count - cut[np.minimum(count, 3).astype(np.int64)], 0)
+        p = sure / np.maximum(total, 1) + left * p
+        if k < model.order:
+            context = np.concatenate([[len(stream)], np.arange(len(stream) - 1)])
+            context[starts] = len(stream)
+            total = stats[context, 4]
+            lost = stats[context, 1:4] @ np.array(model.cuts[k])
+            left = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
     return counts[at], base[at], np.log10(p)
 
 
@@ -344,7 +389,7 @@ def scorer(model: Model):
         parts = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2]
         for lo, hi in w.blocks(column):
             stream, sizes = tokens(*w.text_bytes(column.slice(lo, hi - lo)))
-            count, base, best = token_scores(model, stream)
+            count, base, best = token_scores(model, stream, sizes)
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             add = lambda x: np.add.reduceat(x, first)
             parts.append([sizes, add((count > 0).astype(np.int64)), add(base), add(best)])

@@ -43,54 +43,92 @@ def test_word_hashes_know_words_only():
 def discounts(values):
     n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
     if not n[0]:
-        return [0, 0.5, 0.5, 0.5]
+        return [0, 0.5, 1, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
-    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
-    return [0, *(min(max(d, 0), k) for k, d in zip((1, 2, 3), raw))]
+    raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0 for k in (1, 2, 3)]
+    return [0, *(d if d > 0 else k / 2 for k, d in zip((1, 2, 3), raw))]
 
 
 class Brute:
-    def __init__(self, texts):
+    """Counts of each length of n-grams in dictionaries; None is the end token and what is before a text."""
+
+    def __init__(self, texts, order):
         toks = [[*lower((t or "").encode()).split(), None] for t in texts]
         self.c = Counter(x for t in toks for x in t)
-        self.pairs = Counter(p for t in toks for p in zip([None, *t[:-1]], t))
-        self.before = Counter(v for _, v in self.pairs)
+        self.n, self.v, self.order = sum(self.c.values()), len(self.c), order
+        level = Counter(g for t in toks for g in self.grams(t, order))
+        self.levels = {order: level}
+        for k in range(order - 1, 0, -1):
+            level = Counter(g[1:] for g in level)
+            self.levels[k] = level
+        self.cuts = {k: discounts(v.values()) for k, v in self.levels.items()}
         self.follow = defaultdict(lambda: [0, 0, 0, 0])
-        for (u, _), k in self.pairs.items():
-            self.follow[u][min(k, 3)] += 1
-        self.low, self.high = discounts(self.before.values()), discounts(self.pairs.values())
-        self.n, self.v = sum(self.c.values()), len(self.c)
-        self.spread = sum(self.low[min(k, 3)] for k in self.before.values()) / len(self.pairs)
-
-    def p1(self, v):
-        m, k = len(self.pairs), self.before[v]
-        return max(k - self.low[min(k, 3)], 0) / m + self.spread / (self.v + 1)
-
-    def p2(self, u, v):
-        if not self.c[u]:
-            return self.p1(v)
-        k = self.pairs[u, v]
-        left = sum(a * b for a, b in zip(self.follow[u], self.high)) / self.c[u]
-        return max(k - self.high[min(k, 3)], 0) / self.c[u] + left * self.p1(v)
+        self.sums = Counter()
+        for level in self.levels.values():
+            for g, k in level.items():
+                self.follow[g[:-1]][min(k, 3)] += 1
+                self.sums[g[:-1]] += k
+
+    def grams(self, t, n):
+        padded = [None] * (n - 1) + t
+        return [tuple(padded[i:i + n]) for i in range(len(t))]
+
+    def p(self, g):
+        if not g:
+            return 1 / (self.v + 1)
+        h, cut = g[:-1], self.cuts[len(g)]
+        if not self.sums[h]:
+            return self.p(g[1:])
+        k = self.levels[len(g)][g]
+        left = sum(a * b for a, b in zip(self.follow[h], cut)) / self.sums[h]
+        return max(k - cut[min(k, 3)], 0) / self.sums[h] + left * self.p(g[1:])
 
     def score(self, text):
         t = [*lower((text or "").encode()).split(), None]
         return (len(t), sum(self.c[x] > 0 for x in t),
                 sum(math.log10((self.c[x] + 1) / (self.n + self.v + 1)) for x in t),
-                sum(math.log10(self.p2(u, v)) for u, v in zip([None, *t[:-1]], t)))
+                sum(math.log10(self.p(g)) for g in self.grams(t, self.order)))
 
 
-def test_kneser_ney(odd, odd_rows):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_kneser_ney(odd, odd_rows, order):
     train = odd.where("doc_id is null or doc_id % 3 <> 1").select("text")
-    brute = Brute([r[1] for r in odd_rows if r[0] is None or r[0] % 3 != 1])
-    model = kneserney.fit(train)
+    brute = Brute([r[1] for r in odd_rows if r[0] is None or r[0] % 3 != 1], order)
+    model = kneserney.fit(train, order)
     assert model.tokens == brute.n and model.bases[-1] == brute.v
-    assert sum(brute.p2(b"w1", v) for v in brute.c) + brute.p2(b"w1", b"?") == pytest.approx(1)
-    got = odd.select("doc_id", "text", kneserney.scorer(model)("text").alias("s")).collect()
+    for context in [(None,) * (order - 1), (b"w1",) * (order - 1)]:
+        whole = sum(brute.p((*context, v)) for v in brute.c) + brute.p((*context, b"?"))
+        assert whole == pytest.approx(1)
+    clashing = odd.withColumn("shard", F.lit("x")).withColumn("ids", F.lit(1))
+    got = clashing.select("doc_id", "text", kneserney.scorer(model)("text").alias("s")).collect()
     for r in got:
         assert tuple(r.s) == pytest.approx(brute.score(r.text), rel=1e-9)
 
 
+def test_kneser_ney_in_small_pieces(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(kneserney, "INPUT_PER_SHARD", 64)
+    model = kneserney.fit(odd.select("text").repartition(5))
+    brute = Brute([r[1] for r in odd_rows], 3)
+    for r in odd.select("text", kneserney.scorer(model)("text").alias("s")).collect():
+        assert tuple(r.s) == pytest.approx(brute.score(r.text), rel=1e-9)
+
+
+def test_grams_are_added_up_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(kneserney, "PENDING", 50)
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 7, (40, 3)).astype("u4") for _ in range(30)]
+    one = lambda x: kneserney._Grams.merged(kneserney.gram_keys(x), x, np.ones((len(x), 1), np.uint8))
+    found = Counter()
+    for batch in kneserney._counted(map(one, parts), 2, "u4"):
+        for r in batch.to_pylist():
+            ids = kneserney._from_planes(r["ids"], r["size"], 3)
+            assert (kneserney.gram_keys(ids) >> np.uint64(62) == r["shard"]).all()
+            stats = kneserney._from_planes(r["stats"], r["size"], 1)
+            for g, n in zip(ids.tolist(), stats[:, 0].tolist()):
+                found[tuple(g)] += n
+    assert found == Counter(tuple(g) for x in parts for g in x.tolist())
+
+
 def test_kneser_ney_without_training(spark, none, odd):
     model = kneserney.fit(none.select("text"))
     got = odd.select(kneserney.scorer(model)("text").alias("s")).select("s.*").collect()
@@ -101,8 +139,8 @@ def test_kneser_ney_without_training(spark, none, odd):
 
 def test_counts_beyond_a_byte(spark):
     df = spark.createDataFrame([("a b " * 5000,), ("b " * 700,)], "text string")
-    brute = Brute(["a b " * 5000, "b " * 700])
-    model = kneserney.fit(df)
+    brute = Brute(["a b " * 5000, "b " * 700], 3)
+    model = kneserney.fit(df, 3)
     for r in df.select("text", kneserney.scorer(model)("text").alias("s")).collect():
         assert tuple(r.s) == pytest.approx(brute.score(r.text), rel=1e-9)
 
