@@ -4,10 +4,10 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; every text ends in one
 also stands for what is before its first word. The model is a set of files in the shared folder,
 each a shard of a sorted array:
 
-- words: sorted 64-bit hashes and their counts; a word's id is its place over all shards;
-- a level per length k of n-grams: sorted 64-bit hashes of their ids, and small columns. The longest
-  have their count; shorter ones have the number of distinct words before them, and of what follows
-  them how much occurs once, twice, three times or more, and the sum.
+- words: sorted 64-bit hashes, counts and ids; frequent words have small ids, which compress well;
+- a level per length k of n-grams: sorted hashes of their ids, and columns. The longest have their
+  count; shorter ones have the number of distinct words before them, and of what follows them how
+  much occurs once, twice, three times or more, and the sum.
 
 Tasks count their part in numpy and send sorted blocks, so a frequent word is one entry per task.
 n-grams are dealt by hash, so no frequent context meets in one task; the task that has merged a shard
@@ -24,7 +24,7 @@ Other columns are not read; those of the scored frame stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ from meterline.llm.frames import shards_for, small_batches
 ORDER = 3
 END = np.uint64(0x5F3C9A1B7E24D680)
 PENDING = 2 << 20
-INPUT_PER_SHARD = 8 << 20
-_MAPS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+INPUT_PER_SHARD = 2 << 20
+BUCKET = 8  # n-grams per bucket of a shard, about
+CODEC = pa.Codec("zstd", 1)
+_MAPS: dict[str, "_Shard"] = {}
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,16 +69,17 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The bytes of a matrix with bytes of equal place together, which the shuffle compresses well."""
+    """A matrix with bytes of equal place together, which compresses well; its item size stands first."""
     rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
-    return np.ascontiguousarray(rows.T).tobytes()
+    return bytes([x.itemsize]) + CODEC.compress(np.ascontiguousarray(rows.T), asbytes=True)
 
 
 def _from_planes(data: bytes, rows: int, columns: int) -> np.ndarray:
     if rows == 0:
-        return np.zeros((0, columns), np.uint64)
-    each = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, rows).T)
-    return each.view(f"u{each.shape[1] // columns}").astype(np.uint64)
+        return np.zeros((0, columns), "u1")
+    raw = CODEC.decompress(data[1:], rows * columns * data[0], asbytes=True)
+    each = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, rows).T)
+    return each.view(f"u{data[0]}")
 
 
 @dataclass
@@ -140,63 +143,137 @@ def grams(ids: np.ndarray, sizes: np.ndarray, end: int, n: int) -> np.ndarray:
     return out
 
 
+class _Shard:
+    """A mapped file: a head of eight-byte numbers (number of columns, of keys, bits of the bucket or
+    WHOLE, of distinct rows, of numbers in one, and for each column its width and the length of its
+    list), the keys, the columns, and the distinct rows.
+
+    Whole keys are sorted 64-bit numbers. The others leave out what their place says: a table has the
+    start of each bucket of leading bits, and of a key the next 32 bits are kept. A key that is not
+    there is so taken for another one with a probability of some 2^-32. A column has a byte per key,
+    where 255 means that the value is in its list of (places, values), or more bytes and no list.
+    With WHOLE keys the columns are the numbers; else one column says which of the distinct rows, the
+    most frequent first, a key has."""
+
+    WHOLE = 255
+
+    def __init__(self, raw: np.ndarray, skip: int):
+        columns, self.size, self.bits, distinct, numbers = raw[:40].view("<u8").tolist()
+        shapes = raw[40:40 + 16 * columns].view("<u8").reshape(-1, 2).tolist()
+        self.skip, at = skip, 40 + 16 * columns
+
+        def take(n: int, dtype: str) -> np.ndarray:
+            nonlocal at
+            at += n * np.dtype(dtype).itemsize
+            return raw[at - n * np.dtype(dtype).itemsize:at].view(dtype)
+
+        if self.bits == self.WHOLE:
+            self.keys = take(self.size, "<u8")
+        else:
+            self.starts = take((1 << self.bits) + 1, "<u4")
+            self.keys = take(self.size, "<u4")
+        self.columns = [(take(self.size, f"<u{width}"), take(n, "<u4"), take(n, "<u8"))
+                        for width, n in shapes]
+        self.distinct = take(distinct * numbers, "<u8").reshape(distinct, numbers)
+
+    @staticmethod
+    def parts(keys: np.ndarray, skip: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and kept bits of keys, behind the bits that say the shard."""
+        rest = keys << np.uint64(skip)
+        bucket = rest >> np.uint64(64 - bits) if bits else np.zeros(len(rest), np.uint64)
+        return bucket.astype(np.int64), ((rest << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+    @classmethod
+    def content(cls, keys: np.ndarray, stats: np.ndarray, skip: int, whole: bool) -> bytes:
+        distinct = stats[:0]
+        if not whole and len(keys):
+            _, first, code, n = np.unique(gram_keys(stats), return_index=True, return_inverse=True,
+                                          return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            distinct, code_of = stats[first[order]], np.empty(len(n), np.int64)
+            code_of[order] = np.arange(len(n))
+            stats = code_of[code].reshape(-1, 1)
+        shapes, columns = [], []
+        for c in stats.T:
+            small, large = _small(c), np.flatnonzero(c >= 255)
+            if len(c) * (small.itemsize - 1) <= 12 * len(large):
+                large = large[:0]
+            else:
+                small = np.minimum(c, 255).astype("u1")
+            shapes += [small.itemsize, len(large)]
+            columns += [small, large.astype("<u4"), c[large].astype("<u8")]
+        if whole:
+            bits, index = cls.WHOLE, [keys]
+        else:
+            bits = max(len(keys) // BUCKET, 1).bit_length() - 1
+            bucket, low = cls.parts(keys, skip, bits)
+            index = [np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype("<u4"), low]
+        head = np.array([stats.shape[1], len(keys), bits, *distinct.shape, *shapes], "<u8")
+        return b"".join(x.tobytes() for x in (head, *index, *columns, distinct.astype("<u8")))
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys, and which of them are there."""
+        if self.size == 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        if self.bits == self.WHOLE:
+            at = np.searchsorted(self.keys, keys)
+            return at, self.keys[np.minimum(at, self.size - 1)] == keys
+        bucket, low = self.parts(keys, self.skip, self.bits)
+        at, last = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        end = last.copy()
+        for _ in range(int((last - at).max()).bit_length()):
+            middle = (at + last) >> 1
+            less = (at < last) & (self.keys[np.minimum(middle, self.size - 1)] < low)
+            at, last = np.where(less, middle + 1, at), np.where(less, last, middle)
+        return at, (at < end) & (self.keys[np.minimum(at, self.size - 1)] == low)
+
+    def values(self, column: int, places: np.ndarray) -> np.ndarray:
+        small, where, large = self.columns[column]
+        out = small[places].astype(np.int64)
+        if len(where):
+            out[out == 255] = large[np.searchsorted(where, places[out == 255])]
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     folder: str
     bits: int
-    bases: tuple[int, ...]  # id of the first word of each word shard, and the number of words
+    words: int  # distinct words
     tokens: int
+    id_type: str = "u4"
     order: int = ORDER
     cuts: tuple[tuple[float, ...], ...] = ()  # by level: discounts of counts 1, 2, 3+
     mass: int = 0  # sum of the counts of level 1
     spread: float = 1.0  # mass of the uniform distribution
 
-    @property
-    def id_type(self) -> str:
-        return "u4" if self.bases[-1] < 1 << 32 else "u8"
-
-    def shard(self, kind: str, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Keys and columns of a file: after its number of keys and the widths of its columns (8 bytes
-        each, preceded by their number) come the keys, then the columns."""
-        path = f"{self.folder}/{kind}-{shard:06d}"
+    def shard(self, kind: str, number: int) -> _Shard:
+        path = f"{self.folder}/{kind}-{number:06d}"
         if path not in _MAPS:
             if len(_MAPS) > 1024:
                 _MAPS.clear()
-            raw = mapped(path, "u1")
-            columns, size = raw[:16].view("<u8").tolist()
-            at = 16 + 8 * columns
-            widths = raw[16:at].view("<u8").tolist()
-            parts = [raw[at:at + 8 * size].view("<u8")]
-            at += 8 * size
-            for width in widths:
-                parts.append(raw[at:at + width * size].view(f"<u{width}"))
-                at += width * size
-            _MAPS[path] = parts[0], parts[1:]
+            _MAPS[path] = _Shard(mapped(path, "u1"), self.bits)
         return _MAPS[path]
 
-    def write(self, kind: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-        small = [_small(c) for c in columns]
-        head = np.array([len(small), len(keys), *[c.itemsize for c in small]], "<u8")
-        put(f"{self.folder}/{kind}-{shard:06d}",
-            b"".join([head.tobytes(), keys.tobytes(), *[c.tobytes() for c in small]]))
-
-    def find(self, kind: str, keys: np.ndarray) -> Iterator[tuple]:
-        """For each shard that sorted keys lie in: its number, the places in `keys` of those that it
-        holds, their places in the shard, and its columns."""
-        for shard, a, b in _edges(keys, self.bits):
-            known, columns = self.shard(kind, shard)
-            place = np.searchsorted(known, keys[a:b])
-            there = place < len(known)
-            there[there] = known[place[there]] == keys[a:b][there]
-            yield shard, a + np.flatnonzero(there), place[there], columns
+    def write(self, kind: str, number: int, group: _Grams, whole: bool = False) -> None:
+        put(f"{self.folder}/{kind}-{number:06d}",
+            _Shard.content(group.keys, group.stats, self.bits, whole))
+
+    def find(self, kind: str, keys: np.ndarray) -> Iterator[tuple[int, _Shard, np.ndarray, np.ndarray]]:
+        """For each shard that sorted keys lie in: the shard, where in `keys` those are that it holds,
+        and their places in it."""
+        for number, a, b in _edges(keys, self.bits):
+            shard = self.shard(kind, number)
+            place, there = shard.places(keys[a:b])
+            yield number, shard, a + np.flatnonzero(there), place[there]
 
     def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted hashes."""
         ids = np.full(len(hashes), -1, np.int64)
         counts = np.zeros(len(hashes), np.int64)
-        for shard, here, place, columns in self.find("word", hashes):
-            ids[here] = place + self.bases[shard]
-            counts[here] = columns[0][place]
+        for number, shard, here, place in self.find("word", hashes):
+            ids[here] = (shard.values(1, place) << self.bits) + number
+            counts[here] = shard.values(0, place)
         return ids, counts
 
     def level(self, k: int, rows: np.ndarray) -> np.ndarray:
@@ -205,9 +282,9 @@ class Model:
         known = np.flatnonzero((rows >= 0).all(axis=1))
         keys, at = np.unique(gram_keys(rows[known]), return_inverse=True)
         found = np.zeros((len(keys), out.shape[1]))
-        for _, here, place, columns in self.find(f"level{k}", keys):
-            for j, column in enumerate(columns):
-                found[here, j] = column[place]
+        for _, shard, here, place in self.find(f"level{k}", keys):
+            if len(here):
+                found[here] = shard.distinct[shard.values(0, place)]
         out[known] = found[at]
         return out
 
@@ -265,26 +342,29 @@ def _group(part: pa.Table, k: int, columns: int, keys_of) -> _Grams:
 
 def _write_words(part: pa.Table, model: Model) -> pa.Table:
     shard = part["shard"][0].as_py()
-    group = _group(part, 1, 1, lambda rows: rows[:, 0])
-    model.write("word", shard, group.keys, [group.stats[:, 0]])
+    group = _group(part, 1, 1, lambda rows: rows[:, 0].astype(np.uint64))
+    rank = np.empty_like(group.stats)
+    rank[np.lexsort((group.keys, -group.stats[:, 0].astype(np.int64))), 0] = np.arange(len(rank))
+    group.stats = np.concatenate([group.stats, rank], axis=1)
+    model.write("word", shard, group, whole=True)
     return pa.table({"shard": pa.array([shard], pa.int32()), "size": [len(group.keys)],
-                     "total": [int(group.stats.sum())]})
+                     "total": [int(group.stats[:, 0].sum())]})
 
 
 def _write_level(part: pa.Table, model: Model, k: int) -> pa.Table:
     """Write a shard of a level; send what it knows of the next shorter n-grams to their shards."""
     shard = part["shard"][0].as_py()
     if shard == TOTALS:
-        return part.select(["shard", "size", "ids", "stats"])
+        return _add_totals(part)
     group = _group(part, k, 1 if k == model.order else 5, gram_keys)
-    model.write(f"level{k}", shard, group.keys, list(group.stats.T))
+    model.write(f"level{k}", shard, group)
     seen = group.stats[:, 0] > 0  # a context may start a text only, so nothing is before it
     count = group.stats[seen, 0]
     totals = [int((count == c).sum()) for c in (1, 2, 3, 4)] + [int((count > 2).sum()), int(count.sum())]
     out = [_rows([(TOTALS, k, b"", np.array(totals, "<i8").tobytes())])]
     if k > 1:
         ids, n = group.ids[seen], len(count)
-        before, after = np.zeros((2, n, 5), np.uint64)
+        before, after = np.zeros((2, n, 5), group.stats.dtype)
         for j in (1, 2, 3):
             before[:, j] = np.minimum(count, 3) == j
         before[:, 4] = count
@@ -295,6 +375,14 @@ def _write_level(part: pa.Table, model: Model, k: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _add_totals(part: pa.Table) -> pa.Table:
+    """A row per level."""
+    totals = {}
+    for k, numbers in zip(part["size"].to_pylist(), part["stats"].to_pylist()):
+        totals[k] = totals.get(k, 0) + np.frombuffer(numbers, "<i8")
+    return _rows([(TOTALS, k, b"", t.tobytes()) for k, t in totals.items()])
+
+
 def _level_writer(model: Model, k: int):
     return lambda part: _write_level(part, model, k)
 
@@ -311,7 +399,7 @@ def _discounts(n: list[int]) -> tuple[float, ...]:
 
 
 def fit(texts: DataFrame, order: int = ORDER) -> Model:
-    """Count the first column of `texts` and write the model. The driver sees a row per shard."""
+    """Count the first column of `texts` and write the model. The driver sees a row per level."""
     if order < 1:
         raise ValueError("the order of a model is 1 or more")
     spark = texts.sparkSession
@@ -323,43 +411,41 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
         "cast(id as int) as shard", "0 as size", "cast('' as binary) as ids",
         "cast('' as binary) as stats")  # so that shards without an n-gram have a file
 
-    empty = Model(folder, bits, (0,), 0, order)
-    sizes = (texts.mapInArrow(lambda b: _count_words(b, bits), _ROWS).union(every)
-             .groupBy("shard").applyInArrow(lambda t: _write_words(t, empty),
-                                            "shard int, size long, total long").collect())
-    sizes.sort(key=lambda r: r["shard"])
-    bases = (0, *np.cumsum([r["size"] for r in sizes]).tolist())
-    model = Model(folder, bits, bases, sum(r["total"] for r in sizes), order)
-    if bases[-1] == 0:
-        return model
+    empty = Model(folder, bits, 0, 0, order=order)
+    words, total, most = (
+        texts.mapInArrow(lambda b: _count_words(b, bits), _ROWS).union(every)
+        .groupBy("shard").applyInArrow(lambda t: _write_words(t, empty),
+                                       "shard int, size long, total long")
+        .agg(F.sum("size"), F.sum("total"), F.max("size")).first())
+    if words == 0:
+        return empty
+    id_type = "u4" if most << bits < 1 << 32 else "u8"
+    model = Model(folder, bits, words, total, id_type, order)
 
     rows = texts.mapInArrow(lambda b: _count_grams(b, model), _ROWS).union(every)
     for k in range(order, 0, -1):
         rows = rows.groupBy("shard").applyInArrow(_level_writer(model, k), _ROWS)
-    totals = np.zeros((order + 1, 6), np.int64)
-    for r in rows.collect():
-        totals[r["size"]] += np.frombuffer(r["stats"], "<i8")
-    cuts = tuple(_discounts(totals[k, :4].tolist()) for k in range(1, order + 1))
-    ones, twos, _, _, more, mass = totals[1].tolist()
-    d = cuts[0]
-    return Model(folder, bits, bases, model.tokens, order, cuts, mass,
-                 (d[0] * ones + d[1] * twos + d[2] * more) / mass)
+    rows = rows.groupBy("shard").applyInArrow(_add_totals, _ROWS)
+    totals = {r["size"]: np.frombuffer(r["stats"], "<i8").tolist() for r in rows.collect()}
+    cuts = tuple(_discounts(totals[k][:4]) for k in range(1, order + 1))
+    ones, twos, _, _, more, mass = totals[1]
+    spread = (cuts[0][0] * ones + cuts[0][1] * twos + cuts[0][2] * more) / mass
+    return replace(model, cuts=cuts, mass=mass, spread=spread)
 
 
 def token_scores(model: Model, stream: np.ndarray, sizes: np.ndarray
                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token of texts of `sizes` tokens: its training count, the log10 of its smoothed unigram
     probability (one added to each count), and the log10 of its Kneser-Ney probability."""
-    words = model.bases[-1]
-    if words == 0:
+    if model.words == 0:
         zero = np.zeros(len(stream))
         return zero.astype(np.int64), zero, zero
     found, at = np.unique(stream, return_inverse=True)
     ids, counts = model.word_ids(found)
-    base = np.log10((counts + 1) / (model.tokens + words + 1))
+    base = np.log10((counts + 1) / (model.tokens + model.words + 1))
     end = ids[np.searchsorted(found, END)]
     starts = np.cumsum(sizes) - sizes
-    p = np.full(len(stream), 1 / (words + 1))
+    p = np.full(len(stream), 1 / (model.words + 1))
     total, left = np.full(len(stream), float(model.mass)), np.full(len(stream), model.spread)
     for k in range(1, model.order + 1):
         # The context of a token is the n-gram that ends before it; the last row is that of a start.

@@ -95,7 +95,7 @@ def test_kneser_ney(odd, odd_rows, order):
     train = odd.where("doc_id is null or doc_id % 3 <> 1").select("text")
     brute = Brute([r[1] for r in odd_rows if r[0] is None or r[0] % 3 != 1], order)
     model = kneserney.fit(train, order)
-    assert model.tokens == brute.n and model.bases[-1] == brute.v
+    assert model.tokens == brute.n and model.words == brute.v
     for context in [(None,) * (order - 1), (b"w1",) * (order - 1)]:
         whole = sum(brute.p((*context, v)) for v in brute.c) + brute.p((*context, b"?"))
         assert whole == pytest.approx(1)
