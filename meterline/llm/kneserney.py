@@ -41,7 +41,7 @@ ORDER = 3
 END = np.uint64(0x5F3C9A1B7E24D680)
 PENDING = 2 << 20
 INPUT_PER_SHARD = 2 << 20
-BUCKET = 8  # n-grams per bucket of a shard, about
+BUCKET = 16  # n-grams per bucket of a shard, about
 CODEC = pa.Codec("zstd", 1)
 _MAPS: dict[str, "_Shard"] = {}
 
@@ -82,6 +82,19 @@ def _from_planes(data: bytes, rows: int, columns: int) -> np.ndarray:
     return each.view(f"u{data[0]}")
 
 
+def _id_planes(ids: np.ndarray) -> bytes:
+    """Rows in the order of their first ids, which are stored as steps."""
+    steps = ids.copy()
+    steps[1:, 0] -= ids[:-1, 0]
+    return _planes(steps)
+
+
+def _from_id_planes(data: bytes, rows: int, columns: int) -> np.ndarray:
+    ids = _from_planes(data, rows, columns).copy()
+    ids[:, 0] = np.cumsum(ids[:, 0], dtype=ids.dtype)
+    return ids
+
+
 @dataclass
 class _Grams:
     """Distinct n-grams in the order of their hashes, with columns of numbers that add up."""
@@ -110,7 +123,7 @@ class _Grams:
         out = []
         for shard, a, b in _edges(self.keys, bits):
             order = np.argsort(self.ids[a:b, 0], kind="stable")
-            out.append((shard, b - a, _planes(self.ids[a:b][order].astype(id_type)),
+            out.append((shard, b - a, _id_planes(self.ids[a:b][order].astype(id_type)),
                         _planes(_small(self.stats[a:b][order]))))
         return _rows(out)
 
@@ -335,7 +348,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
 def _group(part: pa.Table, k: int, columns: int, keys_of) -> _Grams:
     held = []
     for size, ids, stats in zip(*(part[c].to_pylist() for c in ("size", "ids", "stats"))):
-        rows = _from_planes(ids, size, k)
+        rows = _from_id_planes(ids, size, k)
         held.append(_Grams(keys_of(rows), rows, _from_planes(stats, size, columns)))
     return _Grams.joined(held)
 

@@ -121,7 +121,7 @@ def test_grams_are_added_up_in_bounded_memory(monkeypatch):
     found = Counter()
     for batch in kneserney._counted(map(one, parts), 2, "u4"):
         for r in batch.to_pylist():
-            ids = kneserney._from_planes(r["ids"], r["size"], 3)
+            ids = kneserney._from_id_planes(r["ids"], r["size"], 3)
             assert (kneserney.gram_keys(ids) >> np.uint64(62) == r["shard"]).all()
             stats = kneserney._from_planes(r["stats"], r["size"], 1)
             for g, n in zip(ids.tolist(), stats[:, 0].tolist()):
