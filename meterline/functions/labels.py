@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterline.functions.text import canonical, strip
+from meterline.functions.text import canonical, once, strip
 
 # Spellings of labels that models are known to return.
 ALIASES = {
@@ -74,24 +74,31 @@ def normalize_label_canonical(output: Column, labels: list[str]) -> Column:
     if not ordered:
         return F.lit(None).cast("string")
     by_form = {canonical_text(label): label for label in ordered}
-    cleaned = F.regexp_replace(strip(output), THINKING, " ")
-    words = F.regexp_extract_all(cleaned, F.lit(r"[A-Za-z][A-Za-z0-9_/-]+"), F.lit(0))
-    whole = canonical(cleaned)
+    spellings = F.array(*map(F.lit, by_form))
 
     def plain(word: Column) -> Column:
         return ~(word.contains("_") | word.contains("-") | word.contains("/"))
 
-    # A word of letters and digits only is canonical once in lower case.
-    forms = F.transform(words, lambda w: F.when(plain(w), F.lower(w)).otherwise(canonical(w)))
-    hit = F.try_element_at(
-        F.array_intersect(forms, F.array(*map(F.lit, by_form))), F.lit(1))
-    spelled = F.btrim(F.try_element_at(words, F.array_position(forms, hit).cast("int")),
-                      F.lit(PUNCTUATION))
-    named = F.btrim(strip(cleaned), F.lit(PUNCTUATION))
-    inside = [F.when(whole.contains(form), F.lit(label)) for form, label in by_form.items() if form]
-    return F.coalesce(
-        F.when(named.isin(ordered), named), F.when(whole.isin(list(by_form)), _lookup(by_form, whole)),
-        F.when(hit.isNotNull() & spelled.isin(ordered), spelled), _lookup(by_form, hit), *inside)
+    def by_words(words: Column) -> Column:
+        # A word of letters and digits only is canonical once in lower case.
+        forms = F.transform(words, lambda w: F.when(plain(w), F.lower(w)).otherwise(canonical(w)))
+        return once(forms, lambda known: once(
+            F.try_element_at(F.array_intersect(known, spellings), F.lit(1)),
+            lambda hit: once(
+                F.btrim(F.try_element_at(words, F.array_position(known, hit).cast("int")), F.lit(PUNCTUATION)),
+                lambda spelled: F.when(hit.isNotNull() & spelled.isin(ordered), spelled)
+                .otherwise(_lookup(by_form, hit)))))
+
+    def by_whole(cleaned: Column, whole: Column) -> Column:
+        named = F.btrim(strip(cleaned), F.lit(PUNCTUATION))
+        words = F.regexp_extract_all(cleaned, F.lit(r"[A-Za-z][A-Za-z0-9_/-]+"), F.lit(0))
+        inside = [F.when(whole.contains(form), F.lit(label)) for form, label in by_form.items() if form]
+        return F.coalesce(
+            once(named, lambda n: F.when(n.isin(ordered), n)),
+            F.when(whole.isin(list(by_form)), _lookup(by_form, whole)), once(words, by_words), *inside)
+
+    return once(F.regexp_replace(strip(output), THINKING, " "),
+                lambda cleaned: once(canonical(cleaned), lambda whole: by_whole(cleaned, whole)))
 
 
 def best_label_by_words(output: Column, text: Column, labels: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -39,6 +40,12 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, the value computed once per row however often `use` names it. A plain column is
+    a formula that the optimizer copies to each place, and it is computed again in each branch."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Trim and turn every run of white space into one space."""
     return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
