@@ -18,3 +18,12 @@ def test_label_words_are_cut_once(spark):
     named = frame.select(labels.normalize_label_canonical(F.col("s"), ["top-up", "lost card", "wait"]).alias("label"))
     assert optimized(named).count("regexp_extract_all(") == 1
     assert optimized(named).count("<think>") == 1
+
+
+def test_linked_rows_broadcast_nothing(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i}", f"c{rng.randrange(40)}") for i in range(60)]
+    split = groups.leak_free_split(spark.createDataFrame(rows, "id string, c string"), "id", [F.col("c")])
+    assert "Broadcast" not in split._jdf.queryExecution().executedPlan().toString()
+    least = {c: min(r for r, d in rows if d == c) for _, c in rows}
+    assert {r.id: r.component for r in split.collect()} == {r: least[c] for r, c in rows}
