@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.cost import ratio
-from meterline.functions.text import squeeze, parse_timestamp
+from meterline.functions.text import once, parse_timestamp, squeeze
 from meterline.lineage import stored
 from meterline.operators.ranking import latest_per_key, mark_first_n, quantile_slices
 from meterline.schemas import DATASET_COLUMNS, SYNTHETIC_COLUMNS
@@ -32,9 +32,10 @@ def with_synthetic_columns(dataset: DataFrame) -> DataFrame:
 
 def _templated(squeezed: Column, variant: Column) -> Column:
     """Template text, NULL for an empty request."""
-    filled = [F.concat(F.lit(a), squeezed, F.lit(b)) for a, b in TEMPLATES]
-    text = F.element_at(F.array(*filled), F.pmod(variant, F.lit(len(TEMPLATES))) + 1)
-    return F.when(F.length(squeezed) > 0, text)
+    before, after = (F.array(*[F.lit(x) for x in side]) for side in zip(*TEMPLATES))
+    number = F.pmod(variant, F.lit(len(TEMPLATES))) + 1
+    return F.when(F.length(squeezed) > 0, F.concat(
+        F.element_at(before, number), squeezed, F.element_at(after, number)))
 
 
 def synthetic_rows(
@@ -66,10 +67,10 @@ def synthetic_rows(
         "task_id", "_row", "timestamp",
         F.unix_micros(parse_timestamp(F.col("timestamp"))).alias("_when"),
         F.coalesce("request_id", F.lit("")).alias("request_id"),
-        squeeze(F.col("input")).alias("_text"),
-        F.explode(F.array(*[F.lit(v) for v in range(max(variants, 1))])).alias("_variant"),
-    ).withColumn("_hash", F.sha2(_templated(F.col("_text"), F.col("_variant")), 256)) \
-        .filter("_hash is not null").drop("_text")
+        F.inline(once(squeeze(F.col("input")), lambda text: F.array(*[F.struct(
+            F.lit(v).alias("_variant"), F.sha2(_templated(text, F.lit(v)), 256).alias("_hash"))
+            for v in range(max(variants, 1))]))),
+    ).filter("_hash is not null")
     known = real.select("task_id", F.sha2("input", 256).alias("_hash")).distinct()
     order = ["_variant", "_when", "timestamp", "request_id", "_row"]
     fresh = stored(latest_per_key(
@@ -93,7 +94,8 @@ def synthetic_rows(
         keyed.join(chosen, ["task_id", "_row"])
         .withColumn("_parent", F.col("request_id")).withColumn("request_id", F.concat(
             parent, F.lit(":synthetic:"), F.col("_variant").cast("string")))
-        .withColumn("input", _templated(squeeze(F.col("input")), F.col("_variant")))
+        .withColumn("input", once(
+            squeeze(F.col("input")), lambda text: _templated(text, F.col("_variant"))))
         .withColumns({
             "teacher_output": F.col("validated_output"),
             "input_hash": F.sha2("input", 256),

@@ -20,6 +20,14 @@ def test_label_words_are_cut_once(spark):
     assert optimized(named).count("<think>") == 1
 
 
+def test_synthetic_texts_are_squeezed_once(spark):
+    data = dataset.build_dataset(log(spark, dict(prompt_redacted="a  b"))).withColumn("split", F.lit("train"))
+    made = synthetic.synthetic_rows(data, "now")
+    assert optimized(made).count("regexp_replace(input") == 1
+    assert sorted(r["input"] for r in made.collect()) == [
+        "Demande reformulee sans changer l'intention:\na b", "Message utilisateur:\na b"]
+
+
 def test_linked_rows_broadcast_nothing(spark):
     rng = random.Random(5)
     rows = [(f"r{i}", f"c{rng.randrange(40)}") for i in range(60)]
