@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.functions.cost import ratio
+from meterline.functions.text import once
 from meterline.lineage import stored
 
 WORDS, SIMILARITY = 5, 0.8
@@ -46,11 +47,17 @@ def signature(sets: pa.Array) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    a, b = (sets.select(F.col("id").alias(n), F.col("set").alias(f"_{n}")) for n in ("a", "b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    jaccard = both / (F.size("_a") + F.size("_b") - both)
-    return pairs.join(a, "a").join(b, "b").where(jaccard >= similarity).select("a", "b")
+    """The stored pairs (a, b) whose sets are similar enough. Only sets that a pair names are shuffled."""
+    named = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    some = stored(sets.join(named, "uid", "left_semi").select("uid", "task", "set"), "named")
+    a, b = (some.select(F.col("uid").alias(n), F.struct("task", "set").alias(f"_{n}")) for n in ("a", "b"))
+
+    def alike(x: Column, y: Column) -> Column:
+        return once(F.size(F.array_intersect(x["set"], y["set"])),
+                    lambda both: both / (F.size(x["set"]) + F.size(y["set"]) - both)) >= similarity
+
+    return pairs.join(a, "a").join(b, "b").where(
+        F.col("_a.task").eqNullSafe(F.col("_b.task")) & alike(F.col("_a"), F.col("_b"))).select("a", "b")
 
 
 def near_repeats(inputs: DataFrame, task: str, input_id: str, text: str,
@@ -60,27 +67,35 @@ def near_repeats(inputs: DataFrame, task: str, input_id: str, text: str,
 
     Inputs of one band value are compared with the smallest of them first, which settles a large group
     of near copies with a row per member; the ones that are left are then compared with all members
-    of their bands. Candidates miss a pair of similarity s with probability (1 - s^ROWS)^BANDS, 0.0002
-    at 0.8; what is found is exact."""
+    of their bands. Sets whose sizes alone are too far apart are not compared. Candidates miss a pair of
+    similarity s with probability (1 - s^ROWS)^BANDS, 0.0002 at 0.8; what is found is exact. Until the end
+    an input is known by a number, so that a band entry is three numbers."""
+    bands = F.array(*[F.xxhash64("task", F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     sets = stored(
         inputs.select(F.col(task).alias("task"), F.col(input_id).alias("id"), shingles(F.col(text)).alias("set"))
-        .where("set is not null").withColumn("sig", signature("set")), "shingles")
-    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    entries = stored(sets.select("task", "id", F.explode(bands).alias("band")).distinct(), "bands")
-    first = entries.groupBy("task", "band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").drop("n")
-    pairs = entries.join(first, ["task", "band"]).where("id <> b").select(
-        F.col("id").alias("a"), "b").distinct()
+        .where("set is not null").withColumn("sig", signature("set"))
+        .select("task", "id", "set", bands.alias("bands"), F.monotonically_increasing_id().alias("uid")), "shingles")
+    entries = sets.select("uid", F.size("set").alias("size"), F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(
+        F.min(F.struct("uid", "size")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    entries = stored(entries.join(shared, "band"), "bands")
+
+    def close(one: Column, other: Column) -> Column:
+        return F.least(one, other) >= F.greatest(one, other) * F.lit(similarity) * F.lit(1 - 1e-9)
+
+    pairs = stored(entries.where((F.col("uid") != F.col("least.uid")) & close(F.col("size"), F.col("least.size"))) \
+        .select(F.col("uid").alias("a"), F.col("least.uid").alias("b")).distinct(), "pairs")
     found = stored(_verified(pairs, sets, similarity), "near")
-    done = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    left = entries.join(first, ["task", "band"]).join(done, "id", "left_anti").select(
-        "task", "band", F.col("id").alias("a"))
-    rest = left.join(entries.withColumnRenamed("id", "b"), ["task", "band"]).where("a <> b") \
-        .select("a", "b").distinct()
-    more = _verified(rest, sets, similarity)
-    ids = done.unionByName(more.select(F.col("a").alias("id"))).unionByName(
-        more.select(F.col("b").alias("id"))).distinct()
-    return sets.select("task", "id").join(ids, "id", "left_semi")
+    done = found.select(F.col("a").alias("uid")).unionByName(found.select(F.col("b").alias("uid"))).distinct()
+    left = entries.join(done, "uid", "left_anti").select("band", F.col("uid").alias("a"), F.col("size").alias("n_a"))
+    rest = left.join(entries.select("band", F.col("uid").alias("b"), F.col("size").alias("n_b")), "band") \
+        .where((F.col("a") != F.col("b")) & close(F.col("n_a"), F.col("n_b"))) \
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() \
+        .join(pairs, ["a", "b"], "left_anti")  # those were compared above
+    more = _verified(stored(rest, "pairs"), sets, similarity)
+    uids = done.unionByName(more.select(F.col("a").alias("uid"))).unionByName(
+        more.select(F.col("b").alias("uid"))).distinct()
+    return sets.select("task", "id", "uid").join(uids, "uid", "left_semi").drop("uid")
 
 
 def near_repetitive_tasks(logs: DataFrame, text: str = "prompt_redacted", min_share: float = 0.05,
@@ -88,9 +103,10 @@ def near_repetitive_tasks(logs: DataFrame, text: str = "prompt_redacted", min_sh
     """Per task: requests, distinct inputs, inputs with a near copy, and the share of requests whose
     input comes again, exactly or nearly. Requests without an input do not count."""
     known = logs.where(F.col("input_hash").isNotNull())
-    inputs = stored(known.groupBy("task_id", "input_hash").agg(
+    # Grouped twice, with the texts and without: the texts are never written, only their shingles.
+    inputs = known.groupBy("task_id", "input_hash").agg(
         F.count(F.lit(1)).alias("n"), F.min(text).alias("text")).withColumn(
-            "id", F.sha2(F.concat_ws(":", F.coalesce("task_id", F.lit("")), "input_hash"), 256)), "inputs")
+            "id", F.sha2(F.concat_ws(":", F.coalesce("task_id", F.lit("")), "input_hash"), 256))
     near = near_repeats(inputs, "task_id", "id", "text", similarity).select("id", F.lit(1).alias("near"))
     marked = inputs.join(near, "id", "left")
     again = F.col("near").isNotNull() | (F.col("n") > 1)

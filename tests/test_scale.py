@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from meterline import lineage
 from meterline.functions import labels
-from meterline.operators import groups, synthetic
+from meterline.operators import groups, repeats, synthetic
 from tests.test_datasets import dataset, log
 
 
@@ -35,3 +36,14 @@ def test_linked_rows_broadcast_nothing(spark):
     assert "Broadcast" not in split._jdf.queryExecution().executedPlan().toString()
     least = {c: min(r for r, d in rows if d == c) for _, c in rows}
     assert {r.id: r.component for r in split.collect()} == {r: least[c] for r, c in rows}
+
+
+def test_near_repeats_write_no_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = {"a": " ".join(words), "b": " ".join([*words, "more"]), "c": "some other text that is not alike"}
+    rows = [(t, h, x) for t in ("t", "u") for h, x in texts.items() if (t, h) != ("u", "b")]
+    before = len(lineage.folders())
+    found = repeats.near_repetitive_tasks(spark.createDataFrame(rows, "task_id string, input_hash string, prompt_redacted string"))
+    assert {r.task_id: r.near_inputs for r in found.collect()} == {"t": 2, "u": 0}
+    made = [f.rpartition("/")[2].partition("-")[0] for f in lineage.folders()[before:]]
+    assert "shingles" in made and "inputs" not in made
