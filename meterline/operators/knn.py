@@ -20,6 +20,8 @@ from meterline.lineage import stored
 TILE_ROWS = 4096
 QUERY_PART_ROWS = 16384
 MAX_PIVOTS = 256
+# Scores whose maximum stands for them when the best are looked for.
+BLOCK = 16
 # Added to distance bounds: vectors stored as floats are unit vectors only up to rounding.
 SLACK = 1e-3
 
@@ -82,6 +84,23 @@ def _candidate_tiles(
         .withColumn("tile", F.explode("tile"))
 
 
+def _best_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k highest scores of each row, best first, the first column on a tie. The
+    k-th highest of the maxima of blocks is no higher than the k-th score, so what is below it is left out
+    without being ordered."""
+    blocks = scores.shape[1] // BLOCK
+    if blocks >= k:
+        maxima = scores[:, :blocks * BLOCK].reshape(len(scores), blocks, BLOCK).max(axis=2)
+        least = np.partition(maxima, blocks - k, axis=1)[:, blocks - k]
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def _best_of_tile(k: int):
     def best(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "ref_id", "ref_label", "score"]
@@ -94,13 +113,12 @@ def _best_of_tile(k: int):
         for start in range(0, len(queries), 1024):
             part = queries.iloc[start:start + 1024]
             scores = _matrix(part["query_vector"]) @ vectors.T
-            # Stable sort on descending score: equal scores stay in reference order.
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+            row, column = _best_of_rows(scores, take)
             parts.append(pd.DataFrame({
-                "query_id": np.repeat(part["query_id"].to_numpy(), take),
-                "ref_id": refs["ref_id"].to_numpy()[order].ravel(),
-                "ref_label": refs["ref_label"].to_numpy()[order].ravel(),
-                "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                "query_id": part["query_id"].to_numpy()[row],
+                "ref_id": refs["ref_id"].to_numpy()[column],
+                "ref_label": refs["ref_label"].to_numpy()[column],
+                "score": scores[row, column],
             }))
         return pd.concat(parts, ignore_index=True)[columns]
 

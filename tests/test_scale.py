@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from meterline import lineage
 from meterline.functions import labels
-from meterline.operators import groups, repeats, synthetic
+from meterline.operators import groups, knn, repeats, synthetic
 from tests.test_datasets import dataset, log
 
 
@@ -47,3 +48,12 @@ def test_near_repeats_write_no_texts(spark):
     assert {r.task_id: r.near_inputs for r in found.collect()} == {"t": 2, "u": 0}
     made = [f.rpartition("/")[2].partition("-")[0] for f in lineage.folders()[before:]]
     assert "shingles" in made and "inputs" not in made
+
+
+def test_best_of_rows_is_a_stable_sort():
+    rng = np.random.default_rng(1)
+    for n, m, k in ((50, 7, 3), (40, 200, 6), (20, 4096, 6), (20, 96, 6), (9, 1, 1)):
+        scores = np.round(rng.normal(size=(n, m)), 1)
+        row, column = knn._best_of_rows(scores, k)
+        assert (column.reshape(n, k) == np.argsort(-scores, axis=1, kind="stable")[:, :k]).all()
+        assert (row == np.repeat(np.arange(n), k)).all()
