@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
+    IDF, CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -41,25 +41,40 @@ class StudentSpec:
             raise ValueError(f"unknown student kind: {self.kind!r}")
 
 
-def _text_stages(spec: StudentSpec) -> list:
-    mlp_on_text = spec.kind == "tfidf_mlp"
+def _word_stages() -> list:
+    # A match starts where no word is under way and takes all of it, so it needs no word boundaries.
     return [
-        RegexTokenizer(inputCol="text", outputCol="_one", pattern=r"(?U)\b\w\w+\b", gaps=False),
+        RegexTokenizer(inputCol="text", outputCol="_one", pattern=r"(?U)\w\w+", gaps=False),
         NGram(n=2, inputCol="_one", outputCol="_two"),
         SQLTransformer(statement="SELECT *, concat(_one, _two) AS _grams FROM __THIS__"),
-        CountVectorizer(
-            inputCol="_grams", outputCol="_counts", minDF=2.0 if mlp_on_text else 1.0,
-            vocabSize=spec.vocab_size or (20_000 if mlp_on_text else 50_000)),
     ]
 
 
+def _vocabulary(grams: DataFrame, spec: StudentSpec) -> CountVectorizerModel:
+    """The words and word pairs that occur most often, the first in order on a tie; for an MLP those of
+    two texts at least. Counted as rows, partly before they are shuffled."""
+    on_text = spec.kind == "tfidf_mlp"
+    size = spec.vocab_size or (20_000 if on_text else 50_000)
+    numbered = grams.withColumn("_text", F.monotonically_increasing_id()) if on_text else grams
+    each = numbered.select(*(["_text"] if on_text else []), F.explode("_grams").alias("gram"))
+    counted = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *(
+        [F.min("_text").alias("first"), F.max("_text").alias("last")] if on_text else []))
+    if on_text:
+        counted = counted.where("first <> last")
+    rows = counted.orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()
+    return CountVectorizerModel.from_vocabulary(
+        [r["gram"] for r in rows], inputCol="_grams", outputCol="_counts")
+
+
 def _fit_tfidf(train: DataFrame, spec: StudentSpec) -> tuple[list, list, DataFrame]:
     """Counts times ln((1+n)/(1+df))+1, scaled to length 1: the stages that count words, those that
     weigh the counts, and the training rows with their counts. The texts are cut into words once."""
-    *words, vocabulary = _text_stages(spec)
+    words = _word_stages()
     grams = stored(PipelineModel(stages=words).transform(train).drop("text", "_one", "_two"), "grams")
-    vocabulary = vocabulary.fit(grams)
-    counted = stored(vocabulary.transform(grams).drop("_grams"), "counts")
+    vocabulary = _vocabulary(grams, spec)
+    # the names of all features would travel with every task that reads the counts
+    counted = stored(vocabulary.transform(grams).drop("_grams").withColumn(
+        "_counts", F.col("_counts").alias("_counts", metadata={})), "counts")
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
     weights = Vectors.dense([w + 1.0 for w in idf.idf.toArray()])
     return [*words, vocabulary], [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterline import lineage
 from meterline.functions import labels
-from meterline.operators import groups, knn, repeats, synthetic
+from meterline.operators import groups, knn, repeats, students, synthetic
 from tests.test_datasets import dataset, log
 
 
@@ -57,3 +57,10 @@ def test_best_of_rows_is_a_stable_sort():
         row, column = knn._best_of_rows(scores, k)
         assert (column.reshape(n, k) == np.argsort(-scores, axis=1, kind="stable")[:, :k]).all()
         assert (row == np.repeat(np.arange(n), k)).all()
+
+
+def test_vocabulary_breaks_ties_by_name(spark):
+    frame = spark.createDataFrame([(["b", "a", "d"],), (["c", "a", "d"],), (["c", "b", "e", "e"],)], "_grams array<string>")
+    assert students._vocabulary(frame, students.StudentSpec(vocab_size=3)).vocabulary == ["a", "b", "c"]
+    both = students._vocabulary(frame, students.StudentSpec("tfidf_mlp"))
+    assert both.vocabulary == ["a", "b", "c", "d"]  # "e" is in one text only
