@@ -6,6 +6,10 @@ are the overlap links, pairs of tokens that share bytes. Where the two tokens of
 the same byte, the text is cut; between two cuts lies a group. Row products of the group incidence
 matrices are the shared-group links: all pairs of tokens of one group.
 
+Neither tokenizer has a token across certain cuts (see _SEGMENTS), so both end a token there and no
+group or link crosses one. The work above is done once per distinct segment between two cuts, and
+what a text holds is a row product again: how often it has each segment, by the links of the segment.
+
 An id pair's count is the number of texts that hold it linked. Texts are encoded once and written as
 blocks of bounded size: the distinct id pairs of a block, and per text which of them it holds and how
 often. Pairs are counted over blocks, the counts join the pairs of each block, and come back to its
@@ -44,6 +48,7 @@ BLOCK = 8 << 20
 PIECE = 1 << 20
 PRODUCTS = 1 << 21
 KNOWN = 1 << 18
+LONG = 256  # characters of a segment that is not kept
 FIGURES = ("n_a", "n_b", "n_groups", "n_overlaps", "n_links")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -128,6 +133,14 @@ class Vocabulary(NamedTuple):
     pieces: list[bytes]
     sizes: np.ndarray
 
+    def spelled(self, ids: list[list[int]]) -> Iterator[bytes]:
+        """The bytes of each list of ids."""
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        whole = b"".join(map(self.pieces.__getitem__, flat.tolist()))
+        upto = np.concatenate([[0], np.cumsum(self.sizes[flat])])
+        at = upto[np.cumsum([0, *map(len, ids)])].tolist()
+        return (whole[a:b] for a, b in zip(at, at[1:]))
+
 
 def _vocabulary(pieces: list[bytes]) -> Vocabulary:
     return Vocabulary(pieces, np.array([len(p) for p in pieces], np.int64))
@@ -141,33 +154,36 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-# How byte-level BPE cuts a text before it merges bytes, and characters whose classes
-# all Unicode versions agree on.
-_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters whose classes all Unicode versions agree on, and their segments. A segment
+# ends where white space follows something else (a carriage return does not end one unless it follows a
+# letter, as some vocabularies have it behind marks), or something else follows a letter. Byte-level BPE
+# cuts there before it merges; so do the merges of another vocabulary if no piece of it holds a cut.
 _SETTLED = re.compile(r"[\t\n\r\x20-\x7E\u00C0-\u017F]*")
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F"
+_SEGMENTS = re.compile(
+    rf"\s*+(?:[^\s{_LETTERS}]++\r\s*+)*+[^\s{_LETTERS}]*+[{_LETTERS}]*+").findall
 
 
-class ByteLevel:
-    """A byte-level BPE file of the tokenizers library; encodes a space and the text.
+def segments(text: str) -> list[str]:
+    """The segments of a text of settled characters."""
+    return _SEGMENTS(text)[:-1]  # the last match is empty, at the end
 
-    Merges stay within the pieces that _CUTS finds, so a text of settled characters is the ids of its
-    pieces one after the other, and each distinct piece is encoded once; KNOWN of them are kept. Other
-    texts, and files with another way of cutting, are encoded whole."""
+
+class ByteLevel:
+    """A byte-level BPE file of the tokenizers library; encodes a space and the text."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         parts = json.loads(self.tokenizer.to_str())
         cuts = parts["pre_tokenizer"] or {}
-        self.by_piece = (
+        self.by_segment = (
             parts["normalizer"] is None and cuts.get("type") == "ByteLevel"
             and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
-            and not parts["model"].get("dropout"))
-        self.cut = regex.compile(_CUTS).findall
-        self.known: dict[str, list[int]] = {}
+            and not parts["model"].get("dropout") and parts["truncation"] is None
+            and all(t["special"] for t in parts["added_tokens"]))
         self.tokenizer.encode_special_tokens = True
         letters = _byte_letters()
         pieces = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
@@ -176,23 +192,24 @@ class ByteLevel:
                 else token.encode()
         self.vocabulary = _vocabulary(pieces)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_segments(self, parts: list[str]) -> list[list[int]]:
+        """Parts that begin with white space and end otherwise go as one text, which has a cut between
+        them; the others go one by one."""
+        joint = [p[0].isspace() and not p[-1].isspace() for p in parts]
+        together = [p for p, j in zip(parts, joint) if j]
+        ids = self._ids(["".join(together)])[0]
+        ends = np.cumsum(self.vocabulary.sizes[np.array(ids, np.int64)])
+        stops = np.cumsum([len(p.encode()) for p in together])
+        at = [0, *(np.searchsorted(ends, stops) + 1).tolist()]
+        of_joint = (ids[a:b] for a, b in zip(at, at[1:]))
+        alone = iter(self._ids([p for p, j in zip(parts, joint) if not j]))
+        return [next(of_joint if j else alone) for j in joint]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not (self.by_piece and _SETTLED.fullmatch(t))]
-        for i, ids in zip(whole, self._whole([f" {texts[i]}" for i in whole])):
-            out[i] = ids
-        left = set(whole)
-        cut = {i: self.cut(f" {t}") for i, t in enumerate(texts) if i not in left}
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list({p for pieces in cut.values() for p in pieces}.difference(self.known))
-        self.known.update(zip(new, self._whole(new)))
-        for i, pieces in cut.items():
-            out[i] = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-        return out
+        return self._ids([f" {t}" for t in texts])
 
 
 class Pieces:
@@ -209,6 +226,33 @@ class Pieces:
             pieces.append(bytes([int(byte[1], 16)]) if byte
                           else piece.replace("▁", " ").encode())
         self.vocabulary = _vocabulary(pieces)
+        self.by_segment = self._merges_only(path) and not any(
+            len(segments(p)) > 1 for p in map(self._text_of, range(len(pieces))) if _SETTLED.fullmatch(p))
+
+    def _text_of(self, i: int) -> str:
+        """What a piece spells in texts; '' if only its own kind of use brings it about."""
+        special = self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i)
+        return "" if special else self.model.id_to_piece(i).replace("▁", " ")
+
+    @staticmethod
+    def _merges_only(path: str) -> bool:
+        """Whether the model merges the characters of a space and the text as they are."""
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        trained, normal, kind = model.trainer_spec, model.normalizer_spec, model.SentencePiece
+        return (trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix
+                and normal.add_dummy_prefix and normal.escape_whitespaces
+                and not normal.remove_extra_whitespaces and not normal.precompiled_charsmap
+                and not any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces))
+
+    def encode_segments(self, parts: list[str]) -> list[list[int]]:
+        """A letter goes before each part, where the model puts its space; a part does not begin with
+        one, so there is a cut between them."""
+        before = len(self.model.encode("a"))
+        return [ids[before:] for ids in self.encode([f"a{p}" for p in parts])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1) if texts else []
@@ -318,6 +362,116 @@ def spelled_groups(found: Aligned) -> list[bytes]:
     return [raw[a:max(b - 1, a)] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+class Linked(NamedTuple):
+    """Figures and spelled groups of texts, and (text, id pair, links) of the distinct id pairs that
+    each text holds linked."""
+
+    figures: np.ndarray
+    groups: list[bytes]
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Segments:
+    """Distinct segments of texts, numbered: whether both token lists spell them, their figures, their
+    groups spelled out, and their links, a row of `links` each. A text of other characters, or of
+    tokenizers that may cross cuts, is a segment of its own, without the space. The first KNOWN short
+    ones are kept for the next texts, then all are forgotten."""
+
+    def __init__(self, byte_level: str, pieces: str):
+        self.encoders = encoder(byte_level), encoder(pieces)
+        self.vocabularies = [e.vocabulary for e in self.encoders]
+        self.n_ids = tuple(len(v.pieces) for v in self.vocabularies)
+        self.by_segment = all(e.by_segment for e in self.encoders)
+        self.numbers: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.same = np.zeros(0, bool)
+        self.figures = np.zeros((0, len(FIGURES)), np.int64)
+        self.groups: list[bytes] = []
+        none = np.zeros(0, np.int64)
+        self.links = Csr(np.zeros(1, np.int64), none, none, self.n_ids[0] * self.n_ids[1])
+
+    def _settled(self, text: str) -> bool:
+        return self.by_segment and _SETTLED.fullmatch(text) is not None
+
+    def _cut(self, text: str) -> list[str]:
+        return segments(f" {text}") if self._settled(text) else [text]
+
+    def _forget(self) -> None:
+        """Forget the long segments, and all if there are many."""
+        for s in self.passing:
+            del self.numbers[s]
+        if len(self.numbers) > KNOWN:
+            self.numbers.clear()
+        n = len(self.numbers)
+        self.passing, self.same, self.figures = [], self.same[:n], self.figures[:n]
+        del self.groups[n:]
+        upto = self.links.starts[n]
+        self.links = self.links._replace(
+            starts=self.links.starts[:n + 1], columns=self.links.columns[:upto],
+            values=self.links.values[:upto])
+
+    def _learn(self, new: list[str], limit: int) -> None:
+        """Encode and link segments, the long ones last."""
+        new.sort(key=lambda s: len(s) > LONG)
+        self.passing = [s for s in new if len(s) > LONG]
+        parts = [i for i, s in enumerate(new) if self._settled(s)]
+        whole = sorted(set(range(len(new))).difference(parts))
+        want = [s.encode() for s in new]
+        for i in whole:
+            want[i] = b" " + want[i]
+        ids = []
+        for e in self.encoders:
+            side = [[]] * len(new)
+            for at, found in ((parts, e.encode_segments([new[i] for i in parts])),
+                              (whole, e.encode([new[i] for i in whole]))):
+                for i, each in zip(at, found):
+                    side[i] = each
+            ids.append(side)
+        same = np.ones(len(new), bool)
+        for v, side in zip(self.vocabularies, ids):
+            same &= np.array([s == t for s, t in zip(want, v.spelled(side))], bool)
+        for i in np.flatnonzero(~same).tolist():
+            ids[0][i] = ids[1][i] = []
+        found = align_ids(tuple(ids), tuple(v.sizes for v in self.vocabularies), limit)
+        n = len(new)
+        of, pair, links = linked_pairs(found, self.n_ids, limit)
+        figures = [np.bincount(x, minlength=n) for x in (*found.texts, found.group_text)]
+        figures += [found.n_overlaps, _sums(of, links, n)]
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + n)))
+        self.same = np.concatenate([self.same, same])
+        self.figures = np.concatenate([self.figures, np.stack(figures, axis=1)])
+        self.groups += spelled_groups(found)
+        starts = self.links.starts[-1] + np.searchsorted(of, np.arange(1, n + 1))
+        self.links = self.links._replace(
+            starts=np.concatenate([self.links.starts, starts]),
+            columns=np.concatenate([self.links.columns, pair]),
+            values=np.concatenate([self.links.values, links]))
+
+    def link(self, texts: list[str | None], limit: int = PRODUCTS) -> Linked:
+        n = len(texts)
+        cuts = [self._cut(t) if t else [] for t in texts]
+        self._forget()
+        self._learn(list(set().union(*cuts).difference(self.numbers)), limit)
+        sizes = [len(c) for c in cuts]
+        held = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cuts)), np.int64, sum(sizes))
+        text = np.repeat(np.arange(n), sizes)
+        bad = np.zeros(n, bool)
+        bad[text[~self.same[held]]] = True
+        text, held = text[~bad[text]], held[~bad[text]]
+        figures = np.stack([_sums(text, column[held], n) for column in self.figures.T], axis=1)
+        names, ends = held.tolist(), np.searchsorted(text, np.arange(n + 1)).tolist()
+        groups = [b";".join(map(self.groups.__getitem__, names[a:b])) for a, b in zip(ends, ends[1:])]
+        of, segment, times = id_counts(text, held, n, max(len(self.groups), 1))
+        products = list(row_products(from_sorted(of, segment, times, n, len(self.groups)), self.links, limit))
+        pairs = tuple(map(np.concatenate, zip(*products))) if products else (np.zeros(0, np.int64),) * 3
+        return Linked(figures, groups, pairs)
+
+
+@lru_cache(maxsize=1)
+def known_segments(byte_level: str, pieces: str) -> Segments:
+    return Segments(byte_level, pieces)
+
+
 # --- blocks ----------------------------------------------------------------------------------
 
 _FIGURE_FIELDS = [T.StructField(n, T.LongType()) for n in FIGURES]
@@ -375,9 +529,7 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], with_grou
             bounds: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoders = [encoder(p) for p in paths]
-    vocabularies = [e.vocabulary for e in encoders]
-    n_ids = tuple(len(v.pieces) for v in vocabularies)
+    known = known_segments(*paths)
     number = TaskContext.get().partitionId() << 32
     block_bytes, piece_bytes, limit = bounds
     block = _Block()
@@ -385,27 +537,14 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], with_grou
         for lo, hi in w.blocks(batch.column("text"), piece_bytes):
             piece = batch.slice(lo, hi - lo)
             texts = piece.column("text").to_pylist()
-            given = [t or "" for t in texts]
-            ids = [[], []]
-            for t, *both in zip(given, *(e.encode(given) for e in encoders)):
-                whole = b" " + t.encode()
-                same = t and all(b"".join(map(v.pieces.__getitem__, i)) == whole
-                                 for v, i in zip(vocabularies, both))
-                for side, i in zip(ids, both):
-                    side.append(i if same else [])
-            found = align_ids(tuple(ids), tuple(v.sizes for v in vocabularies), limit)
-            text, pairs, times = linked_pairs(found, n_ids, limit)
-            spelled = spelled_groups(found)
-            n = len(given)
-            count = lambda of, weight=None: np.bincount(
-                of, weight, minlength=n).astype(np.int64).tolist()
+            found = known.link(texts, limit)
+            text, pairs, times = found.pairs
             block.add(
-                sum(len(t) for t in given), pairs, np.searchsorted(text, np.arange(1, n + 1)),
-                id=piece.column("id"), times=times, n_a=count(found.texts[0]),
-                n_b=count(found.texts[1]), n_groups=count(found.group_text),
-                n_overlaps=found.n_overlaps.tolist(), n_links=_sums(text, times, n).tolist(),
-                groups=[s.decode() if with_groups else None for s in spelled],
-                groups_sha256=[hashlib.sha256(s).hexdigest() if s else "" for s in spelled])
+                sum(len(t or "") for t in texts), pairs,
+                np.searchsorted(text, np.arange(1, len(texts) + 1)), id=piece.column("id"), times=times,
+                **dict(zip(FIGURES, found.figures.T.tolist())),
+                groups=[s.decode() if with_groups else None for s in found.groups],
+                groups_sha256=[hashlib.sha256(s).hexdigest() if s else "" for s in found.groups])
             if block.size >= block_bytes:
                 yield block.rows(number, piece.column("id").type)
                 number, block = number + 1, _Block()

@@ -86,6 +86,47 @@ def test_alignment(clashing, spark, none, monkeypatch, block):
     assert alignment.align(none, A, B).count() == 0
 
 
+CUT = [" ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", " \r", "a", "the", "And", "é", "ſ", "÷", "'s", "'", "'ve", ",", ".",
+       ");\r\n", "){\r", "(", "12", "3.5", "<s>", "<|endoftext|>", "://", "_", "|", "<0x0A>", "%", "x" * 300, " " * 40]
+
+
+@pytest.mark.parametrize("known", [0, 50, alignment.KNOWN])
+def test_segments(monkeypatch, known):
+    """What segments add up to, against whole texts; other characters mixed in."""
+    monkeypatch.setattr(alignment, "KNOWN", known)
+    found = alignment.Segments(A, B)
+    assert found.by_segment
+    rng = random.Random(known)
+    for _ in range(30):
+        pool = CUT + ["▁", "日本", "\x0b", "\x85", "Ⅷ", "µ"] * rng.randrange(2)
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(60)] + [None]
+        got = found.link(texts, 100)
+        brute = brute_alignment(list(enumerate(texts)))
+        assert got.figures[:, [0, 1, 2, 4]].tolist() == [list(b[1:5]) for b in brute]
+        assert [sha(g.decode()) if g else "" for g in got.groups] == [b[7] for b in brute]
+        assert all(b[8] in (None, n) for b, n in zip(brute, got.figures[:, 3].tolist()))
+        assert len(found.numbers) - len(found.passing) <= known + sum(map(len, map(found._cut, filter(None, texts))))
+
+
+def test_each_segment_is_encoded_once(monkeypatch):
+    found, seen = alignment.Segments(A, B), Counter()
+    for e in found.encoders:
+        real = e.encode_segments
+        monkeypatch.setattr(e, "encode_segments", lambda parts, f=real, k=type(e): (
+            seen.update((k, p) for p in parts), f(parts))[1])
+    texts = [f"the same words, number {i % 7}.\nand more of the same words" for i in range(200)]
+    found.link(texts)
+    found.link(texts)
+    assert set(seen.values()) == {1} and len(seen) < 40
+
+
+def test_other_vocabularies_are_encoded_whole(monkeypatch):
+    """A piece that holds a cut forbids to encode segments."""
+    real = alignment.Pieces._text_of
+    monkeypatch.setattr(alignment.Pieces, "_text_of", lambda self, i: "of the" if i == 300 else real(self, i))
+    assert not alignment.Pieces(B).by_segment
+
+
 def test_row_products():
     rng = np.random.default_rng(3)
     for _ in range(20):
