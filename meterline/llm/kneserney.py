@@ -109,7 +109,7 @@ class _Grams:
         """A row per shard, its n-grams in the order of their first ids."""
         out = []
         for shard, a, b in _edges(self.keys, bits):
-            order = np.argsort(self.ids[a:b, 0], kind="stable")
+            order = np.argsort(np.ascontiguousarray(self.ids[a:b, 0]))
             out.append((shard, b - a, _planes(self.ids[a:b][order].astype(id_type)),
                         _planes(_small(self.stats[a:b][order]))))
         return _rows(out)
@@ -158,6 +158,7 @@ class _Shard:
     WHOLE = 255
 
     def __init__(self, raw: np.ndarray, skip: int):
+        raw = raw.view(np.ndarray)  # slices of a mapping that are mappings themselves are slow
         columns, self.size, self.bits, distinct, numbers = raw[:40].view("<u8").tolist()
         shapes = raw[40:40 + 16 * columns].view("<u8").reshape(-1, 2).tolist()
         self.skip, at = skip, 40 + 16 * columns
@@ -276,17 +277,20 @@ class Model:
             counts[here] = shard.values(0, place)
         return ids, counts
 
-    def level(self, k: int, rows: np.ndarray) -> np.ndarray:
-        """Columns of n-grams of length k, given as rows of ids; zeros if unknown."""
-        out = np.zeros((len(rows), 1 if k == self.order else 5))
-        known = np.flatnonzero((rows >= 0).all(axis=1))
-        keys, at = np.unique(gram_keys(rows[known]), return_inverse=True)
-        found = np.zeros((len(keys), out.shape[1]))
+    def level(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the distinct known n-grams of length k among rows of ids, zeros in a last one that
+        stands for the others, and which of them each row is."""
+        known = np.flatnonzero(np.logical_and.reduce([c >= 0 for c in rows.T]))
+        some = len(known) < len(rows)
+        keys, at = np.unique(gram_keys(rows[known] if some else rows), return_inverse=True)
+        if some:
+            of_known, at = at, np.full(len(rows), len(keys))
+            at[known] = of_known
+        found = np.zeros((len(keys) + 1, 1 if k == self.order else 5))
         for _, shard, here, place in self.find(f"level{k}", keys):
             if len(here):
                 found[here] = shard.distinct[shard.values(0, place)]
-        out[known] = found[at]
-        return out
+        return found, at
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -364,7 +368,7 @@ def _write_level(part: pa.Table, model: Model, k: int) -> pa.Table:
     out = [_rows([(TOTALS, k, b"", np.array(totals, "<i8").tobytes())])]
     if k > 1:
         ids, n = group.ids[seen], len(count)
-        before, after = np.zeros((2, n, 5), group.stats.dtype)
+        before, after = np.zeros((2, n, 5), _small(count).dtype)
         for j in (1, 2, 3):
             before[:, j] = np.minimum(count, 3) == j
         before[:, 4] = count
@@ -444,23 +448,27 @@ def token_scores(model: Model, stream: np.ndarray, sizes: np.ndarray
     ids, counts = model.word_ids(found)
     base = np.log10((counts + 1) / (model.tokens + model.words + 1))
     end = ids[np.searchsorted(found, END)]
-    starts = np.cumsum(sizes) - sizes
+    context = np.concatenate([[len(stream)], np.arange(len(stream) - 1)])
+    context[np.cumsum(sizes) - sizes] = len(stream)
     p = np.full(len(stream), 1 / (model.words + 1))
-    total, left = np.full(len(stream), float(model.mass)), np.full(len(stream), model.spread)
+    total, left = float(max(model.mass, 1)), model.spread
     for k in range(1, model.order + 1):
         # The context of a token is the n-gram that ends before it; the last row is that of a start.
-        rows = np.concatenate([grams(ids[at], sizes, end, k), np.full((1, k), end)])
-        stats = model.level(k, rows)
+        if k == 1:
+            stats, which = model.level(1, np.append(ids, end).reshape(-1, 1))
+            which = np.append(which[at], which[-1])
+        else:
+            stats, which = model.level(k, np.concatenate([grams(ids[at], sizes, end, k),
+                                                          np.full((1, k), end)]))
         cut = np.array([0.0, *model.cuts[k - 1]])
-        count = stats[:-1, 0]
+        count = stats[:, 0]
         sure = np.maximum(count - cut[np.minimum(count, 3).astype(np.int64)], 0)
-        p = sure / np.maximum(total, 1) + left * p
+        p = sure[which[:-1]] / total + left * p
         if k < model.order:
-            context = np.concatenate([[len(stream)], np.arange(len(stream) - 1)])
-            context[starts] = len(stream)
-            total = stats[context, 4]
-            lost = stats[context, 1:4] @ np.array(model.cuts[k])
-            left = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
+            before, sums = which[context], np.maximum(stats[:, 4], 1)
+            lost = sum(c * stats[:, j] for j, c in enumerate(model.cuts[k], 1))
+            total = sums[before]
+            left = np.where(stats[:, 4] > 0, lost / sums, 1.0)[before]
     return counts[at], base[at], np.log10(p)
 
 

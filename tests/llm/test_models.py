@@ -145,6 +145,33 @@ def test_counts_beyond_a_byte(spark):
         assert tuple(r.s) == pytest.approx(brute.score(r.text), rel=1e-9)
 
 
+def test_each_distinct_gram_is_looked_up_once(spark):
+    """What is worked out per n-gram is worked out for the distinct ones; unknown ones share a row of zeros."""
+    model = kneserney.fit(spark.createDataFrame([("a b a b a c",)], "text string"))
+    stream, sizes = kneserney.tokens(np.frombuffer(b"a b a b a b a d", np.uint8), np.array([0, 15]))
+    hashes, at = np.unique(stream, return_inverse=True)
+    ids = model.word_ids(hashes)[0]
+    rows = kneserney.grams(ids[at], sizes, int(ids[np.searchsorted(hashes, kneserney.END)]), 2)
+    stats, which = model.level(2, rows)
+    assert len(stats) == 4 and len(which) == len(rows)  # end a, a b, b a, and the others
+    assert (stats[-1] == 0).all() and (which[-2:] == 3).all()
+    # distinct words before: (end end) a has one; a b has end and b; b a has a
+    assert stats[which[:5], 0].tolist() == [1, 2, 1, 2, 1]
+
+
+def test_levels_send_small_numbers(spark, tmp_path):
+    """Statistics of the next shorter n-grams add up in no wider type than their counts need."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50, (3000, 3)).astype("u4")
+    group = kneserney._Grams.merged(kneserney.gram_keys(ids), ids, np.ones((3000, 1), np.uint8))
+    part, seen = group.rows(0, "u4"), []
+    model, real = kneserney.Model(str(tmp_path), 0, 50, 3000), kneserney._Grams.merged
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(kneserney._Grams, "merged", staticmethod(lambda k, i, s: (seen.append(s.dtype), real(k, i, s))[1]))
+        kneserney._write_level(part, model, 3)
+    assert seen[-1] == np.uint8
+
+
 # --- token shards ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n,top", [(0, 0), (1, 0), (5, 3), (1000, 9), (1000, 10**6), (700, 1 << 40), (300, 1 << 62)])
@@ -499,3 +526,15 @@ def test_query_op3_op4_op6_op7(spark):
     assert sorted(map(tuple, got), key=str) == brute_components(docs)
     rows = queries.op7_mixing(spark, SMALL).collect()
     assert len(rows) == len(docs) and all(r.taken <= 2 * r.size for r in rows)
+
+
+def test_query_op2_has_its_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(200).collect()
+    train = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    brute = Brute([r.text for r in train if not held(r.doc_id)], kneserney.ORDER)
+    got = {r.doc_id: r for r in queries.op2_kneser_ney(spark, SMALL).collect()}
+    for d in docs:
+        r = got[d.doc_id]
+        assert r.held_out == held(r.doc_id) and r.train_tokens == brute.n
+        assert (r.n_tokens, r.n_known, r.base_score, r.score) == pytest.approx(brute.score(d.text))
