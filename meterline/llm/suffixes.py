@@ -18,6 +18,11 @@ sampled suffixes:
    well and needs no group.
 5. The repeated stretches go back to the texts that hold them.
 
+Passages of PASSAGE words that another row holds too may be shorter than LENGTH bytes. They stay, but
+are told (`shares_passage`). Each window of PASSAGE words has its least SHINGLE-word hash as anchor;
+rows that share a window share its anchor. Rows whose anchors have an equal window settle most texts,
+and only for anchors that an unsettled text shares, all their windows are counted.
+
 Texts are UTF-8 bytes, null is empty, and a match never crosses texts. A row is known by
 128 bits of its id and text, so rows that repeat both share their stretches, and repeat each other. Texts shorter than LENGTH
 lose nothing. Only id and text are read.
@@ -39,13 +44,14 @@ from pyspark.sql import types as T
 
 from meterline.lineage import stored
 from meterline.llm import words as w
-from meterline.llm.frames import small_batches
+from meterline.llm.frames import lookup, small_batches
 
 LENGTH, GRAM = 400, 64
 BEFORE = LENGTH - GRAM
 GROUP = 20_000
 SHALLOW = 32
 SEGMENT = 1 << 21
+PASSAGE, SHINGLE = 50, 8
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -361,6 +367,125 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          pa.array(places, pa.int32())], ["h1", "h2", "t1", "t2", "pos"])
 
 
+# --- passages --------------------------------------------------------------------------------
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n values from each place on, for at least n values."""
+    out, done, base = None, 0, w._BASE
+    size, total = 1, len(h)
+    while True:
+        if n & size:
+            room = total - done - size + 1
+            out = h if out is None else out[:room] * np.uint64(base) + h[done:done + room]
+            done += size
+        if done == n:
+            return w.mix(out)
+        h = h[:-size] * np.uint64(base) + h[size:]
+        base = base * base & w._M64
+        size *= 2
+
+
+def passage_windows(data: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT
+                    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, anchor and hash of the windows of PASSAGE words, `segment` windows at a time."""
+    starts, ends = w.word_bounds(data, offsets, w.not_space())
+    of, hashes = w.words_per_text(starts, offsets), w.word_hashes(data, starts, ends)
+    for at in range(0, len(hashes) - PASSAGE + 1, segment):
+        part = hashes[at:at + segment + PASSAGE - 1]
+        least = run_hashes(part, SHINGLE)
+        span, size = PASSAGE - SHINGLE + 1, 1
+        while size * 2 <= span:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if span > size:
+            least = np.minimum(least[:size - span], least[span - size:])
+        first = np.arange(len(least)) + at
+        doc = np.searchsorted(of, first, "right") - 1
+        inside = first + PASSAGE <= of[doc + 1]
+        yield doc[inside], least[inside], run_hashes(part, PASSAGE)[inside]
+
+
+_PASSAGES = "t1 long, t2 long, gram long, win long"
+
+
+def _passage_rows(t1: pa.Array, t2: pa.Array, gram: np.ndarray, win: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [t1, t2, pa.array(gram.view(np.int64)), pa.array(win.view(np.int64))],
+        ["t1", "t2", "gram", "win"])
+
+
+def _passage_anchors(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT
+                     ) -> Iterator[pa.RecordBatch]:
+    """Each anchor of a text once, with one of its windows."""
+    for batch in batches:
+        for lo, hi in w.blocks(batch.column("text"), 1 << 18):
+            part = batch.slice(lo, hi - lo)
+            data, offsets = w.text_bytes(part.column("text"))
+            found = []
+            for doc, gram, win in passage_windows(data, offsets, segment):
+                new = np.ones(len(doc), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+                found.append((doc[new], gram[new], win[new]))
+            doc, gram, win = (np.concatenate(x) for x in zip(*found)) if found else [[]] * 3
+            if len(doc) == 0:
+                continue
+            order = np.lexsort((gram, doc))
+            doc, gram, win = doc[order], gram[order], win[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+            doc, gram, win = doc[new], gram[new], win[new]
+            view, names = memoryview(data), part.column("doc_id").to_pylist()
+            keys = {d: text_key(view[offsets[d]:offsets[d + 1]], names[d])
+                    for d in np.unique(doc).tolist()}
+            docs = doc.tolist()
+            yield _passage_rows(_signed([keys[d][0] for d in docs]),
+                                _signed([keys[d][1] for d in docs]), gram, win)
+
+
+def _passage_windows(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT
+                     ) -> Iterator[pa.RecordBatch]:
+    """Each different window at the wanted anchors of a text once."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "asked", "packed")))
+        for t1, t2, asked, packed in rows:
+            data = np.frombuffer(unpack(packed), np.uint8)
+            wanted = np.array(asked, np.int64).view(np.uint64)
+            found = [np.zeros((0, 2), np.uint64)]
+            for _, gram, win in passage_windows(data, np.array([0, len(data)]), segment):
+                hit = np.isin(gram, wanted)
+                found.append(np.column_stack([gram[hit], win[hit]]))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield _passage_rows(pa.array([t1] * len(pairs), pa.int64()),
+                                pa.array([t2] * len(pairs), pa.int64()),
+                                pairs[:, 0].copy(), pairs[:, 1].copy())
+
+
+def at_repeated_grams(rows: DataFrame) -> DataFrame:
+    """The rows whose gram another row has too; those of a frequent gram go to several tasks."""
+    often = rows.groupBy("gram").count().where("count > 1").select("gram", F.lit(True).alias("often"))
+    return lookup(rows, often, "gram").where("often").drop("often")
+
+
+def shared_passages(docs: DataFrame, keyed: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(t1, t2) of the texts that hold PASSAGE words in a row which another row holds too."""
+    anchors = stored(docs.mapInArrow(lambda b: _passage_anchors(b, segment), _PASSAGES), "passages")
+    rows = stored(at_repeated_grams(anchors), "passage-rows")
+    equal = stored(rows.groupBy("gram", "win").count().where("count > 1").select("gram", "win"),
+                   "equal")
+    sure = stored(rows.join(equal, ["gram", "win"], "left_semi").select("t1", "t2").distinct(), "sure")
+    unsure = stored(rows.join(sure, ["t1", "t2"], "left_anti").select("t1", "t2", "gram"), "unsure")
+    asked = rows.join(unsure.select("gram").distinct(), "gram", "left_semi")
+
+    def windows(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy("t1", "t2").agg(F.collect_list("gram").alias("asked"))
+        return keyed.join(wanted, ["t1", "t2"]).mapInArrow(
+            lambda b: _passage_windows(b, segment), _PASSAGES)
+
+    again = windows(asked).groupBy("gram", "win").count().where("count > 1").select("gram", "win")
+    found = windows(unsure).join(again, ["gram", "win"], "left_semi").select("t1", "t2")
+    return sure.union(found.distinct())
+
+
 # --- the whole -------------------------------------------------------------------------------
 
 _PACKED = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()),
@@ -379,16 +504,25 @@ def packed_text(column: pa.Array, ids: pa.Array) -> pa.Array:
          pa.array([pack(t) for t in texts], pa.binary())], _PACKED.names)
 
 
-def repeated_stretches(docs: DataFrame, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, packed. All joins take these columns and no others, so that Spark deals the
+    texts out once for all of them."""
+    return docs.select("doc_id", packed_text("text", "doc_id").alias("k")).select(
+        "doc_id", "k.*").where("t1 is not null and t2 is not null")
+
+
+def repeated_stretches(docs: DataFrame, keyed: DataFrame, group: int = GROUP,
+                       segment: int = SEGMENT) -> DataFrame:
     """(t1, t2, spans): by hash of the text, the repeated stretches around its anchors."""
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = stored(docs.mapInArrow(lambda b: _anchors(b, segment), _ANCHORS), "anchors")
+    every = stored(docs.mapInArrow(lambda b: _anchors(b, segment), _ANCHORS), "anchors")
+    anchors = stored(at_repeated_grams(every), "often")
     contexts = anchors.groupBy("gram", "c1", "c2").agg(
         F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("first"))
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("rows"))
-    contexts = stored(contexts.join(grams.where("rows > 1"), "gram"), "contexts")
+    grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts"))
+    contexts = stored(contexts.join(grams, "gram"), "contexts")
     whole = (anchors.join(contexts.where("n > 1").select("gram", "c1", "c2"),
                           ["gram", "c1", "c2"], "left_semi")
              .selectExpr("t1", "t2", "pos", f"{BEFORE} as to_left", f"{LENGTH} as to_right"))
@@ -396,12 +530,11 @@ def repeated_stretches(docs: DataFrame, group: int = GROUP, segment: int = SEGME
     open_ = contexts.where("contexts > 1")
     wanted = open_.groupBy("first.t1", "first.t2").agg(F.collect_list(F.struct(
         "gram", "first.pos", F.expr("n > 1").alias("again"), "contexts")).alias("wanted"))
-    joined = docs.select(packed_text("text", "doc_id").alias("k")).select("k.*").join(
-        wanted, ["t1", "t2"])
+    joined = keyed.join(wanted, ["t1", "t2"])
 
     def of(condition: str) -> DataFrame:
         return joined.withColumn("wanted", F.expr(f"filter(wanted, x -> {condition})")).where(
-            "size(wanted) > 0").select("t1", "t2", "wanted", "packed")
+            "size(wanted) > 0")
 
     sorted_ = (of(f"x.contexts <= {group}").mapInArrow(_contexts, _CONTEXT)
                .repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_compare, _REACH))
@@ -453,10 +586,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                    with_text: bool = True, group: int = GROUP, segment: int = SEGMENT
                    ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text (the remaining bytes; they may break inside a
-    character) and kept_sha256 of each row."""
+    character), kept_sha256 and shares_passage (PASSAGE words in a row that another row holds too)
+    of each row."""
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_stretches(narrow, group, segment)
-    keyed = narrow.select("doc_id", packed_text("text", "doc_id").alias("k")).select("doc_id", "k.*")
-    return (keyed.join(spans, ["t1", "t2"], "left")
-            .select("doc_id", _cut(with_text)("packed", "spans").alias("x"))
-            .select("doc_id", "x.*"))
+    keyed = keyed_texts(narrow)
+    spans = repeated_stretches(narrow, keyed, group, segment)
+    passages = shared_passages(narrow, keyed, segment).withColumn("shares_passage", F.lit(True))
+    return (keyed.join(spans, ["t1", "t2"], "left").join(passages, ["t1", "t2"], "left")
+            .select("doc_id", _cut(with_text)("packed", "spans").alias("x"),
+                    F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
+            .select("doc_id", "x.*", "shares_passage"))

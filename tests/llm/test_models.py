@@ -296,6 +296,44 @@ def test_repeats_edges(clashing, none, odd_rows):
         [(r[1] or "").encode() for r in odd_rows]))
 
 
+def shares_passage(texts, size=50):
+    rows = defaultdict(set)
+    for i, t in enumerate(texts):
+        x = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for j in range(len(x) - size + 1):
+            rows[tuple(x[j:j + size])].add(i)
+    return [any(i in r and len(r) > 1 for r in rows.values()) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("segment", [1 << 21, 150])
+def test_shared_passages(spark, segment):
+    """Passages under 400 bytes stay in the text, and are told."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(300)}" for _ in range(n))
+    passage, once = line(50), line(50)
+    texts = [f"{line(rng.randrange(90))} {passage} {line(rng.randrange(90))}" for _ in range(6)]
+    texts += [passage, passage.replace(" ", "\n"), passage + "x", passage.split(" ", 1)[1], line(400),
+              f"{line(30)} {once}\n{line(9)} {once} {line(20)}", "ab " * 500, "ab " * 49, "ab " * 50, "", None]
+    texts += [f"{line(20)} {' '.join(passage.split()[:49])} {line(30)}" for _ in range(3)]
+    again = line(60)
+    rows = list(enumerate(texts)) + [(70, again), (70, again), (None, texts[10]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(df, segment=segment).collect()
+    want = shares_passage([t for _, t in rows])
+    assert sum(want) == 8 + 2 + 2 + 2
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.shares_passage) for r in got), key=key) == \
+        sorted(((i, x) for (i, _), x in zip(rows, want)), key=key)
+    assert [r.n_removed for r in sorted(got, key=lambda r: str(r.doc_id)) if r.doc_id in range(8)] == [0] * 8
+    assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_query_op4_tells_passages(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = by_id(queries.op4_suffix_dedup(spark, SMALL), "doc_id", "shares_passage")
+    assert got == sorted((i, x) for (i, _), x in zip(docs, shares_passage([t for _, t in docs])))
+
+
 def test_deep_shallow_order():
     rng = random.Random(8)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 120))) for _ in range(400)]
